@@ -88,9 +88,12 @@ def confusion_tag(actual: Column, predicted: Column) -> Column:
     )
 
 
-def digitize(v: Column, edges: Column) -> Column:
-    """Number of edges not above ``v``; ``edges`` is an array column."""
-    return F.size(F.filter(edges, lambda e: e <= v))
+def digitize(v: Column, edges: Column, n: int) -> Column:
+    """Number of edges not above ``v``; ``edges`` is an array of ``n`` increasing bounds."""
+    out = F.lit(0)
+    for i in range(n):
+        out = out + (F.element_at(edges, i + 1) <= v).cast("int")
+    return out
 
 
 def log_bin(v: Column, width: float = C.LOG_BIN_WIDTH) -> Column:

@@ -117,10 +117,10 @@ def with_prediction(scored: DataFrame, thresholds: DataFrame, score: str) -> Dat
     return scored.join(t, "fold").withColumn("y_pred", (F.col(score) >= F.col("_t")).cast("int")).drop("_t")
 
 
-def decile_metrics(scored: DataFrame, score: str, label: str, dist: str, edges: Column) -> DataFrame:
+def decile_metrics(scored: DataFrame, score: str, label: str, dist: str, edges: Column, n_edges: int = 9) -> DataFrame:
     """Precision and recall per fold and distance bin at each fold's own best-F1 threshold; undefined is null."""
     best = best_f1(score_curve(scored, ["fold"], score, label), ["fold"])
-    tagged = with_prediction(scored, best, score).withColumn("decile", E.digitize(F.col(dist), edges))
+    tagged = with_prediction(scored, best, score).withColumn("decile", E.digitize(F.col(dist), edges, n_edges))
     hit, y = F.col("y_pred") == 1, F.col(label) == 1
     agg = tagged.groupBy("fold", "decile").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(y).alias("n_pos"),
@@ -128,7 +128,7 @@ def decile_metrics(scored: DataFrame, score: str, label: str, dist: str, edges:
     )
     grid = (
         scored.select("fold").distinct()
-        .withColumn("decile", F.explode(F.sequence(F.lit(0), F.size(edges))))
+        .withColumn("decile", F.explode(F.sequence(F.lit(0), F.lit(n_edges))))
     )
     zero = F.lit(0).cast("bigint")
     full = grid.join(agg, ["fold", "decile"], "left").select(

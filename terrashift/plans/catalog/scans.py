@@ -239,9 +239,9 @@ def fold_predicates(fx: Fixtures):
     )
 
 
-@register("leak_free_columns", "P12", "SELECT row, col, x, y, round(dist_m, 2) AS dist_m, label, label_name, tile_row, tile_col FROM smp")
+@register("leak_free_columns", "P12", "SELECT row, col, x, y, dist_m, label, label_name, tile_row, tile_col FROM smp")
 def leak_free_columns(fx: Fixtures):
-    return fx.samples.select(*ti.LABEL_COLS).withColumn(DIST, F.round(DIST, 2))
+    return fx.samples.select(*ti.LABEL_COLS)
 
 
 @register("indicator_weights", "P15 D14", """

@@ -20,6 +20,7 @@ from terrashift.operators import folds as fo
 from terrashift.operators import pool as po
 from terrashift.operators import summaries as S
 from terrashift.operators import tiles as ti
+from terrashift.session import materialise
 
 LAT = C.Lattice()
 TILE = LAT.coarser(32)
@@ -88,11 +89,11 @@ class Fixtures:
 
     @cached_property
     def blocks(self) -> DataFrame:
-        return S.class_counts(self.samples, ["block_id"])
+        return materialise(S.class_counts(self.samples, ["block_id"]), "blocks")
 
     @cached_property
     def folds(self) -> DataFrame:
-        return fo.snake_folds(self.blocks, FOLDS, method="md5")
+        return materialise(fo.snake_folds(self.blocks, FOLDS, method="md5"), "folds")
 
     @cached_property
     def samples_fold(self) -> DataFrame:
@@ -119,11 +120,11 @@ class Fixtures:
 
     @cached_property
     def calibration(self) -> DataFrame:
-        return po.fold_calibration(self.samples_fold, DIST, POOL, self.budget)
+        return materialise(po.fold_calibration(self.samples_fold, DIST, POOL, self.budget), "calibration")
 
     @cached_property
     def pool(self) -> DataFrame:
-        return po.draw(self.samples_fold, self.calibration, DIST, POOL)
+        return materialise(po.draw(self.samples_fold, self.calibration, DIST, POOL), "pool")
 
     @cached_property
     def oof(self) -> DataFrame:
@@ -188,7 +189,7 @@ class Fixtures:
 
     @cached_property
     def profiles(self) -> DataFrame:
-        return S.block_profiles(self.samples, DIST, BLOCK)
+        return materialise(S.block_profiles(self.samples, DIST, BLOCK), "profiles")
 
 
 def _event_tile(t: Column) -> Column:
@@ -233,7 +234,7 @@ RELATIONS = {
     "sf": "SELECT s.*, f.fold FROM smp s JOIN fld f USING (block_id)",
     "emb": "SELECT vec_id, embedding, (SELECT COUNT(*) FROM embeddings) AS m FROM embeddings",
     "til": """SELECT s.row, s.col, s.tile_id, s.tile_row, s.tile_col, s.year,
-        CASE WHEN (s.row + s.col + s.year) % 37 = 0 THEN list_transform(e.embedding, v -> 0) ELSE list_transform(e.embedding, v -> CAST(round(v::DOUBLE * 127) + 128 AS INTEGER)) END AS bands
+        CASE WHEN (s.row + s.col + s.year) % 37 = 0 THEN [0 for v in e.embedding] ELSE [CAST(round(v::DOUBLE * 127) + 128 AS INTEGER) for v in e.embedding] END AS bands
         FROM (SELECT s0.*, y.year FROM smp s0, (SELECT unnest([2017, 2018, 2019]) AS year) y) s, grid g, emb e
         WHERE e.vec_id = ((s.row * g.w + s.col) * 3 + (s.year - 2017)) % e.m""",
     "cal0": """SELECT fold, COUNT(*) AS n, COUNT(*) FILTER (label = 1) AS n1, COUNT(*) FILTER (label = 2) AS n2, COUNT(*) FILTER (label = 0) AS n0,

@@ -18,6 +18,7 @@ def local_session(cores: str = "8", app: str = "terrashift") -> SparkSession:
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -38,6 +39,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Hand a stage result over as a table in the shared folder.
+
+    Later stages read files instead of recomputing, and the planner knows the table's true size when it decides
+    between a broadcast and a shuffle.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result is read from the shared folder, so a lost executor costs a re-read only."""
     spark = df.sparkSession
