@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from terrashift.config import ClusterSpec
 from terrashift.functions import expressions as E
 from terrashift.operators import summaries as S
+from terrashift.operators.ordered import quantile_columns
 from terrashift.operators.pool import subsample_runs
 from terrashift.session import cut_lineage
 
@@ -125,8 +126,8 @@ def calinski_harabasz(df: DataFrame, label: str, vec: str, d: int) -> DataFrame:
         F.sum(F.pow(E.array_distance(F.col(vec), F.col("_mean")), 2.0)).alias("w")
     )
     grand = _knot_means(df, [], vec, d).select("_mean").scalar()
-    between = means.agg(
-        F.sum(F.col("_n") * F.pow(E.array_distance(F.col("_mean"), grand), 2.0)).alias("b"),
+    between = means.withColumn("_grand", grand).agg(
+        F.sum(F.col("_n") * F.pow(E.array_distance(F.col("_mean"), F.col("_grand")), 2.0)).alias("b"),
         F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k"),
     )
     return between.withColumn("w", within.scalar()).select(
@@ -232,9 +233,7 @@ def cluster_by_fold(clusters: DataFrame, folds: DataFrame, k: int) -> DataFrame:
 
 def knot_bands(profiles: DataFrame, clusters: DataFrame) -> DataFrame:
     """10th, 50th and 90th percentile over member blocks at every knot of every cluster."""
-    from terrashift.operators.ordered import quantile_columns
-
     long = profiles.join(clusters.select("block_id", "cluster"), "block_id").select(
-        "cluster", F.posexplode("q").alias("knot", "v")
+        "cluster", F.posexplode("q").alias("at", "v")
     )
-    return quantile_columns(long, ["cluster", "knot"], "v", {"lo": 0.1, "mid": 0.5, "hi": 0.9})
+    return quantile_columns(long, ["cluster", "at"], "v", {"lo": 0.1, "mid": 0.5, "hi": 0.9}).withColumnRenamed("at", "knot")

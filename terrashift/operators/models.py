@@ -8,12 +8,13 @@ from itertools import product
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrashift import config as C
 from terrashift.config import Experiment
 from terrashift.functions import expressions as E
 from terrashift.operators import evaluate as V
@@ -28,6 +29,7 @@ def with_features(df: DataFrame, experiment: Experiment) -> DataFrame:
     for c in experiment.features:
         if c in arrays:
             out = out.withColumn(f"_v_{c}", array_to_vector(F.transform(c, lambda v: F.coalesce(v.cast("double"), F.lit(0.0)))))
+            out = VectorSizeHint(inputCol=f"_v_{c}", size=C.N_BANDS, handleInvalid="optimistic").transform(out)
             cols.append(f"_v_{c}")
         else:
             cols.append(c)

@@ -8,6 +8,7 @@ parameters and the raster's outline. No group depends on how values are spread,
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -99,7 +100,7 @@ def box_means(
     )
     ext = extent
 
-    def one_window(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one_window(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         ask = pdf[pdf["kind"] == 0]
         if ask.empty:
             return pd.DataFrame({"row": [], "col": [], **{n: [] for n in names}})
@@ -133,7 +134,7 @@ def column_nearest(marked: DataFrame, extent: Extent, strip: int = 64, band: int
     """
     ext = extent
 
-    def one_strip(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one_strip(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         height = ext.row1 - ext.row0 + 1
         c0 = ext.col0 + int(key[0]) * strip
         width = min(strip, ext.col1 - c0 + 1)
@@ -199,7 +200,7 @@ def nearest_marked(
         "row", "col", F.floor((F.col("row") - ext.row0) / F.lit(float(band))).cast("int").alias("band")
     )
 
-    def one_band(key, strips: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+    def one_band(key: tuple[Any, ...], strips: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         first = int(key[0]) * band
         height = min(band, ext.row1 - ext.row0 + 1 - first)
         near = np.full((height, ext.col1 - ext.col0 + 1), -1, dtype=np.int32)

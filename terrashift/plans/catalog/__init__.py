@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from terrashift.plans.catalog import evaluation, folds_pool, scans, statistics  # noqa: F401
+from terrashift.plans.catalog import evaluation, folds_pool, regions, scans, statistics, surfaces  # noqa: F401

@@ -282,9 +282,9 @@ def cluster_by_fold(fx: Fixtures):
 
 
 @register("cluster_knot_bands", "A21", f"""{_PROF}, l AS (SELECT cluster, unnest(q) AS v, generate_subscripts(q, 1) - 1 AS knot FROM lab)
-    SELECT cluster, CAST(knot AS INTEGER) AS knot, round(quantile_cont(v, 0.1), 6) AS lo, round(quantile_cont(v, 0.5), 6) AS mid, round(quantile_cont(v, 0.9), 6) AS hi FROM l GROUP BY 1, 2""")
+    SELECT cluster, CAST(knot AS INTEGER) AS knot, round(quantile_cont(v, 0.1), 9) AS lo, round(quantile_cont(v, 0.5), 9) AS mid, round(quantile_cont(v, 0.9), 9) AS hi FROM l GROUP BY 1, 2""")
 def cluster_knot_bands(fx: Fixtures):
-    return _round(cl.knot_bands(fx.profiles, _labelled(fx)), 6, "lo", "mid", "hi")
+    return _round(cl.knot_bands(fx.profiles, _labelled(fx)), 9, "lo", "mid", "hi")
 
 
 @register("cluster_distance_histogram", "A22 J2", f"""{_PROF}
