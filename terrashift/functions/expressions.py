@@ -30,7 +30,9 @@ def code_name(col: Column, names: dict[int, str]) -> Column:
 
 
 def encode_band(x: Column) -> Column:
-    return (F.round(x * C.BAND_SCALE) + C.BAND_OFFSET).cast("smallint")
+    """Byte code of a value, halves away from zero; written with floor because round() works on decimals."""
+    v = x * C.BAND_SCALE
+    return (F.signum(v) * F.floor(F.abs(v) + 0.5) + C.BAND_OFFSET).cast("smallint")
 
 
 def decode_band(v: Column) -> Column:

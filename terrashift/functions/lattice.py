@@ -24,12 +24,18 @@ def center_y(row: Column, lat: Lattice) -> Column:
     return F.lit(lat.origin_y) - (row + F.lit(0.5)) * F.lit(lat.pixel_m)
 
 
+def _padded(v: Column, width: int) -> Column:
+    """Zero-padded number; longer numbers keep all digits. Padding stays inside generated code, formatting does not."""
+    text = v.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
+
+
 def tile_id(row: Column, col: Column) -> Column:
-    return F.format_string("r%03d_c%03d", row, col)
+    return F.concat(F.lit("r"), _padded(row, 3), F.lit("_c"), _padded(col, 3))
 
 
 def block_id(row: Column, col: Column) -> Column:
-    return F.format_string("b%04d_%04d", row, col)
+    return F.concat(F.lit("b"), _padded(row, 4), F.lit("_"), _padded(col, 4))
 
 
 def parse_tile_id(ident: Column) -> tuple[Column, Column]:

@@ -39,7 +39,8 @@ def running_totals(
 
     ``bucket`` must be monotone in ``order``; ``descending`` says which way the buckets run. Keys must not be null.
     """
-    d = df.withColumn("_b", bucket)
+    # A bucket that cannot be null needs no null filter, so both branches share one shuffle of the input.
+    d = df.withColumn("_b", F.coalesce(bucket, F.lit(0).cast("bigint")))
     part = d.groupBy(*keys, "_b").agg(*[F.sum(e).alias(f"_s_{n}") for n, e in sums.items()])
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     along = group.orderBy(F.desc("_b") if descending else F.asc("_b")).rowsBetween(
@@ -69,35 +70,52 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     run = running_totals(counted, keys, magnitude_bucket(F.col("_v")), [F.asc("_v")], {"n": F.col("_n")})
-    knots = F.array(
-        *[F.struct(F.lit(i).alias("knot"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]
-    )
     last = F.col("tot_n") - 1
     first, end = F.col("cum_n") - F.col("_n"), F.col("cum_n")
 
     def covers(rank: Column) -> Column:
         return (rank >= first) & (rank < end)
 
-    hits = F.filter(
-        knots, lambda k: covers(F.floor(k["p"] * last)) | covers(F.ceil(k["p"] * last))
-    )
-    long = run.select(*keys, "_v", "cum_n", "_n", "tot_n", F.explode(hits).alias("k"))
-    rank = F.col("k.p") * last
+    long = _candidate_knots(run, list(probs), first, end, last)
+    rank = F.col("p") * last
     return (
         long.select(
-            *keys,
-            F.col("k.knot").alias("knot"),
-            F.col("k.p").alias("p"),
+            *keys, "knot", "p",
             F.when(covers(F.floor(rank)), F.col("_v")).alias("_lo"),
             F.when(covers(F.ceil(rank)), F.col("_v")).alias("_hi"),
             (rank - F.floor(rank)).alias("_f"),
         )
+        .where("_lo is not null or _hi is not null")
         .groupBy(*keys, "knot", "p")
         .agg(F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_f").alias("_f"))
         .select(*keys, "knot", "p", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("q"))
     )
 
 
+def _candidate_knots(run: DataFrame, probs: list, first: Column, end: Column, last: Column) -> DataFrame:
+    """Rows repeated for the probabilities whose rank may fall on them.
+
+    Evenly spaced probabilities are found by arithmetic, so almost all rows drop out in generated code.
+    """
+    table = F.array(*[F.lit(float(p)) for p in probs])
+    m = len(probs)
+    step = (probs[-1] - probs[0]) / (m - 1) if m > 1 else 1.0
+    even = m > 1 and all(abs(probs[0] + i * step - p) < 1e-9 for i, p in enumerate(probs))
+    if even:
+        def at(rank: Column) -> Column:
+            share = F.coalesce(F.try_divide(rank.cast("double"), last.cast("double")), F.lit(0.0))
+            return (share - F.lit(float(probs[0]))) / F.lit(step)
+
+        lo = F.greatest(F.lit(0), F.ceil(at(first - 1) - 1e-6).cast("int"))
+        hi = F.least(F.lit(m - 1), F.floor(at(end) + 1e-6).cast("int"))
+        single = last == 0
+        spread = run.withColumn("_a", F.when(single, 0).otherwise(lo)).withColumn("_z", F.when(single, m - 1).otherwise(hi))
+        spread = spread.where("_a <= _z").withColumn("knot", F.explode(F.sequence("_a", "_z")))
+    else:
+        spread = run.withColumn("knot", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    return spread.withColumn("p", F.element_at(table, F.col("knot") + 1))
+
+
 def quantile_columns(df: DataFrame, keys: list[str], value: str, named: dict[str, float]) -> DataFrame:
     """The same quantiles as one wide row per group."""
     long = quantiles(df, keys, value, list(named.values()))

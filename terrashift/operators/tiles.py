@@ -13,23 +13,33 @@ LABEL_COLS = ["row", "col", "x", "y", "dist_m", "label", "label_name", "tile_row
 
 
 def labelled_sample(pixels: DataFrame, base: str, target: str, keep_unlabelled: bool = False) -> DataFrame:
-    """Base-year wetland pixels with label and name; pixels without a target observation are dropped."""
-    out = pixels.where(F.col(base).isin(*C.WETLAND_CODES)).withColumn("label", E.transition_label(F.col(target)))
+    """Base-year wetland pixels with label and name; pixels without a target observation are dropped.
+
+    Both filters are on stored codes rather than on the derived label, so they reach the scan.
+    """
+    wet = pixels.where(F.col(base).isin(*C.WETLAND_CODES))
     if not keep_unlabelled:
-        out = out.where("label <> -1")
-    return out.withColumn("label_name", E.code_name(F.col("label"), C.LABEL_NAMES))
-
-
-def with_tile_index(samples: DataFrame, tile: C.Lattice, pixel_m: float) -> DataFrame:
-    """Tile of a sample and its pixel offset inside the tile, from coordinates alone."""
-    gr, gc = L.cell_row(F.col("y"), tile), L.cell_col(F.col("x"), tile)
-    box = L.cell_box(F.col("grid_row"), F.col("grid_col"), tile)
-    return samples.withColumns({"grid_row": gr, "grid_col": gc}).withColumns(
-        {
-            "tile_row": F.floor((box["maxy"] - F.col("y")) / F.lit(pixel_m)).cast("int"),
-            "tile_col": F.floor((F.col("x") - box["minx"]) / F.lit(pixel_m)).cast("int"),
-            "tile_id": L.tile_id(F.col("grid_row"), F.col("grid_col")),
-        }
+        wet = wet.where(F.col(target) != C.NODATA_CODE)
+    return wet.withColumn("label", E.transition_label(F.col(target))).withColumn(
+        "label_name", E.code_name(F.col("label"), C.LABEL_NAMES))
+
+
+def with_tile_index(samples: DataFrame, lat: C.Lattice, size: int) -> DataFrame:
+    """Tile of a sample and its pixel offset inside the tile, from coordinates alone; tiles are ``size`` pixels wide."""
+    n = F.lit(float(size))
+    pr, pc = L.cell_row(F.col("y"), lat), L.cell_col(F.col("x"), lat)
+    return (
+        samples.withColumns({"_pr": pr, "_pc": pc})
+        .withColumns(
+            {
+                "grid_row": F.floor(F.col("_pr") / n).cast("int"),
+                "grid_col": F.floor(F.col("_pc") / n).cast("int"),
+                "tile_row": F.pmod("_pr", F.lit(size)),
+                "tile_col": F.pmod("_pc", F.lit(size)),
+            }
+        )
+        .withColumn("tile_id", L.tile_id(F.col("grid_row"), F.col("grid_col")))
+        .drop("_pr", "_pc")
     )
 
 

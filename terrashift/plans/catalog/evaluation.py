@@ -87,7 +87,7 @@ def fixed_threshold_metrics(fx: Fixtures):
     SELECT g.fold, g.decile, COUNT(d.hit) AS n, COUNT(*) FILTER (y) AS n_pos, round(COUNT(*) FILTER (hit AND y)::DOUBLE / nullif(COUNT(*) FILTER (hit), 0), 7) AS precision, round(COUNT(*) FILTER (hit AND y)::DOUBLE / nullif(COUNT(*) FILTER (y), 0), 7) AS recall
     FROM g LEFT JOIN d ON g.fold = d.fold AND g.decile = d.decile GROUP BY 1, 2""")
 def decile_precision_recall(fx: Fixtures):
-    edges = O.quantile_vector(fx.samples, [], DIST, [i / 10 for i in range(1, 10)]).select("q").scalar()
+    edges = O.quantile_vector(fx.stored, [], DIST, [i / 10 for i in range(1, 10)]).select("q").scalar()
     return _round(V.decile_metrics(fx.oof, "y_score", "label_bin", DIST, edges), 7, "precision", "recall")
 
 
@@ -134,10 +134,10 @@ def fold_metric_summary(fx: Fixtures):
 def _model_tables(fx: Fixtures, bands: bool = False):
     """Samples and pool with neighbourhood features (and the bands of the last year, where asked for)."""
     ext = R.Extent.of(fx.pixels)
-    nf = R.neighbourhood_features(fx.pixels, "lc_2019", fx.samples, ext)
+    nf = R.neighbourhood_features(fx.pixels, "lc_2019", fx.stored, ext)
     s = fx.samples_fold.join(nf, ["row", "col"], "left")
     if bands:
-        b = ti.extract(fx.samples, fx.tiles.where("year = 2019"), 32).select("row", "col", "bands")
+        b = ti.extract(fx.stored, fx.tiles.where("year = 2019"), 32).select("row", "col", "bands")
         s = s.join(b, ["row", "col"])
     s = materialise(s, "model_samples")
     return s, materialise(po.draw(s, fx.calibration, DIST, po.PoolSpec(tau_m=2000.0, hash_method="md5")), "model_pool")
@@ -290,7 +290,7 @@ def cluster_knot_bands(fx: Fixtures):
 @register("cluster_distance_histogram", "A22 J2", f"""{_PROF}
     SELECT cluster, CAST(floor(log10(dist_m) / 0.05::DOUBLE) AS BIGINT) AS bin_idx, COUNT(*) AS n FROM smp JOIN lab USING (block_id) GROUP BY 1, 2""")
 def cluster_distance_histogram(fx: Fixtures):
-    j = fx.samples.join(_labelled(fx).select("block_id", "cluster"), "block_id")
+    j = fx.stored.join(_labelled(fx).select("block_id", "cluster"), "block_id")
     return S.log_histogram(j, ["cluster"], DIST).drop("left_m", "right_m")
 
 

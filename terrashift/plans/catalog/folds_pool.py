@@ -79,7 +79,7 @@ def inclusion_probabilities(fx: Fixtures):
 
 @register("key_hash_uniform", "X3", f"SELECT row, col, {sql_uniform('row', 'col', seed=42)} AS u FROM smp")
 def key_hash_uniform(fx: Fixtures):
-    return fx.samples.select("row", "col", E.uniform([F.col("row"), F.col("col")], 42, "md5").alias("u"))
+    return fx.stored.select("row", "col", E.uniform([F.col("row"), F.col("col")], 42, "md5").alias("u"))
 
 
 @register("weighted_pool_draw", "D4 U1 J3 X10", """
@@ -111,7 +111,7 @@ def fold_key_sample(fx: Fixtures):
 def independent_key_samples(fx: Fixtures):
     k = [F.col("row"), F.col("col")]
     a, b = E.uniform(k, 99, "md5") < 0.2, E.uniform(k, 21, "md5") < 0.2
-    return fx.samples.agg(F.count_if(a).alias("first"), F.count_if(b).alias("second"), F.count_if(a & b).alias("both"))
+    return fx.stored.agg(F.count_if(a).alias("first"), F.count_if(b).alias("second"), F.count_if(a & b).alias("both"))
 
 
 @register("stratified_batches", "D9", f"""
@@ -122,9 +122,9 @@ def independent_key_samples(fx: Fixtures):
     dr AS (SELECT sl.*, floor({sql_uniform('batch', 'slot', seed=4)} * k) AS pos FROM sl JOIN (SELECT DISTINCT stratum, k FROM rk) USING (stratum))
     SELECT CAST(batch AS INTEGER) AS batch, CAST(slot AS INTEGER) AS slot, dr.stratum, row, col FROM dr JOIN rk ON dr.stratum = rk.stratum AND dr.pos = rk.pos""")
 def stratified_batches(fx: Fixtures):
-    z = fx.samples.agg(F.struct(F.avg(F.log1p(DIST)).alias("m"), F.stddev_samp(F.log1p(DIST)).alias("s"), F.count(F.lit(1)).alias("n")).alias("z"))
+    z = fx.stored.agg(F.struct(F.avg(F.log1p(DIST)).alias("m"), F.stddev_samp(F.log1p(DIST)).alias("s"), F.count(F.lit(1)).alias("n")).alias("z"))
     stats = z.first()["z"]
-    s = fx.samples.select(
+    s = fx.stored.select(
         "row", "col", po.stratum((F.col("label") == 1).cast("int"), (F.log1p(DIST) - stats["m"]) / stats["s"]).alias("stratum")
     )
     return po.stratified_batches(s, ["row", "col"], stats["n"] // 64, 64, {"positive": 0.1, "near": 0.1}, "other", 3, "md5")

@@ -30,7 +30,7 @@ def sample_view_scan(fx: Fixtures):
 def partitioned_sink_roundtrip(fx: Fixtures):
     """Write tiles, rewrite some of them, skip the finished ones, and read the result back."""
     path = scratch_path(fx.spark, "tiles")
-    rows = fx.samples.select("row", "col", "tile_id", "label", DIST)
+    rows = fx.stored.select("row", "col", "tile_id", "label", DIST)
     first = rows.where(F.xxhash64("tile_id") % 2 == 0)
     src.write_by_tile(first, path)
     src.write_by_tile(first, path)
@@ -46,7 +46,7 @@ def streaming_tile_pickup(fx: Fixtures):
     """Tiles arrive in two deliveries; each run of the stream processes only the files that are new."""
     spark = fx.spark
     inbox, sink, ck = (scratch_path(spark, n) for n in ("inbox", "picked", "progress"))
-    rows = fx.samples.select("row", "col", "tile_id", "label")
+    rows = fx.stored.select("row", "col", "tile_id", "label")
     early = F.xxhash64("tile_id") % 2 == 0
     for part in (rows.where(early), rows.where(~early)):
         part.write.mode("append").parquet(inbox)
@@ -267,7 +267,7 @@ def small_group_flag(fx: Fixtures):
     FROM smp s JOIN til t ON s.row = t.row AND s.col = t.col WHERE list_max(bands) > 0 GROUP BY t.year""")
 def tile_gather(fx: Fixtures):
     """Sample lookup in tiles by integer offset, uncovered pixels dropped, bytes decoded."""
-    got = ti.extract(fx.samples, fx.tiles, 32).join(fx.samples.select("row", "col", "label"), ["row", "col"])
+    got = ti.extract(fx.stored, fx.tiles, 32).join(fx.stored.select("row", "col", "label"), ["row", "col"])
     return got.groupBy("year").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum(F.element_at("bands", 7).cast("double")), 3).alias("b6"), F.sum("label").alias("label_sum")
     )
@@ -278,9 +278,9 @@ def tile_gather(fx: Fixtures):
     SELECT s.block_id, c.tile_id, COUNT(*) AS n, CAST(SUM(c.s) AS BIGINT) AS code_sum FROM c JOIN smp s ON s.row = c.row AND s.col = c.col GROUP BY 1, 2""")
 def multi_year_assembly(fx: Fixtures):
     """Pixels with every year, tiles with every year, block id stamped, outcome columns left behind."""
-    ex = ti.extract(fx.samples, fx.tiles, 32)
+    ex = ti.extract(fx.stored, fx.tiles, 32)
     ex = ex.join(ti.ready_tiles(ex, C.YEARS).select("tile_id"), "tile_id", "left_semi")
-    table = ti.feature_table(fx.samples, ti.assemble(ex, C.YEARS))
+    table = ti.feature_table(fx.stored, ti.assemble(ex, C.YEARS))
     code = lambda y: E.encode_band(F.element_at(f"bands_{y}", 1).cast("double")) * (y - 2016)
     return table.groupBy("block_id", "tile_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(code(2017) + code(2018) + code(2019)).alias("code_sum")

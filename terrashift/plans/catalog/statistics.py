@@ -98,7 +98,7 @@ def fold_distance_ecdf(fx: Fixtures):
     e AS (SELECT quantile_cont(dist_m, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM smp)
     SELECT CAST(i AS INTEGER) AS decile, CASE WHEN i > 0 THEN round(q[i], 8) END AS low, CASE WHEN i < 9 THEN round(q[i + 1], 8) END AS high FROM e, (SELECT unnest(range(0, 10)) AS i)""")
 def distance_decile_bins(fx: Fixtures):
-    b = S.decile_bins(fx.samples, DIST)
+    b = S.decile_bins(fx.stored, DIST)
     return b.select("decile", F.round("low", 8).alias("low"), F.round("high", 8).alias("high"))
 
 
@@ -109,15 +109,15 @@ def distance_decile_bins(fx: Fixtures):
     FROM (SELECT len([v for v in q if v <= dist_m]) AS d, t FROM smp, t) GROUP BY 1""")
 def distance_decile_labels(fx: Fixtures):
     """Rows per decile, the bin found by counting edges not above the distance."""
-    bins = S.decile_bins(fx.samples, DIST)
-    edges = O.quantile_vector(fx.samples, [], DIST, [i / 10 for i in range(1, 10)]).select("q").scalar()
-    n = fx.samples.groupBy(E.digitize(F.col(DIST), edges, 9).alias("decile")).agg(F.count(F.lit(1)).alias("n"))
+    bins = S.decile_bins(fx.stored, DIST)
+    edges = O.quantile_vector(fx.stored, [], DIST, [i / 10 for i in range(1, 10)]).select("q").scalar()
+    n = fx.stored.groupBy(E.digitize(F.col(DIST), edges, 9).alias("decile")).agg(F.count(F.lit(1)).alias("n"))
     return bins.join(n, "decile").select("label", "n")
 
 
 @register("median_distance_by_label", "A11", "SELECT label_name, COUNT(*) AS n, round(avg(dist_m), 6) AS mean, round(median(dist_m), 8) AS median FROM smp GROUP BY 1")
 def median_distance_by_label(fx: Fixtures):
-    return _round(_round(S.group_median_mean(fx.samples, ["label_name"], DIST), 6, "mean"), 8, "median")
+    return _round(_round(S.group_median_mean(fx.stored, ["label_name"], DIST), 6, "mean"), 8, "median")
 
 
 @register("leave_one_out_normaliser", "A12 A24 D13", """
@@ -173,7 +173,7 @@ def destination_counts(fx: Fixtures):
     r AS (SELECT lc_2024 FROM smp WHERE label = 2 GROUP BY 1 ORDER BY COUNT(*) DESC, lc_2024 LIMIT 3), t AS (SELECT lc_2019, COUNT(*) AS tot FROM smp GROUP BY 1)
     SELECT s.lc_2019, s.lc_2024, COUNT(*) AS pixels, round(100.0::DOUBLE * COUNT(*) / any_value(tot), 6) AS pct_of_2019_wetland FROM smp s JOIN r USING (lc_2024) JOIN t USING (lc_2019) WHERE label = 2 GROUP BY 1, 2""")
 def top_destination_breakdown(fx: Fixtures):
-    s = fx.samples
+    s = fx.stored
     top = S.destination_shares(s).where("is_top").select("lc_2024")
     totals = s.groupBy("lc_2019").agg(F.count(F.lit(1)).alias("tot"))
     n = s.where("label = 2").groupBy("lc_2019", "lc_2024").agg(F.count(F.lit(1)).alias("pixels"))
@@ -203,8 +203,8 @@ def lineitem_flag_crosstab(fx: Fixtures):
     SELECT code, name, COUNT(s.lc_2024) AS pixels, round(COUNT(s.lc_2024) * 900 / 1e6, 6) AS area_km2, round(100.0::DOUBLE * COUNT(s.lc_2024) / (SELECT COUNT(*) FROM smp), 6) AS pct
     FROM d LEFT JOIN (SELECT * FROM smp WHERE label = 1) s ON s.lc_2024 = code GROUP BY 1, 2""")
 def developed_intensity_counts(fx: Fixtures):
-    total = fx.samples.agg(F.count(F.lit(1)).alias("n_total"))
-    return _round(S.reindexed_counts(fx.samples.where("label = 1"), "lc_2024", C.DEVELOPED_NAMES, total), 6, "area_km2", "pct")
+    total = fx.stored.agg(F.count(F.lit(1)).alias("n_total"))
+    return _round(S.reindexed_counts(fx.stored.where("label = 1"), "lc_2024", C.DEVELOPED_NAMES, total), 6, "area_km2", "pct")
 
 
 @register("label_areas", "A28 A29", f"SELECT label, COUNT(*) AS n, round(COUNT(*) * 900 / 1e6, 6) AS area_km2, round(COUNT(*) * 900 / {C.M2_PER_ACRE}::DOUBLE, 4) AS acres FROM smp GROUP BY 1")
@@ -288,7 +288,7 @@ def block_size_summary(fx: Fixtures):
 @register("equal_count_distance_bins", "W6", """
     SELECT bin, COUNT(*) AS n, round(min(dist_m), 4) AS low, round(max(dist_m), 4) AS high FROM (SELECT dist_m, CAST(ntile(10) OVER (ORDER BY dist_m) - 1 AS INTEGER) AS bin FROM smp) GROUP BY bin""")
 def equal_count_distance_bins(fx: Fixtures):
-    r = O.global_rank(fx.samples.select("row", "col", DIST), [], DIST, ["row", "col"])
+    r = O.global_rank(fx.stored.select("row", "col", DIST), [], DIST, ["row", "col"])
     g = r.groupBy(O.equal_count_bin(F.col("pos"), F.col("tot_n"), 10).alias("bin"))
     return _round(g.agg(F.count(F.lit(1)).alias("n"), F.min(DIST).alias("low"), F.max(DIST).alias("high")), 4, "low", "high")
 
@@ -303,4 +303,4 @@ def block_size_order(fx: Fixtures):
     SELECT row, col, label FROM smp ORDER BY (('0x' || substr(md5(concat_ws('|', row, col, '5')), 1, 8))::BIGINT), row, col LIMIT 2000""")
 def exact_pixel_sample(fx: Fixtures):
     """A sample of exactly 2,000 pixels, decided by key hash."""
-    return O.exact_sample(fx.samples.select("row", "col", "label"), ["row", "col"], 2000, 5, "md5")
+    return O.exact_sample(fx.stored.select("row", "col", "label"), ["row", "col"], 2000, 5, "md5")

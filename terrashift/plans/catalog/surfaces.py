@@ -54,7 +54,7 @@ def development_edges(fx: Fixtures):
 def local_density(fx: Fixtures):
     ext = R.Extent.of(fx.pixels)
     layers = {n: ("developed", R.radius_px(r)) for n, r in C.DENSITY_RADII_M.items()}
-    out = R.box_means(_marked(fx).withColumn("layer", F.lit("developed")), fx.samples, ext, layers)
+    out = R.box_means(_marked(fx).withColumn("layer", F.lit("developed")), fx.stored, ext, layers)
     return out.withColumns({n: F.round(n, 7) for n in layers})
 
 
@@ -63,7 +63,7 @@ def local_density(fx: Fixtures):
 def edge_density(fx: Fixtures):
     ext = R.Extent.of(fx.pixels)
     edges = R.edge_cells(_marked(fx), ext).withColumn("layer", F.lit("edge"))
-    out = R.box_means(edges, fx.samples, ext, {"edge_density_300m": ("edge", 10)}, window=64)
+    out = R.box_means(edges, fx.stored, ext, {"edge_density_300m": ("edge", 10)}, window=64)
     return out.withColumn("edge_density_300m", F.round("edge_density_300m", 7))
 
 
@@ -88,7 +88,7 @@ def nearest_in_column(fx: Fixtures):
                 yield pd.DataFrame({"row": r + b * band + ext.row0, "col": c + s * strip + ext.col0, "near_row": a[r, c] + ext.row0})
 
     cells = packed.mapInPandas(unpack, "row int, col int, near_row int")
-    return cells.join(fx.samples.select("row", "col"), ["row", "col"])
+    return cells.join(fx.stored.select("row", "col"), ["row", "col"])
 
 
 _NEAR = """d AS (SELECT row, col FROM px WHERE lc_2019 BETWEEN 21 AND 24),
@@ -98,14 +98,14 @@ _NEAR = """d AS (SELECT row, col FROM px WHERE lc_2019 BETWEEN 21 AND 24),
 
 @register("distance_to_development", "G6 J15", f"{_NEAR} SELECT row, col, near_row, near_col, round(sqrt(d2) * 30, 5) AS dist_m FROM near")
 def distance_to_development(fx: Fixtures):
-    near = R.nearest_marked(_marked(fx), fx.samples, R.Extent.of(fx.pixels))
+    near = R.nearest_marked(_marked(fx), fx.stored, R.Extent.of(fx.pixels))
     return near.withColumn("dist_m", F.round("dist_m", 5))
 
 
 @register("direction_to_development", "G9 X2", f"""{_NEAR}
     SELECT row, col, round(sin(atan2((near_row - row) * -30.0::DOUBLE, (near_col - col) * 30.0::DOUBLE)), 7) AS dev_dir_sin, round(cos(atan2((near_row - row) * -30.0::DOUBLE, (near_col - col) * 30.0::DOUBLE)), 7) AS dev_dir_cos FROM near""")
 def direction_to_development(fx: Fixtures):
-    near = R.nearest_marked(_marked(fx), fx.samples, R.Extent.of(fx.pixels))
+    near = R.nearest_marked(_marked(fx), fx.stored, R.Extent.of(fx.pixels))
     s, c = R.direction(F.col("row"), F.col("col"), F.col("near_row"), F.col("near_col"))
     return near.select("row", "col", F.round(s, 7).alias("dev_dir_sin"), F.round(c, 7).alias("dev_dir_cos"))
 
@@ -115,7 +115,7 @@ def direction_to_development(fx: Fixtures):
       round(sin(atan2((near_row - row) * -30.0::DOUBLE, (near_col - col) * 30.0::DOUBLE)), 5) AS dev_dir_sin, round(cos(atan2((near_row - row) * -30.0::DOUBLE, (near_col - col) * 30.0::DOUBLE)), 5) AS dev_dir_cos
     FROM v3_dev a JOIN v10_dev b USING (row, col) JOIN v17_dev c USING (row, col) JOIN v10_edge e USING (row, col) JOIN near USING (row, col)""")
 def neighbourhood_feature_table(fx: Fixtures):
-    nf = R.neighbourhood_features(fx.pixels, "lc_2019", fx.samples, R.Extent.of(fx.pixels))
+    nf = R.neighbourhood_features(fx.pixels, "lc_2019", fx.stored, R.Extent.of(fx.pixels))
     return nf.select("row", "col", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in C.NEIGHBOUR_COLS])
 
 

@@ -80,16 +80,24 @@ class Fixtures:
     @cached_property
     def all_samples(self) -> DataFrame:
         """Base-year wetland pixels, also those without a target observation."""
-        s = ti.labelled_sample(self.pixels, "lc_2019", "lc_2024", keep_unlabelled=True)
-        return ti.with_block_id(ti.with_tile_index(s, TILE, LAT.pixel_m), BLOCK)
+        return self._placed(keep_unlabelled=True)
+
+    def _placed(self, keep_unlabelled: bool) -> DataFrame:
+        s = ti.labelled_sample(self.pixels, "lc_2019", "lc_2024", keep_unlabelled)
+        return ti.with_block_id(ti.with_tile_index(s, LAT, 32), BLOCK)
 
     @cached_property
     def samples(self) -> DataFrame:
-        return self.all_samples.where("label <> -1")
+        return self._placed(keep_unlabelled=False)
+
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The label table as later stages find it: written once, read with column pruning."""
+        return materialise(self.samples, "labels")
 
     @cached_property
     def blocks(self) -> DataFrame:
-        return materialise(S.class_counts(self.samples, ["block_id"]), "blocks")
+        return materialise(S.class_counts(self.stored, ["block_id"]), "blocks")
 
     @cached_property
     def folds(self) -> DataFrame:
@@ -97,7 +105,7 @@ class Fixtures:
 
     @cached_property
     def samples_fold(self) -> DataFrame:
-        return fo.with_fold(self.samples, self.folds)
+        return fo.with_fold(self.stored, self.folds)
 
     @cached_property
     def tiles(self) -> DataFrame:
@@ -106,17 +114,19 @@ class Fixtures:
         n = e.agg(F.count(F.lit(1))).scalar()
         key = (F.col("row") * self.width + F.col("col")) * 3 + (F.col("year") - 2017)
         years = F.explode(F.array(*[F.lit(y) for y in C.YEARS]))
-        p = self.samples.select("row", "col", "tile_id", "tile_row", "tile_col", years.alias("year")).withColumn("vec_id", key % n)
+        p = self.stored.select("row", "col", "tile_id", "tile_row", "tile_col", years.alias("year")).withColumn("vec_id", key % n)
         dark = (F.col("row") + F.col("col") + F.col("year")) % 37 == 0
-        coded = F.transform("embedding", lambda v: F.when(dark, 0).otherwise(E.encode_band(v.cast("double"))).cast("smallint"))
-        return p.join(e.select("vec_id", "embedding"), "vec_id").select(
-            "row", "col", "tile_id", "tile_row", "tile_col", "year", coded.alias("bands")
+        # Every vector is coded once, before it is spread over pixels.
+        coded = e.select("vec_id", E.encode_bands(F.transform("embedding", lambda v: v.cast("double"))).alias("_code"))
+        none = F.array(*[F.lit(C.BAND_NODATA).cast("smallint")] * C.N_BANDS)
+        return p.join(coded, "vec_id").select(
+            "row", "col", "tile_id", "tile_row", "tile_col", "year", F.when(dark, none).otherwise(F.col("_code")).alias("bands")
         )
 
     @cached_property
     def budget(self) -> Column:
         """Rows every fold should contribute: a share of the average fold."""
-        return self.samples.agg((F.count(F.lit(1)) * F.lit(BUDGET_SHARE) / K).cast("bigint")).scalar()
+        return self.stored.agg((F.count(F.lit(1)) * F.lit(BUDGET_SHARE) / K).cast("bigint")).scalar()
 
     @cached_property
     def calibration(self) -> DataFrame:
@@ -189,7 +199,7 @@ class Fixtures:
 
     @cached_property
     def profiles(self) -> DataFrame:
-        return materialise(S.block_profiles(self.samples, DIST, BLOCK), "profiles")
+        return materialise(S.block_profiles(self.stored, DIST, BLOCK), "profiles")
 
 
 def _event_tile(t: Column) -> Column:
