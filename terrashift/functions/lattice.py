@@ -26,8 +26,9 @@ def center_y(row: Column, lat: Lattice) -> Column:
 
 def _padded(v: Column, width: int) -> Column:
     """Zero-padded number; longer numbers keep all digits. Padding stays inside generated code, formatting does not."""
-    text = v.cast("string")
-    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
+    digits = F.abs(v).cast("string")
+    sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, F.lpad(digits, F.greatest(F.length(digits), F.lit(width) - F.length(sign)), F.lit("0")))
 
 
 def tile_id(row: Column, col: Column) -> Column:
@@ -39,12 +40,12 @@ def block_id(row: Column, col: Column) -> Column:
 
 
 def parse_tile_id(ident: Column) -> tuple[Column, Column]:
-    pattern = r"^r(\d+)_c(\d+)$"
+    pattern = r"^r(-?\d+)_c(-?\d+)$"
     return (F.regexp_extract(ident, pattern, 1).cast("int"), F.regexp_extract(ident, pattern, 2).cast("int"))
 
 
 def parse_block_id(ident: Column) -> tuple[Column, Column]:
-    pattern = r"^b(\d+)_(\d+)$"
+    pattern = r"^b(-?\d+)_(-?\d+)$"
     return (F.regexp_extract(ident, pattern, 1).cast("int"), F.regexp_extract(ident, pattern, 2).cast("int"))
 
 
