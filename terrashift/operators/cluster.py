@@ -14,7 +14,7 @@ from terrashift.functions import expressions as E
 from terrashift.operators import summaries as S
 from terrashift.operators.ordered import quantile_columns
 from terrashift.operators.pool import subsample_runs
-from terrashift.session import cut_lineage
+from terrashift.session import materialise
 
 
 def log_profiles(profiles: DataFrame, shape_only: bool = False) -> DataFrame:
@@ -69,7 +69,7 @@ def _center_table(spark, centers: np.ndarray, order: np.ndarray) -> DataFrame:
 def cluster_blocks(profiles: DataFrame, spec: ClusterSpec = ClusterSpec(), shape_only: bool = False) -> DataFrame:
     """Fit on large blocks, assign every block, number clusters by the median of their centroid."""
     x = _vectors(log_profiles(profiles, shape_only)).withColumn("is_small", F.col("n") < spec.min_pixels)
-    fit = cut_lineage(x.where(~F.col("is_small")).select("block_id", "features"))
+    fit = materialise(x.where(~F.col("is_small")).select("block_id", "x"), "fit").select("block_id", array_to_vector("x").alias("features"))
     model = fit_best(fit, spec.k, spec.seed, spec.n_init)
     centers = np.array(model.clusterCenters())
     order = np.argsort(np.median(centers, axis=1), kind="stable")
@@ -188,15 +188,15 @@ def silhouette(df: DataFrame, key: str, label: str, vec: str, chunk: int = 1024)
 def sweep(profiles: DataFrame, spec: ClusterSpec = ClusterSpec(), shape_only: bool = False) -> DataFrame:
     """Quality of every k: inertia, silhouette, Calinski-Harabasz, and stability under resampling."""
     spark = profiles.sparkSession
-    x = cut_lineage(
-        _vectors(log_profiles(profiles.where(F.col("n") >= spec.min_pixels), shape_only)).select("block_id", "x", "features")
+    x = _vectors(
+        materialise(log_profiles(profiles.where(F.col("n") >= spec.min_pixels), shape_only).select("block_id", "x"), "profiles")
     )
     d = len(x.select("x").first()[0])
-    runs = cut_lineage(subsample_runs(x.select("block_id"), "block_id", spec.runs, spec.frac, spec.seed))
+    runs = materialise(subsample_runs(x.select("block_id"), "block_id", spec.runs, spec.frac, spec.seed), "runs")
     out = []
     for k in spec.k_range:
         full = fit_best(x, k, spec.seed, spec.n_init).transform(x).withColumnRenamed("prediction", "full")
-        full = cut_lineage(full.select("block_id", "x", "features", "full"))
+        full = _vectors(materialise(full.select("block_id", "x", "full"), "labelled"))
         aris = []
         for r in range(spec.runs):
             sub = full.join(runs.where(F.col("run") == r).select("block_id"), "block_id")

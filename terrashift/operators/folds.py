@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrashift.config import FoldSpec
 from terrashift.functions import expressions as E
 from terrashift.operators.ordered import global_rank
-from terrashift.session import cut_lineage
+from terrashift.session import materialise
 
 _KEPT = 64
 _DRAWS = 4
@@ -64,7 +64,7 @@ def balanced_folds(blocks: DataFrame, spec: FoldSpec = FoldSpec(), method: str =
     distributed; what the driver holds is k totals and the list of swapped blocks.
     """
     cols = [c for c, _ in spec.weights]
-    base = cut_lineage(snake_folds(blocks, spec, method))
+    base = materialise(snake_folds(blocks, spec, method), "draft")
     spark = base.sparkSession
     rows = base.groupBy("fold").agg(F.count(F.lit(1)).alias("_b"), *[F.sum(c).alias(c) for c in cols]).collect()
     totals = {r["fold"]: {c: float(r[c]) for c in cols} for r in rows}

@@ -227,7 +227,7 @@ def nearest_marked(
         .cogroup(asked.groupBy("band"))
         .applyInPandas(one_band, "row int, col int, near_row int, near_col int, dist_m double")
     )
-    known = ~F.isnan("dist_m")
+    known = F.col("dist_m").isNotNull() & ~F.isnan("dist_m")
     return found.select(
         "row", "col", *[F.when(known, F.col(c)).alias(c) for c in ("near_row", "near_col", "dist_m")]
     )

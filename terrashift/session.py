@@ -1,4 +1,4 @@
-"""Session helpers: where shared intermediate tables live and how lineage is cut."""
+"""Session helpers: where shared intermediate tables live and how a stage hands its result over."""
 
 from __future__ import annotations
 
@@ -27,10 +27,11 @@ def local_session(cores: str = "8", app: str = "terrashift") -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for shared intermediate data; a fresh local one only where none is set."""
-    path = spark.conf.get(_DIR_KEY, None) or spark.sparkContext.getConf().get(_DIR_KEY, None)
+    sc = spark.sparkContext
+    path = spark.conf.get(_DIR_KEY, None) or sc.getConf().get(_DIR_KEY, None) or sc.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-terrashift-", dir="/tmp")
-        spark.conf.set(_DIR_KEY, path)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-terrashift-", dir="/tmp"))
+        path = sc.getCheckpointDir()
     return path
 
 
@@ -42,17 +43,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Hand a stage result over as a table in the shared folder.
 
-    Later stages read files instead of recomputing, and the planner knows the table's true size when it decides
-    between a broadcast and a shuffle.
+    Later stages read files instead of recomputing, so a lost executor costs a re-read only, and the planner knows
+    the table's true size when it decides between a broadcast and a shuffle.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result is read from the shared folder, so a lost executor costs a re-read only."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
