@@ -137,30 +137,32 @@ def global_rank(
     seed: int = 0,
     descending: bool = False,
     method: str = "xxhash",
-    rows_per_slice: int = 100_000,
+    slices: int = 65_536,
 ) -> DataFrame:
     """Add ``pos`` (0-based position by value, then by key hash, then by key) and ``tot_n`` for every row.
 
-    Groups of equal values are cut into hash slices of about ``rows_per_slice`` rows, so neither a long group nor
-    a long tie is ever sorted in one task.
+    Rows of equal value are cut into hash slices. Offsets come from slice counts, so the rows themselves move once,
+    on (keys, value, slice), and neither a long group nor a long tie meets in one task.
     """
-    d = df.withColumn("_u", uniform([F.col(c) for c in tie], seed, method))
-    counts = d.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    order = [F.desc(value) if descending else F.asc(value)]
-    run = running_totals(
-        counts, keys, magnitude_bucket(F.col(value)), order, {"n": F.col("_n")}, descending=descending
-    ).select(
-        *keys, value, (F.col("cum_n") - F.col("_n")).alias("_start"), "tot_n",
-        F.ceil(F.col("_n") / F.lit(rows_per_slice)).alias("_slices"),
+    d = df.withColumn("_u", uniform([F.col(c) for c in tie], seed, method)).withColumn(
+        "_slice", F.floor(F.col("_u") * F.lit(slices))
     )
-    placed = d.join(run, [*keys, value]).withColumn("_slice", F.floor(F.col("_u") * F.col("_slices")))
-    sizes = placed.groupBy(*keys, value, "_slice").agg(F.count(F.lit(1)).alias("_m"))
+    cells = d.groupBy(*keys, value, "_slice").agg(F.count(F.lit(1)).alias("_m"))
+    values = cells.groupBy(*keys, value).agg(F.sum("_m").alias("_n"))
+    order = [F.desc(value) if descending else F.asc(value)]
+    starts = running_totals(
+        values, keys, magnitude_bucket(F.col(value)), order, {"n": F.col("_n")}, descending=descending
+    ).select(*keys, value, (F.col("cum_n") - F.col("_n")).alias("_start"), "tot_n")
     along = Window.partitionBy(*keys, value).orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = sizes.select(*keys, value, "_slice", (F.sum("_m").over(along) - F.col("_m")).alias("_before"))
+    before = cells.withColumn("_before", F.sum("_m").over(along) - F.col("_m"))
+    offsets = before.join(starts, [*keys, value]).select(
+        *keys, value, "_slice", (F.col("_start") + F.col("_before")).alias("_offset"), "tot_n"
+    )
     inside = Window.partitionBy(*keys, value, "_slice").orderBy("_u", *tie)
-    local = placed.withColumn("_rn", F.row_number().over(inside))
-    return local.join(before, [*keys, value, "_slice"]).select(
-        *df.columns, (F.col("_start") + F.col("_before") + F.col("_rn") - 1).cast("bigint").alias("pos"), "tot_n"
+    return (
+        d.join(offsets, [*keys, value, "_slice"])
+        .withColumn("pos", (F.col("_offset") + F.row_number().over(inside) - 1).cast("bigint"))
+        .select(*df.columns, "pos", "tot_n")
     )
 
 

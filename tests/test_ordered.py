@@ -48,10 +48,10 @@ def test_running_totals_descending(spark):
     assert (got["cum_n"].to_numpy() == np.arange(1, len(pdf) + 1)).all() and (got["tot_n"] == len(pdf)).all()
 
 
-@pytest.mark.parametrize("slice_rows", [50, 100_000])
-def test_global_rank_splits_hot_values(spark, slice_rows):
+@pytest.mark.parametrize("slices", [1, 16, 65_536])
+def test_global_rank_splits_hot_values(spark, slices):
     pdf = hot_frame(spark)
-    got = O.global_rank(spark.createDataFrame(pdf), ["g"], "v", ["id"], rows_per_slice=slice_rows).toPandas()
+    got = O.global_rank(spark.createDataFrame(pdf), ["g"], "v", ["id"], slices=slices).toPandas()
     for _, part in got.groupby("g"):
         part = part.sort_values("pos")
         assert (part["pos"].to_numpy() == np.arange(len(part))).all()
@@ -60,8 +60,8 @@ def test_global_rank_splits_hot_values(spark, slice_rows):
 
 def test_rank_does_not_depend_on_partitioning(spark):
     df = spark.createDataFrame(hot_frame(spark))
-    a = O.global_rank(df, [], "v", ["id"], rows_per_slice=64).select("id", "pos")
-    b = O.global_rank(df.repartition(5, "v"), [], "v", ["id"], rows_per_slice=64).select("id", "pos")
+    a = O.global_rank(df, [], "v", ["id"], slices=8).select("id", "pos")
+    b = O.global_rank(df.repartition(5, "v"), [], "v", ["id"], slices=8).select("id", "pos")
     assert a.exceptAll(b).count() == 0
 
 
