@@ -20,6 +20,7 @@ from terrashift.functions import expressions as E
 from terrashift.operators import evaluate as V
 from terrashift.operators import summaries as S
 from terrashift.operators.pool import fold_sample
+from terrashift.session import materialise
 
 
 def with_features(df: DataFrame, experiment: Experiment) -> DataFrame:
@@ -168,9 +169,16 @@ def grid_search(
     samples: DataFrame, pool: DataFrame, experiment: Experiment, mult: float, dist: str, k: int,
     done: dict[int, dict] | None = None, combos: list[dict] | None = None, val_rows: int = 1_000_000,
 ) -> DataFrame:
-    """Screen every combination on fold 0; finished runs are taken over, a failing run is reported and skipped."""
+    """Screen every combination on fold 0; finished runs are taken over, a failing run is reported and skipped.
+
+    The three sets are written once, with the columns that are needed, and read by every run.
+    """
     spark = samples.sparkSession
     train, check, test, _ = screening_split(samples, pool, dist, k, val_rows)
+    cols = list(dict.fromkeys([*experiment.features, "label"]))
+    train = materialise(train.select(*cols, "label_bin", "sample_weight"), "screen_train")
+    check = materialise(check.select(*cols, "label_bin"), "screen_check")
+    test = materialise(test.select(*cols), "screen_test")
     rows = []
     names = ("avg_precision", "pr_auc", "roc_auc", "precision", "recall", "f1", "accuracy", "best_threshold")
     for run, params in enumerate(combos if combos is not None else grid(experiment)):

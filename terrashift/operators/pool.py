@@ -93,9 +93,9 @@ def fold_sample(df: DataFrame, n: int, seed: int, method: str = "xxhash", keys=(
 
 
 def mean_normalised(df: DataFrame, weight: str, keys: list[str]) -> DataFrame:
-    """Weight divided by its group mean; the means are a small aggregate."""
+    """Weight divided by the mean of its fold (or another key with a handful of values; the means are broadcast)."""
     mean = df.groupBy(*keys).agg(F.avg(weight).alias("_mean"))
-    return df.join(mean, keys).withColumn("weight_norm", E.ratio(F.col(weight), F.col("_mean"))).drop("_mean")
+    return df.join(F.broadcast(mean), keys).withColumn("weight_norm", E.ratio(F.col(weight), F.col("_mean"))).drop("_mean")
 
 
 def subsample_runs(df: DataFrame, key: str, runs: int, frac: float, seed: int, method: str = "xxhash") -> DataFrame:
@@ -116,7 +116,7 @@ def stratified_batches(
 ) -> DataFrame:
     """Batches with a fixed number of rows per stratum, drawn with replacement: (batch, slot, stratum, keys...).
 
-    Rows of a stratum get a hash position, every slot draws a position: deterministic and without a driver loop.
+    The stratum sizes, one row per stratum, are broadcast; rows of a stratum get a hash position, every slot draws a position: deterministic and without a driver loop.
     """
     sizes = {s: max(1, int(batch_size * f)) for s, f in fractions.items()}
     sizes[rest] = batch_size - sum(sizes.values())
@@ -131,7 +131,7 @@ def stratified_batches(
         spark.range(n_batches * batch_size)
         .select(F.floor(F.col("id") / F.lit(float(batch_size))).cast("int").alias("batch"), (F.col("id") % batch_size).cast("int").alias("slot"))
         .withColumn("stratum", which)
-        .join(counts, "stratum")
+        .join(F.broadcast(counts), "stratum")
     )
     cast = "string" if method == "md5" else "bigint"
     u = E.uniform([F.col("batch").cast(cast), F.col("slot").cast(cast)], seed + 1, method)

@@ -317,17 +317,20 @@ def never_submitted(fx: Fixtures):
 
 
 @register("task_states", "J10 A26", """
-    SELECT CASE WHEN CAST(substr(task_id, 2) AS BIGINT) % 5 = 0 THEN 'UNKNOWN' ELSE m.status END AS status, COUNT(*) AS n FROM man m GROUP BY 1""")
+    SELECT CASE WHEN status = 'CANCELLED' THEN 'UNKNOWN' ELSE status END AS status, COUNT(*) AS n FROM man GROUP BY 1""")
 def task_states(fx: Fixtures):
-    listed = fx.manifest.where(F.substring("task_id", 2, 20).cast("bigint") % 5 != 0).select("task_id", F.col("status").alias("state"))
+    """The service no longer lists cancelled tasks, so their state is unknown."""
+    listed = fx.manifest.where("status <> 'CANCELLED'").select("task_id", F.col("status").alias("state"))
     return A.state_counts(A.with_task_state(fx.manifest, listed), fx.expected)
 
 
 @register("completed_without_file", "J11 X12", """
-    f AS (SELECT description || '.tif' AS file_name FROM man WHERE CAST(substr(task_id, 2) AS BIGINT) % 7 <> 0)
+    f AS (SELECT description || '.tif' AS file_name FROM man JOIN events ON task_id = printf('T%08d', event_id) WHERE value >= 10)
     SELECT tile_id, year FROM man m WHERE status = 'COMPLETED' AND NOT EXISTS (SELECT 1 FROM f WHERE f.file_name = m.description || '.tif')""")
 def completed_without_file(fx: Fixtures):
-    files = fx.manifest.where(F.substring("task_id", 2, 20).cast("bigint") % 7 != 0).select(F.concat("description", F.lit(".tif")).alias("file_name"))
+    """Exports of low value never reached the bucket."""
+    sized = fx.table("events").select(F.format_string("T%08d", "event_id").alias("task_id"), "value")
+    files = fx.manifest.join(sized.where("value >= 10"), "task_id").select(F.concat("description", F.lit(".tif")).alias("file_name"))
     return A.completed_without_file(fx.manifest, files).select("tile_id", "year")
 
 

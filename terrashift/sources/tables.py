@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 MANIFEST_SCHEMA = "tile_id string, year int, task_id string, description string, status string"
 
@@ -21,12 +20,9 @@ def read_columns(spark: SparkSession, path: str, cols: list[str]) -> DataFrame:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """True if a table is there; works for any file system Spark can read."""
-    try:
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).schema  # noqa: B018
-        return True
-    except AnalysisException:
-        return False
+    """True if a path is there; asks the file system once and lists nothing."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
 def write_once(df: DataFrame, path: str, force: bool = False) -> None:
