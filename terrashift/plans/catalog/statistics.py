@@ -26,7 +26,7 @@ def row_and_tile_counts(fx: Fixtures):
 
 @register("block_class_counts", "A2 T1", "SELECT * FROM blk")
 def block_class_counts(fx: Fixtures):
-    return fx.blocks.orderBy("block_id")
+    return S.class_counts(fx.samples, ["block_id"]).orderBy("block_id")
 
 
 @register("fold_decay_means", "A3", "SELECT fold, n, n1, n2, n0, round(mean_decay, 9) AS mean_decay FROM cal0")
