@@ -83,14 +83,14 @@ def raster_chunks_to_pixels(fx: Fixtures):
 
 
 @register("windowed_raster_read", "S5 G3", """
-    w AS (SELECT MIN(x) - 100 AS minx, MAX(x) + 100 AS maxx, MIN(y) - 100 AS miny, MAX(y) + 100 AS maxy FROM vtx WHERE name = 'P00001'),
+    w AS (SELECT MIN(x) - 100 AS minx, MAX(x) + 100 AS maxx, MIN(y) - 100 AS miny, MAX(y) + 100 AS maxy FROM vtx WHERE name = 'P00000'),
     o AS (SELECT CAST(floor((minx + 2415585) / 30) AS INTEGER) AS c0, CAST(floor((3314805 - maxy) / 30) AS INTEGER) AS r0,
           CAST(ceil((maxx - minx) / 30) AS INTEGER) AS wd, CAST(ceil((maxy - miny) / 30) AS INTEGER) AS ht FROM w)
     SELECT CAST(row - r0 AS INTEGER) AS row, CAST(col - c0 AS INTEGER) AS col, lc_2019 FROM px, o WHERE row >= r0 AND row < r0 + ht AND col >= c0 AND col < c0 + wd""")
 def windowed_raster_read(fx: Fixtures):
     from terrashift.operators import vector as vec
 
-    box = vec.bounds(vec.one_polygon(fx.vertices, "P00001"), ["poly_id"]).first().asDict()
+    box = vec.bounds(vec.one_polygon(fx.vertices, "P00000"), ["poly_id"]).first().asDict()
     return R.read_window(fx.pixels.select("row", "col", "lc_2019"), R.window_of(box, LAT, 100.0))
 
 
