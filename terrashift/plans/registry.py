@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terrashift.session import ship
+
 
 @dataclass(frozen=True)
 class Query:
@@ -28,6 +30,7 @@ def register(name: str, covers: str, sql: str | None = None):
             raise ValueError(f"query {name} is registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             return fn(Fixtures(spark, sf_dir))
 
         QUERIES[name] = Query(run, with_fixtures(sql) if sql else None, tuple(covers.split()))

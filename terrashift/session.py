@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,10 +28,16 @@ def local_session(cores: str = "8", app: str = "terrashift") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for shared intermediate data; a fresh local one only where none is set."""
+    """The folder the cluster names for shared intermediate data.
+
+    Where none is set, one JVM gets a fresh local folder; on a cluster that is an error, since executors could not see
+    each other's files.
+    """
     sc = spark.sparkContext
     path = spark.conf.get(_DIR_KEY, None) or sc.getConf().get(_DIR_KEY, None) or sc.getCheckpointDir()
     if not path:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError(f"set {_DIR_KEY} to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-terrashift-", dir="/tmp"))
         path = sc.getCheckpointDir()
     return path
@@ -49,3 +57,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="terrashift-ship-"), "terrashift")
+    sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(here), os.path.basename(here)))
+    _SHIPPED.add(sc.applicationId)
