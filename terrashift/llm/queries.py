@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from terrashift.llm.common import table
+from terrashift.llm.decontaminate import leaks
 from terrashift.llm.exact_dedup import exact_groups
+from terrashift.llm.language_id import identified
+from terrashift.llm.mixing import mix_plan
 from terrashift.llm.near_dedup import near_groups
+from terrashift.llm.pii import personal_data
+from terrashift.llm.quality import judged
+from terrashift.llm.token_store import TokenSpec, token_digest
+from terrashift.llm.toxicity import scored
+from terrashift.llm.url_filter import judge
 from terrashift.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +38,11 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+@_query("op1_pii")
+def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 @_query(
     "op2_exact_dedup",
     """
@@ -41,6 +55,42 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), digest=True)
 
 
+@_query("op3_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, docs, table(spark, sf_dir, "labels"))
+
+
+@_query("op4_tokens")
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(table(spark, sf_dir, "documents"), TokenSpec(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@_query("op5_url_filter")
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
+@_query("op6_quality")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op7_language")
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(table(spark, sf_dir, "documents"))
+
+
+@_query("op8_decontaminate")
+def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query("op9_mix")
+def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(table(spark, sf_dir, "documents"))
+
+
 @_query("op10_near_dedup")
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
