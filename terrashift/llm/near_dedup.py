@@ -1,10 +1,10 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, exact verification on whole shingle sets, union-find.
 
 Documents with the same shingle set are one class from the start. Class representatives meet in band buckets; a bucket
-is compared as a star around its smallest member, never as all its pairs, and the verified links are united. Only
-members that still stand in different components of a bucket are compared again: around a second centre, and then pair
-by pair as far as exact bounds (set sizes, and the triangle inequality of the Jaccard distance to the bucket's first
-centre) leave a link possible. So groups of thousands of copies cost a number of comparisons in proportion to their size.
+is compared as a star around its smallest member, never as all its pairs, and the verified links are united. Members of
+buckets that still hold several components are compared once more by an exact prefix filter on their rarest shingles, and
+only across components. So groups of thousands of copies, and passages that thousands of documents share, cost a number
+of comparisons in proportion to their size.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrashift.llm.common import cut, id_and_text, sieve, with_sieve
@@ -81,42 +81,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, spec: NearSpec) -> DataFrame:
     )
 
 
-def _open_links(
-    open_rows: DataFrame, tried: DataFrame, sets: DataFrame, placed: Callable[[DataFrame], DataFrame], spec: NearSpec
-) -> DataFrame:
-    """Links that the stars have missed: a second centre for each open bucket, then the pairs that are still possible."""
-    link = F.lit(100) * F.col("shared") >= F.lit(spec.percent) * F.col("total")
-    links = tried.where(link).select("a", "b")
-    far = open_rows.where(F.col("x") != F.col("c")).join(
-        open_rows.where(F.col("x") == F.col("c")).select("bucket", F.col("g").alias("_cg")), "bucket"
-    ).where("g <> _cg")
-    second = far.groupBy("bucket").agg(F.min(F.struct("x", "n", "g")).alias("_d"))
-    around = open_rows.join(second, "bucket").where("g <> _d.g and x <> c")
-    around = around.where(F.lit(100) * F.least("n", "_d.n") >= F.lit(spec.percent) * F.greatest("n", "_d.n"))
-    pairs = around.select(F.least("x", "_d.x").alias("a"), F.greatest("x", "_d.x").alias("b")).distinct()
-    more = cut(_verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, spec), "more")
-    links = links.union(more.where(link).select("a", "b"))
-
-    # What is left after two centres: pairs of different components that the bounds cannot rule out.
-    done = tried.union(more)
-    rest = cut(placed(links), "rest")
-    to_centre = tried.select(F.col("a").alias("c"), F.col("b").alias("x"), (1 - F.col("shared") / F.col("total")).alias("d"))
-    # A centre has distance 0 to itself; where sizes alone ruled the comparison out, the distance stays unknown.
-    side = rest.join(to_centre, ["c", "x"], "left").withColumn("d", F.when(F.col("x") == F.col("c"), 0.0).otherwise(F.col("d")))
-    one = side.select("bucket", F.col("x").alias("a"), F.col("n").alias("an"), F.col("g").alias("ag"), F.col("d").alias("ad"))
-    two = side.select("bucket", F.col("x").alias("b"), F.col("n").alias("bn"), F.col("g").alias("bg"), F.col("d").alias("bd"))
-    reach = 1 - spec.percent / 100 + 1e-9
-    left = (
-        one.join(two, "bucket")
-        .where("a < b and ag <> bg")
-        .where(F.lit(100) * F.least("an", "bn") >= F.lit(spec.percent) * F.greatest("an", "bn"))
-        .where(F.coalesce(F.abs(F.col("ad") - F.col("bd")) <= reach, F.lit(True)))
-        .select("a", "b")
-        .distinct()
-        .join(done.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    last = _verified(left, sets, spec).where(link).select("a", "b")
-    return more.where(link).select("a", "b").union(last)
+def _open_links(open_rows: DataFrame, tried: DataFrame, sets: DataFrame, spec: NearSpec) -> DataFrame:
+    """Links that the stars have missed, between members of buckets that still hold several components.
+
+    Exact prefix filter: with the shingles of every set ordered from rare to frequent, two sets that are similar enough
+    share one of their first ``n - ceil(percent * n) + 1``. A passage that thousands of documents share is frequent, so it
+    brings no pair about; and only pairs of different components are compared.
+    """
+    named = open_rows.select(F.col("x").alias("doc_id"), "n", "g").distinct()
+    terms = sets.join(named, "doc_id").select("doc_id", "n", "g", F.explode("items").alias("s"))
+    spread = terms.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("doc_id").orderBy("df", "s")
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(spec.percent) / F.lit(100)) + 1
+    prefix = terms.join(spread, "s").withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= first)
+    prefix = cut(prefix.select("s", "doc_id", "n", "g"), "prefix")
+    mixed = prefix.groupBy("s").agg(F.min("g").alias("_lo"), F.max("g").alias("_hi")).where("_lo < _hi").select("s")
+    side = prefix.join(mixed, "s", "left_semi")
+    one = side.select("s", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("g").alias("ag"))
+    two = side.select("s", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("g").alias("bg"))
+    pairs = one.join(two, "s").where("a < b and ag <> bg")
+    pairs = pairs.where(F.lit(100) * F.least("an", "bn") >= F.lit(spec.percent) * F.greatest("an", "bn"))
+    pairs = pairs.select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    return _verified(pairs, sets, spec).where(_linked(spec)).select("a", "b")
+
+
+def _linked(spec: NearSpec) -> Column:
+    return F.lit(100) * F.col("shared") >= F.lit(spec.percent) * F.col("total")
 
 
 def near_groups(
@@ -144,7 +134,6 @@ def near_groups(
     )
 
     possible = F.lit(100) * F.least("n", "cn") >= F.lit(spec.percent) * F.greatest("n", "cn")
-    link = F.lit(100) * F.col("shared") >= F.lit(spec.percent) * F.col("total")
     stars = members.where(F.col("x") != F.col("c")).where(possible)
     stars = stars.select(F.col("c").alias("a"), F.col("x").alias("b")).distinct()
 
@@ -156,20 +145,18 @@ def near_groups(
         "sets",
     )
     tried = cut(_verified(stars, sets, spec), "tried")
-    links = tried.where(link).select("a", "b")
+    links = tried.where(_linked(spec)).select("a", "b")
 
-    def placed(links: DataFrame) -> DataFrame:
-        """Bucket members with their component, for the buckets that still hold more than one."""
-        comp = components(links)
-        named = members.join(comp.select(F.col("node").alias("x"), "component"), "x", "left")
-        named = named.select("bucket", "x", "n", "c", F.coalesce("component", "x").alias("g"))
-        mixed = named.groupBy("bucket").agg(F.min("g").alias("_lo"), F.max("g").alias("_hi")).where("_lo < _hi")
-        return named.join(mixed.select("bucket"), "bucket", "left_semi")
-
-    open_rows = cut(placed(links), "open")
-    if not open_rows.isEmpty():
-        links = links.union(_open_links(open_rows, tried, sets, placed, spec))
+    # Bucket members with their component, for the buckets that still hold more than one.
     comp = components(links)
+    named = members.join(comp.select(F.col("node").alias("x"), "component"), "x", "left")
+    named = named.select("bucket", "x", "n", F.coalesce("component", "x").alias("g"))
+    mixed = named.groupBy("bucket").agg(F.min("g").alias("_lo"), F.max("g").alias("_hi")).where("_lo < _hi")
+    open_rows = cut(named.join(mixed.select("bucket"), "bucket", "left_semi").select("x", "n", "g").distinct(), "open")
+    if not open_rows.isEmpty():
+        more = cut(_open_links(open_rows, tried, sets, spec), "more")
+        if not more.isEmpty():
+            comp = components(links.union(more))
 
     named = classes.join(comp, classes.rep == comp.node, "left").select(
         "n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("_group")
