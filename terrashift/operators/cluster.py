@@ -14,7 +14,7 @@ from terrashift.functions import expressions as E
 from terrashift.operators import summaries as S
 from terrashift.operators.ordered import quantile_columns
 from terrashift.operators.pool import subsample_runs
-from terrashift.session import materialise
+from terrashift.session import materialise, scratch_path
 
 
 def log_profiles(profiles: DataFrame, shape_only: bool = False) -> DataFrame:
@@ -140,17 +140,22 @@ def silhouette(df: DataFrame, key: str, label: str, vec: str, chunk: int = 1024)
     """Exact Euclidean silhouette, mean over rows.
 
     Rows are packed into fixed-size chunks; a task compares two chunks and returns distance sums per row and
-    cluster, so no pair of rows is ever written or shuffled and memory is bounded by the chunk size.
+    cluster: the work is quadratic by definition and every chunk is copied to all others, so this is for block tables of
+    some ten thousand rows. ``squared_silhouette`` needs one pass.
     """
     n = df.count()
     parts = max(1, -(-n // chunk))
     packed = df.select(key, F.col(label).cast("int").alias("_l"), F.col(vec).alias("_v")).withColumn(
         "_c", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
     )
+    # Written once and read twice: two relations, so that each side of the cogroup keeps its own columns.
+    path = scratch_path(df.sparkSession, "chunks")
+    packed.write.parquet(path)
+    packed, again = (df.sparkSession.read.schema(packed.schema).parquet(path) for _ in range(2))
     left = packed.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(
         F.col("_c").alias("i"), F.col("_d").alias("j"), key, "_l", "_v"
     )
-    right = packed.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(
+    right = again.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(
         F.col("_d").alias("i"), F.col("_c").alias("j"), "_l", "_v"
     )
 
@@ -185,6 +190,31 @@ def silhouette(df: DataFrame, key: str, label: str, vec: str, chunk: int = 1024)
     return per.agg(F.avg(value).alias("silhouette"))
 
 
+def squared_silhouette(df: DataFrame, key: str, label: str, vec: str, d: int) -> DataFrame:
+    """Silhouette with squared Euclidean distances, mean over rows, in one pass over the rows.
+
+    The mean squared distance from x to a cluster of n rows is |x|^2 + s / n - 2 x.y / n with y the sum and s the sum of
+    squares of its rows, so a table with a row for each cluster is all that rows are compared with. A row alone in its
+    cluster counts as 0, as does any row when there is one cluster only.
+    """
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+    own = df.select(key, F.col(label).cast("int").alias("_l"), F.col(vec).alias("_v")).withColumn("_sq", dot(F.col("_v"), F.col("_v")))
+    stats = own.groupBy("_l").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_sq").alias("_s"), *[F.sum(F.element_at("_v", i + 1)).alias(f"_y{i}") for i in range(d)]
+    ).select(F.col("_l").alias("_o"), "_n", "_s", F.array(*[f"_y{i}" for i in range(d)]).alias("_y"))
+    # k rows, k being the number of clusters that the caller asked for.
+    each = own.join(F.broadcast(stats))
+    total = F.greatest(F.lit(0.0), F.col("_sq") * F.col("_n") + F.col("_s") - 2 * dot(F.col("_v"), F.col("_y")))
+    mine = F.col("_l") == F.col("_o")
+    per = each.withColumn("_t", total).groupBy(key).agg(
+        F.max(F.when(mine, E.ratio(F.col("_t"), F.col("_n") - 1))).alias("a"), F.min(F.when(~mine, F.col("_t") / F.col("_n"))).alias("b")
+    )
+    value = F.coalesce(E.ratio(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+    return per.agg(F.avg(value).alias("silhouette"))
+
+
 def sweep(profiles: DataFrame, spec: ClusterSpec = ClusterSpec(), shape_only: bool = False) -> DataFrame:
     """Quality of every k: inertia, silhouette, Calinski-Harabasz, and stability under resampling."""
     spark = profiles.sparkSession
@@ -203,7 +233,7 @@ def sweep(profiles: DataFrame, spec: ClusterSpec = ClusterSpec(), shape_only: bo
             refit = fit_best(sub, k, spec.seed + 1 + r, spec.n_init).transform(sub)
             aris.append(adjusted_rand(refit, "full", "prediction").first()[0])
         ch = calinski_harabasz(full, "full", "x", d).first()
-        out.append((k, float(ch[0]), float(silhouette(full, "block_id", "full", "x").first()[0] or 0.0),
+        out.append((k, float(ch[0]), float(squared_silhouette(full, "block_id", "full", "x", d).first()[0] or 0.0),
                     float(ch[1] or 0.0), float(np.mean(aris)), float(np.std(aris))))
     return spark.createDataFrame(
         out, "k int, inertia double, silhouette double, calinski_harabasz double, ari_mean double, ari_std double"

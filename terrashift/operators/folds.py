@@ -10,8 +10,10 @@ from terrashift.functions import expressions as E
 from terrashift.operators.ordered import global_rank
 from terrashift.session import materialise
 
-_KEPT = 64
+#: Partners that a block is rated with in one round: ``_DRAWS`` shuffles of the blocks, the next ``_NEXT`` in each.
 _DRAWS = 4
+_NEXT = 16
+_BUCKET = 256
 
 
 def size_class(blocks: DataFrame, spec: FoldSpec) -> Column:
@@ -59,8 +61,9 @@ def imbalance(totals: dict[int, dict[str, float]], spec: FoldSpec) -> float:
 def balanced_folds(blocks: DataFrame, spec: FoldSpec = FoldSpec(), method: str = "xxhash") -> DataFrame:
     """Snake draft followed by swaps between folds, which keep the quotas.
 
-    Each round pairs blocks at random (a few pairs per block, through small hash buckets), rates all pairs on the
-    executors against the k fold totals, and brings only the 64 best swaps to the driver. The block table stays
+    Each round rates every block with 64 partners on the executors (through shuffled buckets of fixed size) against the k
+    fold totals and brings the best swaps to the driver, a share of the blocks. The search ends after ``spec.patience``
+    rounds in a row without a gain, each with other partners, or after ``spec.max_rounds``. The block table stays
     distributed; what the driver holds is k totals and the list of swapped blocks.
     """
     cols = [c for c, _ in spec.weights]
@@ -72,6 +75,8 @@ def balanced_folds(blocks: DataFrame, spec: FoldSpec = FoldSpec(), method: str =
     targets = {c: sum(t[c] for t in totals.values()) / spec.k for c in cols}
     used = [(c, w) for c, w in spec.weights if targets[c] > 0]
     moved: dict[str, int] = {}
+    kept = max(64, n_blocks // 50)
+    fruitless = 0
 
     def patched() -> DataFrame:
         if not moved:
@@ -83,7 +88,7 @@ def balanced_folds(blocks: DataFrame, spec: FoldSpec = FoldSpec(), method: str =
         lookup = {
             c: F.create_map(*[x for f, t in totals.items() for x in (F.lit(f), F.lit(t[c]))]) for c, _ in used
         }
-        buckets = max(1, n_blocks // 8)
+        buckets = max(1, n_blocks // _BUCKET)
         me = F.struct("block_id", "fold", *cols)
         drawn = (
             patched()
@@ -92,7 +97,8 @@ def balanced_folds(blocks: DataFrame, spec: FoldSpec = FoldSpec(), method: str =
             .withColumn("_h", F.floor(F.col("_u") * buckets))
         )
         w = Window.partitionBy("_s", "_h").orderBy("_u", "block_id")
-        pairs = drawn.select(me.alias("a"), F.lead(me).over(w).alias("b")).where("b is not null and a.fold <> b.fold")
+        ahead = F.array(*[F.lead(me, i).over(w) for i in range(1, _NEXT + 1)])
+        pairs = drawn.select(me.alias("a"), ahead.alias("bs")).select("a", F.explode("bs").alias("b")).where("b is not null and a.fold <> b.fold")
         gain = F.lit(0.0)
         for c, wt in used:
             ta, tb = lookup[c][F.col("a.fold")], lookup[c][F.col("b.fold")]
@@ -102,7 +108,7 @@ def balanced_folds(blocks: DataFrame, spec: FoldSpec = FoldSpec(), method: str =
             )
         best = (
             pairs.withColumn("gain", gain).where("gain < -1e-12")
-            .orderBy("gain", "a.block_id", "b.block_id").limit(_KEPT).collect()
+            .orderBy("gain", "a.block_id", "b.block_id").limit(kept).collect()
         )
         touched: set[str] = set()
         for p in best:
@@ -120,7 +126,8 @@ def balanced_folds(blocks: DataFrame, spec: FoldSpec = FoldSpec(), method: str =
                 for c in cols:
                     totals[a["fold"]][c] += a[c] - b[c]
                     totals[b["fold"]][c] += b[c] - a[c]
-        if not touched:
+        fruitless = 0 if touched else fruitless + 1
+        if fruitless >= spec.patience:
             break
     return patched()
 

@@ -40,7 +40,7 @@ def with_features(df: DataFrame, experiment: Experiment) -> DataFrame:
 
 def learner(experiment: Experiment, **overrides):
     """A fresh weighted classifier for an experiment."""
-    params = {**experiment.params, **{k: v for k, v in overrides.items() if k != "patience"}}
+    params = {**experiment.params, **overrides}
     common = dict(featuresCol="features", labelCol="label_bin", weightCol="weight_norm")
     if experiment.learner == "boosted_trees":
         return GBTClassifier(**{**common, "maxIter": 20, "seed": 0, **params})
@@ -195,7 +195,7 @@ def grid_search(
             m = V.fold_metrics(scored, ["g"], "y_score", "y", mult).first()
             rows.append((run, str(params), "new", trees, *[float(m[n]) for n in names]))
         except Exception as e:  # noqa: BLE001 - a failed combination must not end the search
-            rows.append((run, str(params), f"failed: {str(e)[:200]}", None, *[None for _ in names]))
+            rows.append((run, str(params), f"failed: {e}", None, *[None for _ in names]))
     schema = "run_id int, params string, status string, trees int, " + ", ".join(f"{n} double" for n in names)
     return spark.createDataFrame(rows, schema).orderBy(F.desc_nulls_last("avg_precision"), "run_id")
 

@@ -1,7 +1,7 @@
 """Order statistics that never put a whole group into one task.
 
-Running totals use two levels: rows fall into order-preserving buckets, bucket totals are prefix-summed on a
-small table, and the running sum inside a bucket is a window over that bucket only. Rows with equal values are
+Running totals use three levels: rows fall into order-preserving coarse and fine buckets, bucket totals are prefix-summed
+level by level, and the running sum inside a fine bucket is a window over that bucket only. Rows with equal values are
 collapsed to counts first, with map-side combine, so a value that holds a third of all rows is one row here.
 """
 
@@ -13,18 +13,25 @@ from pyspark.sql import functions as F
 from terrashift.functions.expressions import uniform
 
 _STEPS = 256
+_FINE = 16
 _SHIFT = 300_000
 
 
 def magnitude_bucket(v: Column) -> Column:
-    """Monotone bucket of a number, 256 per octave.
+    """Monotone bucket of a number: 256 coarse steps per octave, each cut into 65,536 fine ones.
 
-    A bucket holds at most about 46,000 distinct 32-bit floats, whatever the data look like, so after collapsing
-    equal values its size is bounded by construction.
+    A fine bucket holds numbers within four parts in 10**8 of each other, at most one 32-bit float. NaN has the last
+    bucket of all and the infinities have end buckets of their own, in Spark's order of doubles.
     """
     v = v.cast("double")
-    m = F.floor(F.log2(F.abs(v)) * F.lit(_STEPS)).cast("bigint") + F.lit(_SHIFT)
-    return F.when(v > 0, m).when(v < 0, -m).otherwise(F.lit(0).cast("bigint"))
+    far = F.lit(float("inf"))
+    size = F.when((v == 0) | F.isnan(v) | (F.abs(v) == far), F.lit(1.0)).otherwise(F.abs(v))
+    m = F.floor((F.log2(size) * F.lit(_STEPS) + F.lit(_SHIFT)) * F.lit(1 << _FINE)).cast("bigint")
+    end = F.lit((4 * _SHIFT) << _FINE).cast("bigint")
+    return (
+        F.when(F.isnan(v), end + 1).when(v == far, end).when(v == -far, -end).when(v > 0, m).when(v < 0, -m)
+        .otherwise(F.lit(0).cast("bigint"))
+    )
 
 
 def running_totals(
@@ -37,28 +44,40 @@ def running_totals(
 ) -> DataFrame:
     """Add ``cum_<name>`` (inclusive running sum in order) and ``tot_<name>`` (group total) for each of ``sums``.
 
-    ``bucket`` must be monotone in ``order``; ``descending`` says which way the buckets run. Keys must not be null.
+    ``bucket`` must be monotone in ``order``; ``descending`` says which way the buckets run. Keys must not be null. Its
+    upper bits are a coarse bucket: totals are prefix-summed over the coarse buckets, over the fine buckets within a coarse
+    one, and over the rows of a fine one, so no window holds a whole group.
     """
     # A bucket that cannot be null needs no null filter, so both branches share one shuffle of the input.
     d = df.withColumn("_b", F.coalesce(bucket, F.lit(0).cast("bigint")))
-    part = d.groupBy(*keys, "_b").agg(*[F.sum(e).alias(f"_s_{n}") for n, e in sums.items()])
+    names = list(sums)
+    fine = d.groupBy(*keys, "_b").agg(*[F.sum(e).alias(f"_s_{n}") for n, e in sums.items()])
+    fine = fine.withColumn("_g", F.shiftright("_b", _FINE))
+    coarse = fine.groupBy(*keys, "_g").agg(*[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in names])
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    along = group.orderBy(F.desc("_b") if descending else F.asc("_b")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+
+    def along(w, c: str):
+        return w.orderBy(F.desc(c) if descending else F.asc(c)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    starts = coarse.select(
+        *keys, "_g",
+        *[(F.sum(f"_s_{n}").over(along(group, "_g")) - F.col(f"_s_{n}")).alias(f"_p_{n}") for n in names],
+        *[F.sum(f"_s_{n}").over(group).alias(f"tot_{n}") for n in names],
     )
-    offsets = part.select(
-        *keys,
-        "_b",
-        *[(F.sum(f"_s_{n}").over(along) - F.col(f"_s_{n}")).alias(f"_o_{n}") for n in sums],
-        *[F.sum(f"_s_{n}").over(group).alias(f"tot_{n}") for n in sums],
+    within = Window.partitionBy(*keys, "_g")
+    steps = fine.select(
+        *keys, "_g", "_b", *[(F.sum(f"_s_{n}").over(along(within, "_b")) - F.col(f"_s_{n}")).alias(f"_q_{n}") for n in names]
+    )
+    offsets = steps.join(starts, [*keys, "_g"]).select(
+        *keys, "_b", *[(F.col(f"_p_{n}") + F.col(f"_q_{n}")).alias(f"_o_{n}") for n in names], *[f"tot_{n}" for n in names]
     )
     inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = d.select("*", *[F.sum(e).over(inside).alias(f"_c_{n}") for n, e in sums.items()])
     joined = local.join(offsets, [*keys, "_b"])
     return joined.select(
         *df.columns,
-        *[(F.col(f"_o_{n}") + F.col(f"_c_{n}")).alias(f"cum_{n}") for n in sums],
-        *[F.col(f"tot_{n}") for n in sums],
+        *[(F.col(f"_o_{n}") + F.col(f"_c_{n}")).alias(f"cum_{n}") for n in names],
+        *[F.col(f"tot_{n}") for n in names],
     )
 
 
@@ -88,10 +107,15 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs) -> DataFrame:
         .where("_lo is not null or _hi is not null")
         .groupBy(*keys, "knot", "p")
         .agg(F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_f").alias("_f"))
-        .select(*keys, "knot", "p", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("q"))
+        .select(*keys, "knot", "p", _between(F.col("_lo"), F.col("_hi"), F.col("_f")).alias("q"))
     )
 
 
+def _between(lo: Column, hi: Column, share: Column) -> Column:
+    """Linear interpolation; equal ends (also infinite ones) and whole ranks give the end itself."""
+    return F.when((share == 0) | (lo == hi), lo).otherwise(lo + (hi - lo) * share)
+
+
 def _candidate_knots(run: DataFrame, probs: list, first: Column, end: Column, last: Column) -> DataFrame:
     """Rows repeated for the probabilities whose rank may fall on them.
 

@@ -2,7 +2,8 @@
 
 The shuffles are sparse: only marked cells and the cells that are asked about move, never the full grid. Work is
 cut into square windows with a halo (box means), column strips and row bands (distance), whose size is fixed by
-parameters and the raster's outline. No group depends on how values are spread, so there is nothing to skew.
+parameters; only the last pass of the distance transform has a whole band of rows, as wide as the raster, in one group.
+No group depends on how values are spread, so there is nothing to skew.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrashift import config as C
@@ -126,64 +127,147 @@ def box_means(
     return sent.unionByName(asked).groupBy("wr", "wc").applyInPandas(one_window, schema)
 
 
-def column_nearest(marked: DataFrame, extent: Extent, strip: int = 64, band: int = 32) -> DataFrame:
-    """Row of the nearest marked cell within each column, for every cell, packed as (band, strip, payload).
+def column_carries(marked: DataFrame, extent: Extent, strip: int, slab: int) -> DataFrame:
+    """Nearest marked rows beyond a slab, per column: (strip, slab, col, above, below), null where there is none.
 
-    The payload is a little-endian int32 block of band x strip entries, -1 where the column has no marked cell;
-    of two equally near rows the upper one is taken.
+    First and last marked row of each (column, slab) come with map-side combine; a column then is one row for each slab of
+    thousands of raster rows, which is all that the window sees.
     """
     ext = extent
-
-    def one_strip(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        height = ext.row1 - ext.row0 + 1
-        c0 = ext.col0 + int(key[0]) * strip
-        width = min(strip, ext.col1 - c0 + 1)
-        up = np.full((height, width), -1, dtype=np.int32)
-        rr, cc = pdf["row"].to_numpy() - ext.row0, pdf["col"].to_numpy() - c0
-        up[rr, cc] = rr
-        down = np.where(up < 0, np.int32(2**30), up)
-        up = np.maximum.accumulate(up, axis=0)
-        down = np.minimum.accumulate(down[::-1], axis=0)[::-1]
-        at = np.arange(height, dtype=np.int32)[:, None]
-        use_up = (up >= 0) & ((at - up) <= (down - at))
-        near = np.where(use_up, up, np.where(down < 2**30, down, -1)).astype("<i4")
-        n = (height + band - 1) // band
-        return pd.DataFrame(
-            {"band": np.arange(n), "strip": int(key[0]), "payload": [near[i * band : (i + 1) * band].tobytes() for i in range(n)]}
+    slabs = (ext.row1 - ext.row0) // slab + 1
+    at = F.floor((F.col("row") - ext.row0) / F.lit(float(slab))).cast("int")
+    ends = marked.groupBy("col", at.alias("slab")).agg(F.min("row").alias("first"), F.max("row").alias("last"))
+    full = ends.select("col").distinct().withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))))
+    w = Window.partitionBy("col").orderBy("slab")
+    return (
+        full.join(ends, ["col", "slab"], "left")
+        .select(
+            F.floor((F.col("col") - ext.col0) / F.lit(float(strip))).cast("int").alias("strip"), "slab", "col",
+            F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("above"),
+            F.first("first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("below"),
         )
-
-    keyed = marked.select(
-        "row", "col", F.floor((F.col("col") - ext.col0) / F.lit(float(strip))).cast("int").alias("strip")
+        .where("above is not null or below is not null")
     )
-    return keyed.groupBy("strip").applyInPandas(one_strip, "band int, strip int, payload binary")
 
 
-def _row_search(near: np.ndarray, first_row: int, rows: np.ndarray, cols: np.ndarray):
-    """Nearest marked cell of each query, given the nearest marked row of every column.
+def column_bounds(
+    marked: DataFrame, bands: DataFrame, extent: Extent, strip: int = 64, band: int = 32, slab: int = 4096
+) -> DataFrame:
+    """For every wanted band of rows and every strip of columns: the nearest marked rows above and below the band.
 
-    The column offset grows until it alone exceeds the best distance, so a cell costs as many steps as its distance
-    in pixels. Ties go to the smaller row, then to the smaller column.
+    ``bands`` has the wanted band numbers. The payload is two little-endian int32 rows of strip width, -1 where there is
+    none: 8 bytes a column and band, not an entry for every cell. A group holds one strip of one slab, so no group grows
+    with the raster.
     """
-    far = np.iinfo(np.int64).max
-    n, width = len(rows), near.shape[1]
-    best = np.full(n, far, dtype=np.int64)
-    brow = np.full(n, -1, dtype=np.int64)
-    bcol = np.full(n, -1, dtype=np.int64)
-    live = np.arange(n) if (near >= 0).any() else np.arange(0)
-    k = 0
-    while live.size and k < width:
-        for shifted in (cols[live] - k, cols[live] + k)[: 2 if k else 1]:
-            ok = (shifted >= 0) & (shifted < width)
-            idx, c = live[ok], shifted[ok]
-            nr = near[rows[idx] - first_row, c].astype(np.int64)
-            d2 = np.where(nr >= 0, (nr - rows[idx]) ** 2 + k * k, far)
-            tie = (d2 == best[idx]) & (nr >= 0) & ((nr < brow[idx]) | ((nr == brow[idx]) & (c < bcol[idx])))
-            win = (d2 < best[idx]) | tie
-            j = idx[win]
-            best[j], brow[j], bcol[j] = d2[win], nr[win], c[win]
-        k += 1
-        live = live[best[live] >= k * k]
-    return best, brow, bcol
+    ext = extent
+    at = F.floor((F.col("row") - ext.row0) / F.lit(float(slab))).cast("int")
+    lane = F.floor((F.col("col") - ext.col0) / F.lit(float(strip))).cast("int")
+    cells = marked.select(lane.alias("strip"), at.alias("slab"), "col", F.col("row").alias("a"), F.lit(None).cast("int").alias("b"), F.lit(0).alias("kind"))
+    carry = column_carries(marked, extent, strip, slab).select("strip", "slab", "col", F.col("above").alias("a"), F.col("below").alias("b"), F.lit(1).alias("kind"))
+    lanes = marked.select(lane.alias("strip")).distinct()
+    asked = bands.withColumn("slab", F.floor(F.col("band") * band / F.lit(float(slab))).cast("int")).join(lanes)
+    asked = asked.select("strip", "slab", F.lit(0).alias("col"), F.col("band").alias("a"), F.lit(None).cast("int").alias("b"), F.lit(2).alias("kind"))
+
+    def one(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        c0 = ext.col0 + int(key[0]) * strip
+        width = min(strip, ext.col1 - c0 + 1)
+        kind, col = pdf["kind"].to_numpy(), pdf["col"].to_numpy() - c0
+        a, b = pdf["a"].fillna(-1).to_numpy(np.int64), pdf["b"].fillna(-1).to_numpy(np.int64)
+        wanted = np.unique(a[kind == 2])
+        top, bottom = np.full(width, -1, np.int64), np.full(width, -1, np.int64)
+        own = kind == 1
+        top[col[own]] = np.where(a[own] >= 0, a[own] - ext.row0, -1)
+        bottom[col[own]] = np.where(b[own] >= 0, b[own] - ext.row0, -1)
+        rows, cols = a[kind == 0] - ext.row0, col[kind == 0]
+        up, down = np.tile(top, (len(wanted), 1)), np.tile(bottom, (len(wanted), 1))
+        for c in np.unique(cols):
+            r = np.sort(rows[cols == c])
+            before, after = np.searchsorted(r, wanted * band), np.searchsorted(r, (wanted + 1) * band)
+            up[:, c] = np.where(before > 0, r[np.maximum(before - 1, 0)], top[c])
+            down[:, c] = np.where(after < len(r), r[np.minimum(after, len(r) - 1)], bottom[c])
+        both = np.stack([up, down], 1).astype("<i4")
+        return pd.DataFrame({"band": wanted, "strip": int(key[0]), "payload": [x.tobytes() for x in both]})
+
+    return cells.union(carry).union(asked).groupBy("strip", "slab").applyInPandas(one, "band int, strip int, payload binary")
+
+
+def column_nearest(marked: DataFrame, wanted: DataFrame, extent: Extent, strip: int = 64, slab: int = 4096) -> DataFrame:
+    """(row, col, near_row): nearest marked row in the same column, the upper one of two; cells whose column has none drop.
+
+    Groups are strips of columns within slabs of rows, with what lies beyond the slab carried in.
+    """
+    ext = extent
+    at = F.floor((F.col("row") - ext.row0) / F.lit(float(slab))).cast("int")
+    lane = F.floor((F.col("col") - ext.col0) / F.lit(float(strip))).cast("int")
+    none = F.lit(None).cast("int")
+    marks = marked.select(lane.alias("strip"), at.alias("slab"), "col", F.col("row").alias("a"), none.alias("b"), F.lit(0).alias("kind"))
+    carry = column_carries(marked, extent, strip, slab).select("strip", "slab", "col", F.col("above").alias("a"), F.col("below").alias("b"), F.lit(1).alias("kind"))
+    asked = wanted.select(lane.alias("strip"), at.alias("slab"), "col", F.col("row").alias("a"), none.alias("b"), F.lit(2).alias("kind"))
+
+    def one(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for c, g in pdf.groupby("col"):
+            kind = g["kind"].to_numpy()
+            ask = g["a"][kind == 2].to_numpy(np.int64)
+            known = np.unique(np.concatenate([g["a"][kind < 2].dropna(), g["b"][kind == 1].dropna()]).astype(np.int64))
+            if len(ask) and len(known):
+                after = np.searchsorted(known, ask)
+                up, down = known[np.maximum(after - 1, 0)], known[np.minimum(after, len(known) - 1)]
+                lower = (after > 0) & ((after == len(known)) | (ask - up <= down - ask))
+                out.append(pd.DataFrame({"row": ask, "col": c, "near_row": np.where(lower, up, down)}))
+        return pd.concat(out) if out else pd.DataFrame({"row": [], "col": [], "near_row": []})
+
+    return marks.union(carry).union(asked).groupBy("strip", "slab").applyInPandas(one, "row int, col int, near_row int")
+
+
+def _nearest_rows(up: np.ndarray, down: np.ndarray, rows: np.ndarray, cols: np.ndarray, first: int, height: int) -> np.ndarray:
+    """Nearest marked row of every cell of a band, -1 where the column has none; of two equally near the upper one."""
+    width = len(up)
+    above, below = np.full((height, width), -1, np.int64), np.full((height, width), 2**40, np.int64)
+    above[rows - first, cols] = rows
+    below[rows - first, cols] = rows
+    above[0] = np.maximum(above[0], up)
+    below[-1] = np.minimum(below[-1], np.where(down >= 0, down, 2**40))
+    above = np.maximum.accumulate(above, 0)
+    below = np.minimum.accumulate(below[::-1], 0)[::-1]
+    at = first + np.arange(height)[:, None]
+    use = (above >= 0) & (at - above <= below - at)
+    return np.where(use, above, np.where(below < 2**40, below, -1))
+
+
+def _row_minimum(near: np.ndarray, row: int, asked: np.ndarray) -> np.ndarray:
+    """Column of the nearest marked cell for the sorted, distinct columns ``asked`` of one row.
+
+    The squared distance to column j's cell, plus a term for ties, is a parabola of one shape for every j, so the best j
+    never goes back as the asked column goes on: the middle one halves the range of all others. Every level looks at each
+    column about once, hence time in proportion to width times the logarithm of the number asked. Ties go to the smaller
+    row, then to the smaller column.
+    """
+    live = np.flatnonzero(near >= 0)
+    order = np.lexsort((live, near[live]))
+    rank = np.empty(len(live), np.int64)
+    rank[order] = np.arange(len(live))
+    scale = len(live) + 1
+    height = (near[live] - row) ** 2 * scale + rank
+    best = np.full(len(asked), -1, np.int64)
+    lo, hi = np.array([0]), np.array([len(asked) - 1])  # spans of asked columns
+    left, right = np.array([0]), np.array([len(live) - 1])  # and of candidates
+    while len(lo):
+        mid = (lo + hi) // 2
+        sizes = right - left + 1
+        start = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(lo)), sizes)
+        j = np.arange(sizes.sum()) - start[owner] + left[owner]
+        cost = (live[j] - asked[mid][owner]) ** 2 * scale + height[j]
+        least = np.minimum.reduceat(cost, start)
+        won = j[np.flatnonzero(cost == least[owner])]  # ranks make every minimum unique
+        best[mid] = won
+        keep_l, keep_r = lo < mid, mid < hi
+        lo, hi, left, right = (
+            np.concatenate([lo[keep_l], mid[keep_r] + 1]), np.concatenate([mid[keep_l] - 1, hi[keep_r]]),
+            np.concatenate([left[keep_l], won[keep_r]]), np.concatenate([won[keep_l], right[keep_r]]),
+        )
+    return live[best]
 
 
 def nearest_marked(
@@ -191,39 +275,52 @@ def nearest_marked(
 ) -> DataFrame:
     """Exact Euclidean distance transform at the wanted cells, with the identity of the nearest marked cell.
 
-    Two separable passes: nearest marked row within every column (by column strip), then a search along each row
-    (by row band). Gives (row, col, near_row, near_col, dist_m); nulls where nothing is marked.
+    Two separable passes: nearest marked rows within every column (by strips and slabs), then the lowest parabola along
+    each row (by row band). Gives (row, col, near_row, near_col, dist_m); nulls where nothing is marked.
     """
     ext = extent
-    packed = column_nearest(marked, extent, strip, band)
-    asked = wanted.select(
-        "row", "col", F.floor((F.col("row") - ext.row0) / F.lit(float(band))).cast("int").alias("band")
+    in_band = F.floor((F.col("row") - ext.row0) / F.lit(float(band))).cast("int").alias("band")
+    asked = wanted.select("row", "col", in_band)
+    bounds = column_bounds(marked, asked.select("band").distinct(), extent, strip, band)
+    none = F.lit(None).cast("int")
+    sides = bounds.select("band", "strip", "payload", none.alias("row"), none.alias("col")).union(
+        marked.select(in_band, none, F.lit(None).cast("binary"), "row", "col")
     )
 
-    def one_band(key: tuple[Any, ...], strips: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+    def one_band(key: tuple[Any, ...], sides: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         first = int(key[0]) * band
-        height = min(band, ext.row1 - ext.row0 + 1 - first)
-        near = np.full((height, ext.col1 - ext.col0 + 1), -1, dtype=np.int32)
+        height, width = min(band, ext.row1 - ext.row0 + 1 - first), ext.col1 - ext.col0 + 1
+        rows, cols = cells["row"].to_numpy(np.int64) - ext.row0, cells["col"].to_numpy(np.int64) - ext.col0
+        nr, nc = np.full(len(rows), -1, np.int64), np.full(len(rows), -1, np.int64)
         if len(cells):
-            for s, payload in zip(strips["strip"], strips["payload"]):
-                block = np.frombuffer(payload, dtype="<i4").reshape(height, -1)
-                near[:, s * strip : s * strip + block.shape[1]] = block
-        rows = cells["row"].to_numpy(dtype=np.int64) - ext.row0
-        cols = cells["col"].to_numpy(dtype=np.int64) - ext.col0
-        d2, nr, nc = _row_search(near, first, rows, cols)
+            up, down = np.full(width, -1, np.int64), np.full(width, -1, np.int64)
+            packed = sides["strip"].notna().to_numpy()
+            for s, payload in zip(sides["strip"][packed].astype(int), sides["payload"][packed]):
+                block = np.frombuffer(payload, "<i4").reshape(2, -1)
+                up[s * strip : s * strip + block.shape[1]], down[s * strip : s * strip + block.shape[1]] = block
+            inside = sides[~packed]
+            near = _nearest_rows(up, down, inside["row"].to_numpy(np.int64) - ext.row0, inside["col"].to_numpy(np.int64) - ext.col0, first, height)
+            for r in np.unique(rows):
+                line = near[r - first]
+                if (line >= 0).any():
+                    mine = np.flatnonzero(rows == r)
+                    columns, back = np.unique(cols[mine], return_inverse=True)
+                    nc[mine] = _row_minimum(line, int(r), columns)[back]
+                    nr[mine] = line[nc[mine]]
         hit = nr >= 0
+        d2 = np.where(hit, (nr - rows) ** 2 + (nc - cols) ** 2, 0)
         return pd.DataFrame(
             {
                 "row": cells["row"].to_numpy(),
                 "col": cells["col"].to_numpy(),
                 "near_row": pd.array(np.where(hit, nr + ext.row0, 0), dtype="Int32").copy(),
                 "near_col": pd.array(np.where(hit, nc + ext.col0, 0), dtype="Int32").copy(),
-                "dist_m": np.where(hit, np.sqrt(np.where(hit, d2, 0).astype(float)) * pixel_m, np.nan),
+                "dist_m": np.where(hit, np.sqrt(d2.astype(float)) * pixel_m, np.nan),
             }
         )
 
     found = (
-        packed.groupBy("band")
+        sides.groupBy("band")
         .cogroup(asked.groupBy("band"))
         .applyInPandas(one_band, "row int, col int, near_row int, near_col int, dist_m double")
     )

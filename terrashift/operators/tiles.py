@@ -52,14 +52,17 @@ def in_tile(height: int, width: int):
     return F.col("tile_row").between(0, height - 1) & F.col("tile_col").between(0, width - 1)
 
 
-def extract(samples: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
-    """Decoded bands of every sample per year: equi-join on tile, year-free offset; uncovered pixels drop out."""
+def extract(samples: DataFrame, tiles: DataFrame, size: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Decoded bands of every sample per year: equi-join on tile, year-free offset; uncovered pixels drop out.
+
+    ``carry`` names sample columns to take along, so the samples need not be joined again for them.
+    """
     keys = ["tile_id", "tile_row", "tile_col"]
-    slim = samples.where(in_tile(size, size)).select("row", "col", *keys)
+    slim = samples.where(in_tile(size, size)).select("row", "col", *keys, *carry)
     return (
         slim.join(tiles.select(*keys, "year", "bands"), keys)
         .where(E.has_coverage(F.col("bands")))
-        .select("row", "col", *keys, "year", E.decode_bands(F.col("bands")).alias("bands"))
+        .select("row", "col", *keys, *carry, "year", E.decode_bands(F.col("bands")).alias("bands"))
     )
 
 
@@ -120,11 +123,6 @@ def tile_status(raw: DataFrame, extracted: DataFrame, assembled: DataFrame) -> D
     )
 
 
-def todo(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys still to do."""
-    return wanted.join(done.select(*keys), keys, "left_anti")
-
-
 def explode_chunks(chunks: DataFrame, value: str = "values") -> DataFrame:
     """Chunk rows (tile_id, year, row0, col0, width, values[]) to pixels; the position gives row and column."""
     return chunks.select(

@@ -172,24 +172,72 @@ def out_of_fold_predictions(fx: Fixtures):
     return M.out_of_fold(s, p, exp, 10.0, DIST, K)
 
 
-@register("isotonic_calibration", "M5")
+@register("isotonic_calibration", "M5", """
+    t AS (SELECT y_score AS x, SUM(label_bin)::DOUBLE AS s, COUNT(*)::DOUBLE AS w, row_number() OVER (ORDER BY y_score) AS k FROM oof WHERE fold = 1 GROUP BY 1),
+    c AS (SELECT x, k, SUM(s) OVER (ORDER BY k) AS cs, SUM(w) OVER (ORDER BY k) AS cw, s, w FROM t),
+    g AS (SELECT i.k AS i, j.k AS j, min((j.cs - i.cs + i.s) / (j.cw - i.cw + i.w)) OVER (PARTITION BY i.k ORDER BY j.k DESC) AS low FROM c i JOIN c j ON j.k >= i.k),
+    iso AS (SELECT c.x, c.k, max(g.low) AS p FROM c JOIN g ON g.j = c.k AND g.i <= c.k GROUP BY 1, 2),
+    q AS (SELECT row, col, y_score FROM oof WHERE fold = 0),
+    a AS (SELECT q.*, iso.x AS x0, iso.p AS p0, iso.k AS k0 FROM q ASOF LEFT JOIN iso ON q.y_score >= iso.x)
+    SELECT a.row, a.col, a.y_score, round(CASE WHEN a.k0 IS NULL THEN f.p WHEN n.k IS NULL OR a.y_score = a.x0 THEN a.p0 ELSE a.p0 + (n.p - a.p0) * (a.y_score - a.x0) / (n.x - a.x0) END, 6) AS p_isotonic
+    FROM a LEFT JOIN iso n ON n.k = a.k0 + 1, (SELECT p FROM iso WHERE k = 1) f""")
 def isotonic_calibration(fx: Fixtures):
     d = fx.oof.withColumn("sample_weight", F.lit(1.0))
     model = M.fit_isotonic(d.where("fold = 1"), 1.0)
-    return M.apply_isotonic(model, d.where("fold = 0")).select("row", "col", "y_score", "p_isotonic")
+    return M.apply_isotonic(model, d.where("fold = 0")).select("row", "col", "y_score", F.round("p_isotonic", 6).alias("p_isotonic"))
+
+
+def _screen(fx: Fixtures):
+    """Four combinations in two searches: the second takes the stored runs of the first over and adds its own."""
+    exp = C.Experiment("distance", C.DIST_ONLY, params={"maxDepth": 3})
+    combos = [{"maxIter": i, "stepSize": v} for i in (2, 3) for v in (0.1, 0.3)]
+    first = materialise(M.grid_search(fx.samples_fold, fx.pool, exp, 10.0, DIST, K, combos=combos[:2], val_rows=2000), "runs")
+    stored = {r["run_id"]: r.asDict() for r in first.collect()}  # one row for each run
+    return M.grid_search(fx.samples_fold, fx.pool, exp, 10.0, DIST, K, done=stored, combos=combos, val_rows=2000)
 
 
 @register("screening_grid", "M14 M16 M15 T2 S11")
 def screening_grid(fx: Fixtures):
-    """Two combinations of the grid, one taken over from an earlier run, ranked by average precision."""
-    s, p = fx.samples_fold, fx.pool
-    exp = C.Experiment("distance", C.DIST_ONLY, params={"maxDepth": 3})
-    earlier = {n: 0.1 for n in ("avg_precision", "pr_auc", "roc_auc", "precision", "recall", "f1", "accuracy", "best_threshold")}
-    return M.grid_search(
-        s, p, exp, 10.0, DIST, K, done={0: earlier}, combos=[{"maxIter": 3, "stepSize": 0.1}, {"maxIter": 4, "stepSize": 0.1}], val_rows=2000
+    """Runs of a grid, resumed from stored ones, ranked by average precision."""
+    return _screen(fx)
+
+
+@register("screening_grid_contract", "M14 S11", """
+    SELECT CAST(r AS INTEGER) AS run_id, CASE WHEN r < 2 THEN 'done' ELSE 'new' END AS status, true AS in_range FROM (SELECT unnest(range(4)) AS r)""")
+def screening_grid_contract(fx: Fixtures):
+    """What any learner must give: every run reported once, stored runs taken over, metrics in range."""
+    ok = F.lit(True)
+    for c in ("avg_precision", "pr_auc", "roc_auc", "precision", "recall", "f1", "accuracy"):
+        ok = ok & F.col(c).between(0, 1)
+    return _screen(fx).select("run_id", "status", ok.alias("in_range"))
+
+
+@register("out_of_fold_contract", "M2 M3 M4 M5 J2", """
+    SELECT CAST(fold AS TINYINT) AS fold, CAST(label_bin AS TINYINT) AS label, COUNT(*) AS n, true AS in_range, true AS calibrated_in_range, round(SUM(CAST(dist_m AS FLOAT)::DOUBLE), 1) AS dist_sum FROM oof GROUP BY 1, 2""")
+def out_of_fold_contract(fx: Fixtures):
+    """Every sample is scored once, in its own fold, with probabilities from both calibrations."""
+    r = out_of_fold_predictions(fx)
+    return r.groupBy("fold", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(F.col("y_score").between(0, 1)).alias("in_range"),
+        F.bool_and(F.col("p_isotonic").between(0, 1) & F.col("p_calibrated").between(0, 1)).alias("calibrated_in_range"),
+        F.round(F.sum(F.col(DIST).cast("double")), 1).alias("dist_sum"),
     )
 
 
+@register("area_errors_both_calibrations", "M9 M5", """
+    SELECT CAST(fold AS TINYINT) AS fold, COUNT(*) AS n, CAST(SUM(label_bin) AS BIGINT) AS positives, true AS both_finite FROM oof GROUP BY 1""")
+def area_errors_both_calibrations(fx: Fixtures):
+    """Area error of the prior-corrected and of the isotonic probabilities, per fold of the out-of-fold predictions."""
+    r = out_of_fold_predictions(fx).withColumns({"label_bin": F.col("label").cast("int"), "p": F.col("p_calibrated").cast("double"), "iso": F.col("p_isotonic").cast("double")})
+    e = V.calibration_errors(r, ["fold"], "label_bin", "p", "iso")
+    n = r.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label_bin").alias("positives"))
+    errors = [c for c in e.columns if c.startswith("acres_error")]
+    finite = F.lit(len(errors) == 2)
+    for c in errors:
+        finite = finite & F.col(c).isNotNull() & ~F.isnan(c)
+    return n.join(e.select("fold", *errors), "fold").select("fold", "n", "positives", finite.alias("both_finite"))
+
+
 @register("refit_fold_report", "M16 M11")
 def refit_fold_report(fx: Fixtures):
     exp = C.Experiment("distance", C.DIST_ONLY, params={"maxDepth": 3})
@@ -250,6 +298,15 @@ def exact_silhouette(fx: Fixtures):
     return _round(cl.silhouette(_labelled(fx), "block_id", "cluster", "x", chunk=32), 7, "silhouette")
 
 
+@register("squared_silhouette", "C5 J19", f"""{_PROF},
+    d AS (SELECT a.block_id, a.cluster AS own, b.cluster AS oth, list_sum([pow(a.x[i] - b.x[i], 2) for i in range(1, 40)]) AS d FROM lab a, lab b),
+    m AS (SELECT block_id, own, oth, SUM(d) / nullif(COUNT(*) - CAST(own = oth AS INTEGER), 0) AS m FROM d GROUP BY 1, 2, 3),
+    s AS (SELECT block_id, max(m) FILTER (own = oth) AS a, min(m) FILTER (own <> oth) AS b FROM m GROUP BY 1)
+    SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 7) AS silhouette FROM s""")
+def squared_silhouette(fx: Fixtures):
+    return _round(cl.squared_silhouette(_labelled(fx), "block_id", "cluster", "x", 39), 7, "silhouette")
+
+
 @register("calinski_harabasz", "C5", f"""{_PROF},
     l AS (SELECT block_id, cluster, unnest(x) AS v, generate_subscripts(x, 1) AS k FROM lab),
     c AS (SELECT block_id, cluster, v - avg(v) OVER (PARTITION BY cluster, k) AS dw, avg(v) OVER (PARTITION BY cluster, k) - avg(v) OVER (PARTITION BY k) AS db FROM l),

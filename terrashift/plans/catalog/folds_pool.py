@@ -51,6 +51,16 @@ def fold_acceptance(fx: Fixtures):
     return _round(fo.accept(S.fold_summary(fx.folds), 25.0), 6, "worst_rows", "worst_n1", "worst_n2")
 
 
+@register("swap_fold_acceptance", "D7 D8", "SELECT b % 5 <> 0 AS uneven_quota, true AS rows_ok, true AS n1_ok, true AS n2_ok, true AS accepted FROM tgt")
+def swap_fold_acceptance(fx: Fixtures):
+    """The swap result against the rule of production: every fold within 1 % of the mean in rows and in both classes."""
+    r = fo.accept(S.fold_summary(fo.balanced_folds(fx.blocks, FOLDS, method="md5")), 1.0)
+    return r.select(
+        (F.col("quota_spread") == 1).alias("uneven_quota"), (F.col("worst_rows") < 1).alias("rows_ok"), (F.col("worst_n1") < 1).alias("n1_ok"),
+        (F.col("worst_n2") < 1).alias("n2_ok"), "accepted",
+    )
+
+
 @register("fold_calibration", "D1 A3", """
     SELECT fold, n, n1, n2, n0, budget0, round(mean_decay, 9) AS mean_decay, round(a, 8) AS a, round(p_max, 8) AS p_max,
       CASE WHEN budget0 <= 0 THEN 'rare classes exceed the budget' WHEN NOT a > 0 THEN 'floor exceeds the budget' WHEN NOT p_max < 1 THEN 'keep rate saturates' ELSE 'ok' END AS verdict FROM cal""")

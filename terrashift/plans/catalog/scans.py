@@ -18,10 +18,14 @@ from terrashift.sources import tables as src
 from terrashift.streaming.pickup import pick_up_new_tiles
 
 
-@register("sample_view_scan", "S1 S2 J2", """
+@register("sample_view_scan", "S1 S2 S11 J2", """
     SELECT block_id, COUNT(*) AS n, CAST(SUM(label) AS BIGINT) AS label_sum FROM smp GROUP BY block_id""")
 def sample_view_scan(fx: Fixtures):
-    fx.samples.createOrReplaceTempView("terrashift_samples")
+    """Parquet files of a glob under a view's name; the query reads two of their columns."""
+    path = scratch_path(fx.spark, "sample-files")
+    src.write_once(fx.samples, path)
+    src.write_once(fx.samples.where("false"), path)  # an output that is there stays as it is
+    src.read_view(fx.spark, f"{path}/*.parquet", "terrashift_samples")
     return fx.spark.sql("SELECT block_id, COUNT(*) AS n, SUM(label) AS label_sum FROM terrashift_samples GROUP BY block_id")
 
 
@@ -43,11 +47,11 @@ def partitioned_sink_roundtrip(fx: Fixtures):
 
 @register("streaming_tile_pickup", "S16", "SELECT tile_id, COUNT(*) AS n, CAST(SUM(label) AS BIGINT) AS label_sum FROM smp GROUP BY tile_id")
 def streaming_tile_pickup(fx: Fixtures):
-    """Tiles arrive in two deliveries; each run of the stream processes only the files that are new."""
+    """Every tile arrives in two deliveries; a run of the stream is set off by new files only and leaves whole tiles."""
     spark = fx.spark
     inbox, sink, ck = (scratch_path(spark, n) for n in ("inbox", "picked", "progress"))
     rows = fx.stored.select("row", "col", "tile_id", "label")
-    early = F.xxhash64("tile_id") % 2 == 0
+    early = F.xxhash64("row", "col") % 2 == 0
     for part in (rows.where(early), rows.where(~early)):
         part.write.mode("append").parquet(inbox)
         pick_up_new_tiles(spark, inbox, rows.schema, lambda b: b, sink, ck).awaitTermination()
@@ -179,11 +183,12 @@ def tile_completeness(fx: Fixtures):
 
 
 @register("run_status", "S19", """
-    SELECT 'fold_model' AS kind, COUNT(*) FILTER (status = 'COMPLETED') AS done, COUNT(*) AS expected FROM expd LEFT JOIN man USING (tile_id, year)""")
+    SELECT CASE WHEN year = 2019 THEN 'grid_run' ELSE 'fold_model' END AS kind, COUNT(*) FILTER (status = 'COMPLETED') AS done, COUNT(*) AS expected FROM expd LEFT JOIN man USING (tile_id, year) GROUP BY 1""")
 def run_status(fx: Fixtures):
-    exp = fx.expected.withColumn("kind", F.lit("fold_model"))
-    art = fx.manifest.where("status = 'COMPLETED'").withColumn("kind", F.lit("fold_model"))
-    return A.run_status(exp, art, ["tile_id", "year"])
+    """Finished of expected artefacts for fold models and for the runs of a grid."""
+    kind = F.when(F.col("year") == 2019, "grid_run").otherwise("fold_model")
+    art = fx.manifest.where("status = 'COMPLETED'").withColumn("kind", kind)
+    return A.run_status(fx.expected.withColumn("kind", kind), art, ["tile_id", "year"])
 
 
 @register("columns_except_keys", "P1 J1", """
@@ -263,23 +268,25 @@ def small_group_flag(fx: Fixtures):
 
 
 @register("tile_gather", "J4 G16 X7", """
-    SELECT t.year, COUNT(*) AS n, round(SUM((bands[7] - 128) / 127.0::DOUBLE), 3) AS b6, CAST(SUM(s.label) AS BIGINT) AS label_sum
+    SELECT t.year, COUNT(*) AS n, round(SUM((bands[7] - 128) / 127.0::DOUBLE), 3) AS b6, CAST(SUM(s.label) AS BIGINT) AS label_sum,
+      CAST(SUM(list_sum([bands[i] * i for i in range(1, 65)])) AS BIGINT) AS code_sum
     FROM smp s JOIN til t ON s.row = t.row AND s.col = t.col WHERE list_max(bands) > 0 GROUP BY t.year""")
 def tile_gather(fx: Fixtures):
     """Sample lookup in tiles by integer offset, uncovered pixels dropped, bytes decoded."""
-    got = ti.extract(fx.stored, fx.tiles, 32).join(fx.stored.select("row", "col", "label"), ["row", "col"])
+    got = ti.extract(fx.stored, fx.tiles, 32, carry=("label",))
+    codes = F.aggregate(F.transform("bands", lambda v, i: E.encode_band(v.cast("double")).cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda s, v: s + v)
     return got.groupBy("year").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.element_at("bands", 7).cast("double")), 3).alias("b6"), F.sum("label").alias("label_sum")
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.element_at("bands", 7).cast("double")), 3).alias("b6"), F.sum("label").alias("label_sum"),
+        F.sum(codes).alias("code_sum"),
     )
 
 
-@register("multi_year_assembly", "J5 J6 G17", """
+@register("multi_year_assembly", "J5 G17", """
     c AS (SELECT row, col, tile_id, COUNT(*) AS k, SUM(bands[1] * (year - 2016)) AS s FROM til WHERE list_max(bands) > 0 GROUP BY 1, 2, 3 HAVING COUNT(*) = 3)
     SELECT s.block_id, c.tile_id, COUNT(*) AS n, CAST(SUM(c.s) AS BIGINT) AS code_sum FROM c JOIN smp s ON s.row = c.row AND s.col = c.col GROUP BY 1, 2""")
 def multi_year_assembly(fx: Fixtures):
     """Pixels with every year, tiles with every year, block id stamped, outcome columns left behind."""
     ex = ti.extract(fx.stored, fx.tiles, 32)
-    ex = ex.join(ti.ready_tiles(ex, C.YEARS).select("tile_id"), "tile_id", "left_semi")
     table = ti.feature_table(fx.stored, ti.assemble(ex, C.YEARS))
     code = lambda y: E.encode_band(F.element_at(f"bands_{y}", 1).cast("double")) * (y - 2016)
     return table.groupBy("block_id", "tile_id").agg(
@@ -287,6 +294,22 @@ def multi_year_assembly(fx: Fixtures):
     )
 
 
+@register("wide_feature_table", "P2 P10 P11 J4 J5 G16 G17 S9 P12", """
+    k AS (SELECT row, col FROM til WHERE list_max(bands) > 0 GROUP BY 1, 2 HAVING COUNT(*) = 3),
+    v AS (SELECT t.year, unnest(t.bands) AS b, generate_subscripts(t.bands, 1) AS i FROM til t JOIN k ON t.row = k.row AND t.col = k.col)
+    SELECT printf('A%02d_%d', i - 1, year) AS band, COUNT(*) FILTER (b <> 0) AS n, CAST(SUM(b) FILTER (b <> 0) AS BIGINT) AS code_sum FROM v GROUP BY 1""")
+def wide_feature_table(fx: Fixtures):
+    """Extract, assemble, widen to 192 named columns, write one partition per tile, and read every column back."""
+    path = scratch_path(fx.spark, "wide")
+    table = ti.feature_table(fx.stored, ti.assemble(ti.extract(fx.stored, fx.tiles, 32), C.YEARS))
+    src.write_by_tile(ti.widen(table, C.YEARS), path)
+    names = C.band_names()
+    back = src.read_columns(fx.spark, path, names)
+    sums = back.agg(*[F.struct(F.count(n).alias("n"), F.sum(E.encode_band(F.col(n).cast("double"))).alias("s")).alias(n) for n in names])
+    long = sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("band"), F.col(n).alias("v")) for n in names])).alias("e"))
+    return long.select("e.band", "e.v.n", F.col("e.v.s").cast("bigint").alias("code_sum"))
+
+
 @register("ready_tiles", "J6", """
     SELECT tile_id, string_agg(year, ',' ORDER BY year) AS years FROM (SELECT DISTINCT tile_id, year FROM man) GROUP BY tile_id HAVING COUNT(*) = 3""")
 def ready_tiles(fx: Fixtures):
@@ -383,10 +406,10 @@ def band_byte_code(fx: Fixtures):
 @register("lattice_snap_and_align", "X11 X18", """
     SELECT poly_id, seq, CAST(round((3314805.0::DOUBLE - y) / 30) AS INTEGER) AS row, CAST(round((x + 2415585.0::DOUBLE) / 30) AS INTEGER) AS col,
       abs((x + 2415585.0::DOUBLE) / 30 - round((x + 2415585.0::DOUBLE) / 30)) < 1e-6 AND abs((y - 3314805.0::DOUBLE) / 30 - round((y - 3314805.0::DOUBLE) / 30)) < 1e-6 AS aligned,
-      CAST(greatest(0, least(round((x + 2415585.0::DOUBLE) / 30) - 8, 64 - 16)) AS INTEGER) AS patch_col FROM vtx WHERE ring_id = 0""")
+      CAST(greatest(0, least(round((x + 2415585.0::DOUBLE) / 30) - 8, w - 16)) AS INTEGER) AS patch_col FROM vtx, grid WHERE ring_id = 0""")
 def lattice_snap_and_align(fx: Fixtures):
     row, col = L.snap(F.col("x"), F.col("y"), LAT)
     return fx.vertices.where("ring_id = 0").select(
         "poly_id", "seq", row.alias("row"), col.alias("col"), L.is_aligned(F.col("x"), F.col("y"), LAT).alias("aligned"),
-        L.clamp_offset(col, 16, 64).alias("patch_col"),
+        L.clamp_offset(col, 16, fx.width).alias("patch_col"),
     )

@@ -304,3 +304,18 @@ def block_size_order(fx: Fixtures):
 def exact_pixel_sample(fx: Fixtures):
     """A sample of exactly 2,000 pixels, decided by key hash."""
     return O.exact_sample(fx.stored.select("row", "col", "label"), ["row", "col"], 2000, 5, "md5")
+
+
+@register("quantiles_with_nan_and_infinity", "A7 A11", """
+    v AS (SELECT l_returnflag AS flag, CASE WHEN l_orderkey % 11 = 0 THEN 'NaN'::DOUBLE WHEN l_orderkey % 13 = 0 THEN 'Infinity'::DOUBLE WHEN l_orderkey % 17 = 0 THEN '-Infinity'::DOUBLE ELSE l_extendedprice * l_discount - 500 END AS x FROM lineitem)
+    SELECT flag, round(quantile_cont(x, 0.0), 6) AS q00, round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.5), 6) AS q50, round(quantile_cont(x, 0.75), 6) AS q75, round(quantile_cont(x, 1.0), 6) AS q100 FROM v GROUP BY 1""")
+def quantiles_with_nan_and_infinity(fx: Fixtures):
+    """Order statistics of doubles with both infinities and NaN, which comes last."""
+    k = F.col("l_orderkey")
+    x = (
+        F.when(k % 11 == 0, float("nan")).when(k % 13 == 0, float("inf")).when(k % 17 == 0, float("-inf"))
+        .otherwise(F.col("l_extendedprice") * F.col("l_discount") - 500)
+    )
+    v = fx.table("lineitem").select(F.col("l_returnflag").alias("flag"), x.alias("x"))
+    named = {"q00": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q100": 1.0}
+    return O.quantile_columns(v, ["flag"], "x", named).select("flag", *[F.round(c, 6).alias(c) for c in named])

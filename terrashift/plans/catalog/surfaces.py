@@ -9,7 +9,7 @@ from terrashift.functions import expressions as E
 from terrashift.operators import audit as A
 from terrashift.operators import raster as R
 from terrashift.operators import tiles as ti
-from terrashift.plans.fixtures import DIST, Fixtures
+from terrashift.plans.fixtures import DIST, Fixtures, LAT
 from terrashift.plans.registry import register
 
 _DEV = "dev AS (SELECT row, col, CAST(lc_2019 BETWEEN 21 AND 24 AS INTEGER) AS m FROM px), dim AS (SELECT max(row) AS r1, max(col) AS c1 FROM px)"
@@ -71,24 +71,8 @@ def edge_density(fx: Fixtures):
     d AS (SELECT row, col FROM px WHERE lc_2019 BETWEEN 21 AND 24)
     SELECT s.row, s.col, CAST(arg_min(d.row, (abs(d.row - s.row), d.row)) AS INTEGER) AS near_row FROM smp s JOIN d USING (col) GROUP BY 1, 2""")
 def nearest_in_column(fx: Fixtures):
-    """Nearest developed row within each column: the first of the two distance passes, unpacked."""
-    import pandas as pd
-
-    ext, strip, band = R.Extent.of(fx.pixels), 16, 32
-    packed = R.column_nearest(_marked(fx), ext, strip, band)
-
-    def unpack(frames):
-        import numpy as np
-
-        for pdf in frames:
-            for b, s, raw in zip(pdf["band"], pdf["strip"], pdf["payload"]):
-                height = min(band, ext.row1 - ext.row0 + 1 - b * band)
-                a = np.frombuffer(raw, dtype="<i4").reshape(height, -1)
-                r, c = np.nonzero(a >= 0)
-                yield pd.DataFrame({"row": r + b * band + ext.row0, "col": c + s * strip + ext.col0, "near_row": a[r, c] + ext.row0})
-
-    cells = packed.mapInPandas(unpack, "row int, col int, near_row int")
-    return cells.join(fx.stored.select("row", "col"), ["row", "col"])
+    """Nearest developed row within each column."""
+    return R.column_nearest(_marked(fx), fx.stored, R.Extent.of(fx.pixels), strip=16, slab=64)
 
 
 _NEAR = """d AS (SELECT row, col FROM px WHERE lc_2019 BETWEEN 21 AND 24),
@@ -139,20 +123,29 @@ def conversion_overlays(fx: Fixtures):
 
 
 @register("mean_reduced_bands", "G14", """
-    v AS (SELECT year, row // 3 AS row, col // 3 AS col, unnest(bands) AS b, generate_subscripts(bands, 1) AS i FROM til)
-    SELECT CAST(year AS INTEGER) AS year, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(avg(b) FILTER (i = 1 AND b <> 0), 6) AS b0, round(avg(b) FILTER (i = 64 AND b <> 0), 6) AS b63 FROM v GROUP BY ALL""")
+    v AS (SELECT year, row // 3 AS row, col // 3 AS col, unnest(bands) AS b, generate_subscripts(bands, 1) AS i FROM til),
+    m AS (SELECT year, row, col, i, avg(b) FILTER (b <> 0) AS a FROM v GROUP BY ALL)
+    SELECT CAST(year AS INTEGER) AS year, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(max(a) FILTER (i = 1), 6) AS b0, round(max(a) FILTER (i = 64), 6) AS b63,
+      round(coalesce(SUM(a), 0), 5) AS total, COUNT(a) AS bands_with_data FROM m GROUP BY ALL""")
 def mean_reduced_bands(fx: Fixtures):
     m = R.mean_reduce(fx.tiles, ["year"], "bands", 64)
-    return m.select("year", "row", "col", F.round(F.element_at("bands", 1), 6).alias("b0"), F.round(F.element_at("bands", 64), 6).alias("b63"))
+    total = F.aggregate("bands", F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+    return m.select(
+        "year", "row", "col", F.round(F.element_at("bands", 1), 6).alias("b0"), F.round(F.element_at("bands", 64), 6).alias("b63"),
+        F.round(total, 5).alias("total"), F.size(F.filter("bands", lambda v: v.isNotNull())).cast("bigint").alias("bands_with_data"),
+    )
 
 
 @register("granule_mosaic", "G15", """
     g AS (SELECT row, col, max(year) FILTER (list_max(bands) > 0) AS year FROM til GROUP BY 1, 2)
-    SELECT g.row, g.col, CAST(g.year AS INTEGER) AS year, coalesce(CAST(t.bands[1] AS INTEGER), 0) AS b0 FROM g LEFT JOIN til t ON t.row = g.row AND t.col = g.col AND t.year = g.year""")
+    SELECT g.row, g.col, CAST(g.year AS INTEGER) AS year, coalesce(CAST(t.bands[1] AS INTEGER), 0) AS b0, CAST(coalesce(list_sum([t.bands[i] * i for i in range(1, 65)]), 0) AS BIGINT) AS code_sum FROM g LEFT JOIN til t ON t.row = g.row AND t.col = g.col AND t.year = g.year""")
 def granule_mosaic(fx: Fixtures):
     """Yearly tiles as overlapping granules: the newest one with data wins, gaps are filled with nodata."""
     m = R.mosaic(fx.tiles.select("row", "col", "year", "bands"), "year", "bands")
-    return m.select("row", "col", "year", F.coalesce(F.element_at("bands", 1).cast("int"), F.lit(0)).alias("b0"))
+    weighed = F.aggregate(F.transform("bands", lambda v, i: v.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda s, v: s + v)
+    return m.select(
+        "row", "col", "year", F.coalesce(F.element_at("bands", 1).cast("int"), F.lit(0)).alias("b0"), F.coalesce(weighed, F.lit(0)).alias("code_sum")
+    )
 
 
 @register("before_after_extents", "G18 A28", """
@@ -172,7 +165,7 @@ def cover_transitions(fx: Fixtures):
 
 @register("raster_validation", "G19 A30 A31 X11", """
     s AS (SELECT tile_id, min(x.lo) AS lo, max(x.hi) AS hi, bool_and(x.a = x.b) AS same FROM (
-      SELECT a.tile_id, list_min([v for v in a.bands if v <> 0]) AS lo, list_max([v for v in a.bands if v <> 0]) AS hi, a.bands[1] AS a, b.bands[1] AS b FROM til a JOIN til b ON a.row = b.row AND a.col = b.col AND b.year = 2018 WHERE a.year = 2019) x GROUP BY 1)
+      SELECT a.tile_id, list_min([v for v in a.bands if v <> 0]) AS lo, list_max([v for v in a.bands if v <> 0]) AS hi, a.bands AS a, b.bands AS b FROM til a JOIN til b ON a.row = b.row AND a.col = b.col AND b.year = 2018 WHERE a.year = 2019) x GROUP BY 1)
     SELECT tile_id, CASE WHEN NOT ((lo - 128) / 127.0 >= -1.01 AND (hi - 128) / 127.0 <= 1.01) THEN 'FAILED' WHEN same THEN 'VALID' WHEN CAST(substr(tile_id, 7) AS INTEGER) % 2 = 0 THEN 'FAILED' ELSE 'INCONCLUSIVE' END AS verdict FROM s""")
 def raster_validation(fx: Fixtures):
     """Check a year of every tile against another year; odd tile columns count as covered by two granules."""
@@ -181,12 +174,14 @@ def raster_validation(fx: Fixtures):
     a = fx.tiles.where("year = 2019").select("row", "col", "tile_id", "bands")
     b = fx.tiles.where("year = 2018").select("row", "col", F.col("bands").alias("other"))
     covered = F.filter("bands", lambda v: v != C.BAND_NODATA)
+    corner = (L.center_x(F.col("col"), LAT) - LAT.pixel_m / 2, L.center_y(F.col("row"), LAT) + LAT.pixel_m / 2)
+    on_lattice = L.is_aligned(*corner, LAT)
     g = a.join(b, ["row", "col"]).groupBy("tile_id").agg(
         E.decode_band(F.min(F.array_min(covered))).alias("lo"), E.decode_band(F.max(F.array_max(covered))).alias("hi"),
-        F.bool_and(F.element_at("bands", 1) == F.element_at("other", 1)).alias("same"),
+        F.bool_and(F.col("bands") == F.col("other")).alias("same"), F.bool_and(on_lattice).alias("aligned"),
     )
     n = F.when(L.parse_tile_id(F.col("tile_id"))[1] % 2 == 0, 1).otherwise(2)
-    verdict = A.validation_verdict(A.range_ok(F.col("lo"), F.col("hi")), F.lit(True), F.col("same"), n)
+    verdict = A.validation_verdict(A.range_ok(F.col("lo"), F.col("hi")), F.col("aligned"), F.col("same"), n)
     return g.select("tile_id", verdict.alias("verdict"))
 
 

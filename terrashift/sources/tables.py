@@ -57,8 +57,11 @@ def write_missing_tiles(df: DataFrame, path: str) -> None:
 
 
 def write_csv_summary(df: DataFrame, path: str) -> None:
-    """A small report as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A small report as one CSV file with a header.
+
+    The report is computed by as many tasks as it takes; only its finished rows go to the one that writes.
+    """
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -20,13 +20,18 @@ def pick_up_new_tiles(
 ) -> StreamingQuery:
     """Process every file that arrived since the last run, then stop.
 
-    Each micro-batch replaces only the partitions it contains, so a batch that is repeated after a failure gives
-    the same files. Progress lives in the checkpoint folder; there is no state store and no watermark.
+    A micro-batch names the partitions that have new rows; those are built again from all source files and replaced, so
+    a partition that arrives in several deliveries stays whole, and a batch that is repeated after a failure gives the
+    same files. ``transform`` must work row by row or within a partition. Progress lives in the checkpoint folder; there
+    is no state store and no watermark.
     """
 
     def write(batch: DataFrame, _: int) -> None:
+        touched = transform(batch).select(partition).distinct()
+        arrived = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(source)
         (
-            transform(batch)
+            transform(arrived)
+            .join(touched, partition, "left_semi")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(partition)

@@ -79,3 +79,21 @@ def test_exact_sample_size_and_stability(spark):
     assert a.count() == 777
     assert a.exceptAll(O.exact_sample(df.repartition(13), ["k"], 777, 3)).count() == 0
     assert O.exact_sample(df, ["k"], 9000, 3).count() == 5000
+
+
+def test_quantiles_with_nan_and_infinity(spark):
+    rows = [1.0, 2.0, 3.0, 1e6, float("nan"), float("inf"), float("-inf"), -0.0, 0.0]
+    df = spark.createDataFrame([(v,) for v in rows], "v double")
+    got = O.quantile_columns(df, [], "v", {"lo": 0.0, "mid": 0.5, "hi": 1.0}).first()
+    assert got["lo"] == float("-inf") and got["mid"] == 2.0 and np.isnan(got["hi"])
+    small = spark.createDataFrame([(v,) for v in rows[:5]], "v double")
+    assert O.quantile_columns(small, [], "v", {"mid": 0.5}).first()["mid"] == 3.0
+
+
+def test_no_window_holds_more_than_a_few_distinct_numbers(spark):
+    """Doubles crowded around one magnitude fall into many fine buckets, in the numbers' order."""
+    df = spark.range(200_000).select((F.lit(0.001) + F.col("id") * 1e-9).alias("v"))
+    b = df.select("v", O.magnitude_bucket(F.col("v")).alias("b"))
+    assert b.groupBy("b").count().agg(F.max("count")).first()[0] <= 8
+    pdf = b.orderBy("v").toPandas()
+    assert (pdf["b"].diff().dropna() >= 0).all()
