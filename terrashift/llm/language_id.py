@@ -44,7 +44,7 @@ def presence(texts: list[str], bits: int) -> np.ndarray:
     flat = out.reshape(-1)
     if not texts:
         return out
-    joined = "\n\n\n\n".join(texts).lower()
+    joined = "".join(t + "\n\n\n\n" for t in texts).lower()
     codes = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
     # Texts are told apart by their lengths after lower-casing.
     lengths = np.array([len(t.lower()) for t in texts], np.int64) + 4
@@ -52,7 +52,6 @@ def presence(texts: list[str], bits: int) -> np.ndarray:
     letter = _letters(codes)
     gap = ~letter
     keep = letter | np.concatenate([[False], letter[:-1]])
-    keep[ends[:-1] - 4] = True
     row = np.repeat(np.arange(len(texts)), np.diff(np.concatenate([[0], np.minimum(ends, len(codes))])))
     row, c = row[keep], np.where(gap, np.uint32(32), codes)[keep].astype(np.uint64)
     h = np.zeros(len(c), np.uint64)
