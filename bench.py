@@ -34,6 +34,12 @@ HEADLINE = [
     "reliability_table",
     "decile_precision_recall",
     "exact_silhouette",
+    "squared_silhouette",
+    "wide_feature_table",
+    "swap_fold_acceptance",
+    "boosted_tree_fold",
+    "out_of_fold_predictions",
+    "block_clusters",
     "cluster_report",
     "lineitem_price_quantiles",
     "partitioned_sink_roundtrip",

@@ -120,9 +120,9 @@ def _knot_means(df: DataFrame, keys: list[str], vec: str, d: int) -> DataFrame:
 
 
 def calinski_harabasz(df: DataFrame, label: str, vec: str, d: int) -> DataFrame:
-    """Between over within variance; cluster means are one row per cluster."""
+    """Between over within variance; cluster means are one row per cluster, joined without a hint."""
     means = _knot_means(df, [label], vec, d)
-    within = df.join(F.broadcast(means), label).agg(
+    within = df.join(means, label).agg(
         F.sum(F.pow(E.array_distance(F.col(vec), F.col("_mean")), 2.0)).alias("w")
     )
     grand = _knot_means(df, [], vec, d).select("_mean").scalar()
@@ -180,7 +180,7 @@ def silhouette(df: DataFrame, key: str, label: str, vec: str, chunk: int = 1024)
         .applyInPandas(compare, "key string, own int, other int, s double")
         .groupBy("key", "own", "other").agg(F.sum("s").alias("s"))
     )
-    sizes = F.broadcast(packed.groupBy(F.col("_l").alias("other")).agg(F.count(F.lit(1)).alias("m")))
+    sizes = packed.groupBy(F.col("_l").alias("other")).agg(F.count(F.lit(1)).alias("m"))
     same = F.col("own") == F.col("other")
     per = sums.join(sizes, "other").groupBy("key").agg(
         F.max(F.when(same, E.ratio(F.col("s"), F.col("m") - 1))).alias("a"),

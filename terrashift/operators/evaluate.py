@@ -108,7 +108,8 @@ def threshold_metrics(scored: DataFrame, keys: list[str], score: str, label: str
 
 
 def fold_role(fold: Column, screen: int, validation: int) -> Column:
-    return F.when(fold == screen, "test (held out)").when(fold == validation, "val (early stopping)").otherwise("train")
+    """What a fold was to a screened model."""
+    return F.when(fold == screen, "unseen").when(fold == validation, "stopping rule").otherwise("learned from")
 
 
 def with_prediction(scored: DataFrame, thresholds: DataFrame, score: str) -> DataFrame:

@@ -210,7 +210,7 @@ def refit_report(samples: DataFrame, pool: DataFrame, experiment: Experiment, pa
     own = V.threshold_metrics(score(model, train, experiment).withColumn("fold", F.lit(-1)), ["fold"], "y_score", "label_bin")
     nat = score(model, normalise_distance(samples, dist, *norm), experiment).withColumn("label_bin", (F.col("label") == 1).cast("int"))
     folds = V.threshold_metrics(nat, ["fold"], "y_score", "label_bin")
-    role = F.when(F.col("fold") == -1, "training rows").otherwise(V.fold_role(F.col("fold"), 0, 1 % k))
+    role = F.when(F.col("fold") == -1, "pool rows learned from").otherwise(V.fold_role(F.col("fold"), 0, 1 % k))
     return own.unionByName(folds).withColumn("role", role)
 
 

@@ -93,9 +93,10 @@ def fold_sample(df: DataFrame, n: int, seed: int, method: str = "xxhash", keys=(
 
 
 def mean_normalised(df: DataFrame, weight: str, keys: list[str]) -> DataFrame:
-    """Weight divided by the mean of its fold (or another key with a handful of values; the means are broadcast)."""
+    """Weight divided by the mean of its fold or another key."""
     mean = df.groupBy(*keys).agg(F.avg(weight).alias("_mean"))
-    return df.join(F.broadcast(mean), keys).withColumn("weight_norm", E.ratio(F.col(weight), F.col("_mean"))).drop("_mean")
+    # No hint: the planner broadcasts the means while they are small and otherwise shuffles, splitting hot keys.
+    return df.join(mean, keys).withColumn("weight_norm", E.ratio(F.col(weight), F.col("_mean"))).drop("_mean")
 
 
 def subsample_runs(df: DataFrame, key: str, runs: int, frac: float, seed: int, method: str = "xxhash") -> DataFrame:
@@ -116,6 +117,8 @@ def stratified_batches(
 ) -> DataFrame:
     """Batches with a fixed number of rows per stratum, drawn with replacement: (batch, slot, stratum, keys...).
 
+    All strata are drawn with replacement, also the large one: a batch of some thousand rows from millions repeats a row
+    of it rarely, and every slot stays independent of all others, so batches can be drawn in any order.
     The stratum sizes, one row per stratum, are broadcast; rows of a stratum get a hash position, every slot draws a position: deterministic and without a driver loop.
     """
     sizes = {s: max(1, int(batch_size * f)) for s, f in fractions.items()}

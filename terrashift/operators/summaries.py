@@ -225,12 +225,6 @@ def tile_screen(df: DataFrame, value: Column, top: int = 10) -> DataFrame:
     return scored.orderBy(F.abs("z").desc(), "tile_id").limit(top)
 
 
-def weighted_profile(blocks: DataFrame, keys: list[str], cols: list[str], weight: str = "n") -> DataFrame:
-    return blocks.groupBy(*keys).agg(
-        *[E.ratio(F.sum(F.col(c) * F.col(weight)), F.sum(weight)).alias(c) for c in cols]
-    )
-
-
 def log_histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     lo, hi = E.log_bin_edges(F.col("bin_idx"))
     counts = df.groupBy(*keys, E.log_bin(F.col(value)).alias("bin_idx")).agg(F.count(F.lit(1)).alias("n"))
