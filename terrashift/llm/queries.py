@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terrashift.llm.common import table
 from terrashift.llm.decontaminate import leaks
@@ -63,12 +64,47 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op4_tokens")
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digest(table(spark, sf_dir, "documents"), TokenSpec(public_tokenizers.path("byte_bpe_50k.json")))
+    return token_digest(table(spark, sf_dir, "documents"), TokenSpec(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
 
 
-@_query("op5_url_filter")
+_SAME = """CASE WHEN k > 0 AND tk > k AND abs(b / k - (tb - b) / (tk - k)) <= 1.96::DOUBLE * sqrt((tb / tk) * (1 - tb / tk) * (1 / k + 1 / (tk - k))) THEN '*' ELSE v END"""
+
+
+@_query(
+    "op5_url_filter",
+    f"""
+    WITH u AS (
+      SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    r AS (
+      SELECT *, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+          WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+          WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+          WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+          WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule,
+        [CASE WHEN regexp_matches(x, '[0-9]') THEN '{{n}}' ELSE x END for x in string_split(path, '/') if x <> ''] AS seg FROM u),
+    g AS (
+      SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS given,
+        coalesce(seg[1], '') AS s0, coalesce(seg[2], '') AS s1, CASE WHEN len(seg) > 2 THEN '/..' ELSE '' END AS deep FROM r),
+    t AS (SELECT host, s0, s1, deep, COUNT(given) AS k, COUNT(*) FILTER (given = 'block') AS b FROM g GROUP BY ALL),
+    t0 AS (SELECT *, CASE WHEN (SELECT COUNT(DISTINCT z.s0) FROM t z WHERE z.host = t.host) > 32 THEN '{{*}}' ELSE s0 END AS v0 FROM t),
+    b0 AS (SELECT host, v0 AS v, SUM(k) AS k, SUM(b) AS b FROM t0 GROUP BY ALL),
+    m0 AS (SELECT host, v, {_SAME} AS m FROM b0 JOIN (SELECT host, SUM(k) AS tk, SUM(b) AS tb FROM b0 GROUP BY 1) USING (host)),
+    t1 AS (SELECT t0.*, m0.m AS m0 FROM t0 JOIN m0 ON t0.host = m0.host AND t0.v0 = m0.v),
+    w1 AS (SELECT host, m0, COUNT(DISTINCT s1) AS c FROM t1 GROUP BY ALL),
+    t2 AS (SELECT t1.*, CASE WHEN c > 32 THEN '{{*}}' ELSE s1 END AS v1 FROM t1 JOIN w1 USING (host, m0)),
+    b1 AS (SELECT host, m0, v1 AS v, SUM(k) AS k, SUM(b) AS b FROM t2 GROUP BY ALL),
+    m1 AS (SELECT host, m0, v, {_SAME} AS m FROM b1 JOIN (SELECT host, m0, SUM(k) AS tk, SUM(b) AS tb FROM b1 GROUP BY ALL) USING (host, m0)),
+    t3 AS (SELECT t2.*, m1.m AS m1 FROM t2 JOIN m1 ON t2.host = m1.host AND t2.m0 = m1.m0 AND t2.v1 = m1.v),
+    p AS (
+      SELECT host, m0, m1, deep, SUM(k) AS k, coalesce((SUM(b) + 2 * (SELECT SUM(b) / SUM(k) FROM t)) / (SUM(k) + 2), 0) AS purity FROM t3 GROUP BY ALL)
+    SELECT g.page_id, g.host, g.path, g.rule, coalesce(g.given, CASE WHEN p.k > 0 AND p.purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict,
+      g.host || '/' || p.m0 || '/' || p.m1 || p.deep AS template, round(p.purity, 9) AS purity
+    FROM g JOIN t3 USING (host, s0, s1, deep) JOIN p ON p.host = t3.host AND p.m0 = t3.m0 AND p.m1 = t3.m1 AND p.deep = t3.deep
+    """,
+)
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"))
+    return judge(table(spark, sf_dir, "pages")).withColumn("purity", F.round("purity", 9))
 
 
 @_query("op6_quality")
