@@ -53,11 +53,17 @@ def completed_without_file(manifest: DataFrame, files: DataFrame, stem: str = r"
     return manifest.where("status = 'COMPLETED'").join(stems, "description", "left_anti")
 
 
-def patch_difference(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Differing cells and largest difference per band of two rasters on the same keys (``band`` among them)."""
-    j = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), keys)
-    d = F.abs(F.col("_a").cast("int") - F.col("_b").cast("int"))
-    return j.groupBy("band").agg(F.count_if(d > 0).alias("n_diff"), F.max(d).alias("max_abs_diff"))
+def patch_difference(a: DataFrame, b: DataFrame, keys: list[str], bands: str, n_bands: int = C.N_BANDS) -> DataFrame:
+    """Differing cells and largest difference per band of two rasters with band arrays on the same keys.
+
+    Cells meet once with all their bands; bands become rows only after the aggregate.
+    """
+    j = a.select(*keys, F.col(bands).alias("_a")).join(b.select(*keys, F.col(bands).alias("_b")), keys)
+    d = j.select(F.zip_with("_a", "_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))).alias("d"))
+    each = [F.element_at("d", i + 1) for i in range(n_bands)]
+    one = d.agg(*[F.struct(F.count_if(e > 0).alias("n_diff"), F.max(e).alias("max_abs_diff")).alias(f"b{i}") for i, e in enumerate(each)])
+    rows = F.array(*[F.struct(F.lit(i + 1).alias("band"), F.col(f"b{i}").alias("v")) for i in range(n_bands)])
+    return one.select(F.explode(rows).alias("e")).select("e.band", "e.v.n_diff", "e.v.max_abs_diff").where("max_abs_diff is not null")
 
 
 def validation_verdict(range_ok: Column, aligned: Column, matches: Column, n_granules: Column) -> Column:

@@ -74,13 +74,28 @@ def spans(edge: DataFrame, lat: Lattice) -> DataFrame:
     return paired.where("i % 2 = 1 and x_to is not null").drop("i")
 
 
-def cells_inside(edge: DataFrame, lat: Lattice) -> DataFrame:
-    """Cells (poly_id, row, col) whose centre is inside: x_from <= centre < x_to."""
+def cell_runs(edge: DataFrame, lat: Lattice) -> DataFrame:
+    """Runs (poly_id, row, a, b) of cells whose centre is inside: x_from <= centre < x_to."""
     def first_at_or_after(x: str) -> Column:
         return F.ceil((F.col(x) - F.lit(lat.origin_x)) / F.lit(lat.pixel_m) - F.lit(0.5)).cast("int")
 
     s = spans(edge, lat).select("poly_id", "row", first_at_or_after("x_from").alias("a"), (first_at_or_after("x_to") - 1).alias("b"))
-    return s.where("a <= b").select("poly_id", "row", F.explode(F.sequence("a", "b")).alias("col"))
+    return s.where("a <= b")
+
+
+def cells_inside(edge: DataFrame, lat: Lattice) -> DataFrame:
+    """The same as single cells (poly_id, row, col)."""
+    return cell_runs(edge, lat).select("poly_id", "row", F.explode(F.sequence("a", "b")).alias("col"))
+
+
+def pixels_inside(pixels: DataFrame, edge: DataFrame, lat: Lattice, chunk: int = 256) -> DataFrame:
+    """Pixels with the polygons they lie in. Runs are cut into chunks of columns and joined on (row, chunk), so what moves
+    is a row for each run and chunk, not for each cell, and a long raster row is spread."""
+    def part(c: str) -> Column:
+        return F.floor(F.col(c) / F.lit(float(chunk)))
+
+    runs = cell_runs(edge, lat).withColumn("_part", F.explode(F.sequence(part("a"), part("b"))))
+    return pixels.withColumn("_part", part("col")).join(runs, ["row", "_part"]).where("col between a and b").drop("_part", "a", "b")
 
 
 def segment_box_distance(x1, y1, x2, y2, minx, miny, maxx, maxy) -> Column:

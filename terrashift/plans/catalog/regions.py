@@ -24,14 +24,13 @@ def polygon_edges(fx: Fixtures):
 
 @register("pixels_in_polygons", "G2 J14", f"{_INSIDE} SELECT row, col, poly_id FROM ins")
 def pixels_in_polygons(fx: Fixtures):
-    inside = vec.cells_inside(vec.edges(fx.vertices), LAT)
-    return fx.pixels.select("row", "col").join(inside, ["row", "col"])
+    return vec.pixels_inside(fx.pixels.select("row", "col"), vec.edges(fx.vertices), LAT).select("row", "col", "poly_id")
 
 
 @register("cover_inside_polygons", "J14 G18", f"{_INSIDE} SELECT i.poly_id, p.lc_2019, COUNT(*) AS n FROM ins i JOIN px p ON p.row = i.row AND p.col = i.col GROUP BY 1, 2")
 def cover_inside_polygons(fx: Fixtures):
-    inside = vec.cells_inside(vec.edges(fx.vertices), LAT)
-    return fx.pixels.join(inside, ["row", "col"]).groupBy("poly_id", "lc_2019").agg(F.count(F.lit(1)).alias("n"))
+    inside = vec.pixels_inside(fx.pixels.select("row", "col", "lc_2019"), vec.edges(fx.vertices), LAT)
+    return inside.groupBy("poly_id", "lc_2019").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("buffered_bounds", "G3 S5", "SELECT poly_id, min(x) - 100 AS minx, min(y) - 100 AS miny, max(x) + 100 AS maxx, max(y) + 100 AS maxy FROM vtx GROUP BY 1")
