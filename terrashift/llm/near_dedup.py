@@ -81,28 +81,63 @@ def _verified(pairs: DataFrame, sets: DataFrame, spec: NearSpec) -> DataFrame:
     )
 
 
+#: Shingles in more open sets than this are frequent.
+RARE = 64
+
+
 def _open_links(open_rows: DataFrame, tried: DataFrame, sets: DataFrame, spec: NearSpec) -> DataFrame:
     """Links that the stars have missed, between members of buckets that still hold several components.
 
-    Exact prefix filter: with the shingles of every set ordered from rare to frequent, two sets that are similar enough
-    share one of their first ``n - ceil(percent * n) + 1``. A passage that thousands of documents share is frequent, so it
-    brings no pair about; and only pairs of different components are compared.
+    Exact prefix filter: with the shingles of every set ordered from rare to frequent, the first one that two similar sets
+    share is among the first ``n - ceil(percent * n) + 1`` of both, early enough to leave room for the rest. If it is rare,
+    few sets hold it and the join finds the pair. If it is frequent, the two share frequent shingles only, so what counts is
+    the frequent part of each. Among sets with one frequent part the smallest is as similar to any other as a partner can
+    be; across two frequent parts, if any two members are linked, each is linked to the other part's smallest set, and the
+    two smallest are linked. So it is enough to compare sets with the smallest set of their own part and of other parts. A
+    passage that thousands of documents share is one frequent part, and costs a number of comparisons in proportion to the
+    documents.
     """
     named = open_rows.select(F.col("x").alias("doc_id"), "n", "g").distinct()
     terms = sets.join(named, "doc_id").select("doc_id", "n", "g", F.explode("items").alias("s"))
     spread = terms.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    ranked = terms.join(spread, "s").withColumn("often", F.col("df") > RARE)
     order = Window.partitionBy("doc_id").orderBy("df", "s")
     first = F.col("n") - F.ceil(F.col("n") * F.lit(spec.percent) / F.lit(100)) + 1
-    prefix = terms.join(spread, "s").withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= first)
-    prefix = cut(prefix.select("s", "doc_id", "n", "g"), "prefix")
-    mixed = prefix.groupBy("s").agg(F.min("g").alias("_lo"), F.max("g").alias("_hi")).where("_lo < _hi").select("s")
-    side = prefix.join(mixed, "s", "left_semi")
-    one = side.select("s", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("g").alias("ag"))
-    two = side.select("s", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("g").alias("bg"))
-    pairs = one.join(two, "s").where("a < b and ag <> bg")
-    pairs = pairs.where(F.lit(100) * F.least("an", "bn") >= F.lit(spec.percent) * F.greatest("an", "bn"))
-    pairs = pairs.select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    return _verified(pairs, sets, spec).where(_linked(spec)).select("a", "b")
+    ranked = ranked.withColumn("_i", F.row_number().over(order))
+    prefix = cut(ranked.where(F.col("_i") <= first).select("s", "doc_id", "n", "g", "often", F.col("_i").alias("i")), "prefix")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows of the shingles that sets of several components hold."""
+        several = rows.groupBy("s").agg(F.min("g").alias("_lo"), F.max("g").alias("_hi")).where("_lo < _hi")
+        return rows.join(several.select("s"), "s", "left_semi")
+
+    def pairs(one: DataFrame, two: DataFrame, differ: str) -> DataFrame:
+        one = one.select("s", *[F.col(c).alias(f"a_{c}") for c in one.columns if c != "s"])
+        two = two.select("s", *[F.col(c).alias(f"b_{c}") for c in two.columns if c != "s"])
+        size = F.lit(100) * F.least("a_n", "b_n") >= F.lit(spec.percent) * F.greatest("a_n", "b_n")
+        # So many must be shared; a first shared shingle at place i leaves n - i + 1 at most.
+        least = F.ceil((F.col("a_n") + F.col("b_n")) * spec.percent / F.lit(100 + spec.percent))
+        room = (F.col("a_n") - F.col("a_i") + 1 >= least) & (F.col("b_n") - F.col("b_i") + 1 >= least)
+        both = one.join(two, "s").where(differ).where(size).where(room)
+        return both.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b"))
+
+    rare = mixed(prefix.where("not often"))
+    found = pairs(rare, rare, "a_doc_id < b_doc_id and a_g <> b_g")
+
+    heavy = prefix.where("often").select("doc_id").distinct()
+    part = ranked.where("often").join(heavy, "doc_id", "left_semi").groupBy("doc_id", "n", "g").agg(
+        F.count(F.lit(1)).alias("_k"), F.bit_xor(F.xxhash64("s")).alias("_p1"), F.bit_xor(F.xxhash64("s", F.lit(1))).alias("_p2")
+    )
+    part = cut(part.select("doc_id", "n", "g", F.xxhash64("_k", "_p1", "_p2").alias("part")), "parts")
+    smallest = part.groupBy("part").agg(F.min(F.struct("n", "doc_id", "g")).alias("_m"))
+    own = part.join(smallest, "part").where("doc_id <> _m.doc_id and g <> _m.g")
+    found = found.union(own.select(F.least("doc_id", "_m.doc_id"), F.greatest("doc_id", "_m.doc_id")))
+    often = mixed(prefix.where("often").drop("often")).join(part.select("doc_id", "part"), "doc_id")
+    heads = often.join(smallest.select(F.col("_m.doc_id").alias("doc_id")), "doc_id", "left_semi")
+    found = found.union(pairs(often, heads, "a_doc_id <> b_doc_id and a_g <> b_g and a_part <> b_part"))
+
+    new = found.distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    return _verified(new, sets, spec).where(_linked(spec)).select("a", "b")
 
 
 def _linked(spec: NearSpec) -> Column:

@@ -76,6 +76,21 @@ def test_near_groups_of_chains_and_odd_rows(spark):
     assert near(df) == brute(rows)
 
 
+def test_a_passage_that_many_documents_share(spark):
+    """Documents around the threshold that hold one long passage, or one of two that overlap, beside remainders of all sizes."""
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(60)]
+    rows: list[tuple[int, str | None]] = []
+    for i in range(260):
+        head, tail = int(rng.integers(0, 14)), int(rng.integers(0, 14))
+        body = passage[: 60 - 6 * (i % 3)] if i % 2 else passage
+        fresh = [f"u{i}x{j}" for j in range(head + tail)]
+        if i % 11 == 0 and rows:
+            fresh[:head] = [f"u{i - 11}x{j}" for j in range(head)]
+        rows.append((i, " ".join(fresh[:head] + body + fresh[head:])))
+    assert near(spark.createDataFrame([(i, t, "x", 7) for i, t in rows], SCHEMA)) == brute(rows)
+
+
 def test_near_groups_of_nothing(spark):
     assert near_groups(spark.createDataFrame([], SCHEMA)).count() == 0
     got = near_groups(spark.createDataFrame([(None, "a b c d e f", "x", 1), (1, "a b c d e f", "x", 1)], SCHEMA)).collect()
