@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return token_store.token_digest(docs, token_store.TokenSpec(public_tokenizers.path("byte_bpe_50k.json")))
+    return token_store.token_digest(docs, token_store.TokenSpec(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
 
 
 STAGES = [

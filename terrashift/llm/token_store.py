@@ -9,7 +9,6 @@ writes the files by its commit protocol, so a lost executor leaves no half-writt
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -17,6 +16,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,10 @@ from terrashift.session import scratch_path
 
 PLANES = 16
 _BLOCK = 512
-_SPLIT = "<|endoftext|>"
+# Byte-level vocabularies show a byte by a printable character: itself, or one of those from 256 on in turn.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_MARKS = ".,;:!?"
+_VISIBLE = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
 
 
 @dataclass(frozen=True)
@@ -34,10 +38,10 @@ class TokenSpec:
     """``shard_chars`` bounds the text that one task holds; a longer document is a shard of its own size."""
 
     tokenizer: str
+    pattern: str
     end_id: int = 0
-    split_id: int = 50256
     shard_chars: int = 24_000_000
-    memo_words: int = 600_000
+    memo_words: int = 400_000
 
 
 class WaveletMatrix:
@@ -157,63 +161,108 @@ class Encoder:
     """The public tokenizer with a memo of words.
 
     The pre-tokenizer of byte-level BPE always cuts before a space that a visible character follows, so a text is the
-    concatenation of such pieces and each distinct piece is encoded once. Texts with other white space after a space, or
-    with special tokens, are encoded whole.
+    concatenation of its first word and of all others with their space, and each distinct word is encoded once: cut by the
+    vocabulary's public pattern and merged by the tokenizer's model. Words with letters beyond Latin, texts with other
+    white space after a space, and texts with special tokens are left to the whole tokenizer.
     """
 
-    _odd = re.compile(r" (?=\s|$)|<\|")
+    _odd = r" ([\s\p{Z}\x0b\x{85}\x1c-\x1f]|$)|<\|"
 
     def __init__(self, spec: TokenSpec):
         from tokenizers import Tokenizer
 
         self.spec = spec
         self.tokenizer = Tokenizer.from_file(spec.tokenizer)
+        #: Ids of a word with a space before it. Words that were not asked for lately drop out of the older half.
         self.memo: dict[str, bytes] = {}
-        self.end = np.array([spec.end_id], np.uint16).tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces in texts of a few thousand, kept apart by the special token."""
-        if len(self.memo) + len(pieces) > self.spec.memo_words:
-            self.memo.clear()
-        step = 4096
-        runs = [_SPLIT.join(pieces[i : i + step]) for i in range(0, len(pieces), step)]
-        for k, e in enumerate(self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint16)
-            raw = ids.tobytes()
-            cut = np.flatnonzero(ids == self.spec.split_id) * 2
-            start = 0
-            for piece, stop in zip(pieces[k * step : (k + 1) * step], [*cut.tolist(), len(raw)]):
-                self.memo[piece] = raw[start:stop]
-                start = stop + 2
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text, with the end id."""
-        out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self._odd.search(t)]
-        for i, e in zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.uint16).tobytes() + self.end
-        plain = [i for i, x in enumerate(out) if x is None]
-        split = [(" " + texts[i]).replace(" ", "\0 ").split("\0")[1:] if "\0" not in texts[i] else None for i in plain]
-        fresh = set()
-        for i, words in zip(plain, split):
-            if words is None:
-                continue
-            words[0] = words[0][1:]
-            fresh.update(words)
-        missing = [w for w in fresh if w not in self.memo]
-        if missing:
-            before = len(self.memo)
-            self._learn(missing)
-            if len(self.memo) < before + len(missing):  # the memo was emptied
-                self._learn([w for w in fresh if w not in self.memo])
-        get = self.memo.__getitem__
-        for i, words in zip(plain, split):
-            if words is None:
-                e = self.tokenizer.encode(texts[i], add_special_tokens=False)
-                out[i] = np.array(e.ids, np.uint16).tobytes() + self.end
-            else:
-                out[i] = b"".join(map(get, words)) + self.end
-        return out  # type: ignore[return-value]
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.two = [i.to_bytes(2, "little") for i in range(1 << 16)]
+        self.cut = regex.compile(spec.pattern)
+        self.end = np.array([spec.end_id], np.uint16)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint16).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _merged(self, text: str) -> bytes:
+        """Ids of one piece that the pre-tokenizer would not cut further, by the tokenizer's own merges."""
+        two = self.two
+        if not text.isascii():
+            text = text.encode().decode("latin-1")
+        return b"".join([two[t.id] for t in self.tokenizer.model.tokenize(text.translate(_VISIBLE))])
+
+    def _new(self, word: str) -> bytes | None:
+        """Ids of a word with a space before it; None where only the whole tokenizer knows how to cut it."""
+        if not word.isascii() and max(word) > "\u024f":
+            return None
+        if word.isalpha():
+            return self._merged(" " + word)
+        core = word.rstrip(_MARKS)
+        if core.isalpha():
+            # The pre-tokenizer cuts between a letter and a mark.
+            tail = word[len(core) :]
+            ids = self.memo.get(core) or self.older.get(core)
+            if ids is None:
+                ids = self.memo[core] = self._merged(" " + core)
+            if tail not in self.tails:
+                self.tails[tail] = self._merged(tail)
+            return ids + self.tails[tail]
+        return b"".join(map(self._merged, self.cut.findall(" " + word)))
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, each with a space before it."""
+        memo, older = self.memo, self.older
+        got = list(map(memo.get, words))
+        foreign = []
+        for i, x in enumerate(got):
+            if x is None:
+                w = words[i]
+                x = older.get(w)
+                if x is None:
+                    x = self._new(w)
+                if x is None:
+                    foreign.append(i)
+                else:
+                    memo[w] = got[i] = x
+        for i, x in zip(foreign, self._whole([" " + words[i] for i in foreign])):
+            memo[words[i]] = got[i] = x
+        if len(self.tails) > 10_000:
+            self.tails.clear()
+        if len(memo) > self.spec.memo_words:
+            self.memo, self.older = {}, memo
+        return got  # type: ignore[return-value]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in order, each text followed by the end id, and the number of ids of each text."""
+        texts = texts.cast(pa.large_string())
+        odd = np.flatnonzero(pc.match_substring_regex(texts, self._odd).to_numpy(zero_copy_only=False))
+        if len(odd):
+            whole = dict(zip(odd.tolist(), self._whole(texts.take(pa.array(odd)).to_pylist())))
+            texts = pc.if_else(pc.match_substring_regex(texts, self._odd), pa.scalar("", pa.large_string()), texts)
+        words = pc.split_pattern(texts, " ")
+        flat = words.flatten().dictionary_encode()
+        code = flat.indices.to_numpy().astype(np.int64)
+        bounds = words.offsets.to_numpy().astype(np.int64)
+        bounds = bounds - bounds[0]
+        known = self._ids(flat.dictionary.to_pylist())
+        # The first word of a text has no space before it; an entry of its own stands for it.
+        heads = flat.dictionary.take(pa.array(code[bounds[:-1]])).to_pylist()
+        table = [*known, *self._whole(heads), self.end.tobytes()]
+        code[bounds[:-1]] = len(known) + np.arange(len(heads))
+        code = np.insert(code, bounds[1:], len(table) - 1)
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 2
+        start = np.cumsum(size) - size
+        ids, length = np.frombuffer(b"".join(table), np.uint16), size[code]
+        ends = np.cumsum(length)
+        tokens = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[code] - (ends - length), length)]
+        stops = ends[bounds[1:] + np.arange(len(heads))]
+        counts = np.diff(stops, prepend=0)
+        if len(odd):
+            pieces = np.split(tokens, stops[:-1])
+            for i, raw in whole.items():
+                pieces[i] = np.concatenate([np.frombuffer(raw, np.uint16), self.end])
+            tokens, counts = np.concatenate(pieces), np.array([len(x) for x in pieces], np.int64)
+        return tokens, counts
 
 
 _ENCODERS: dict[TokenSpec, Encoder] = {}
@@ -239,12 +288,12 @@ def _shard_writer(spec: TokenSpec) -> Callable[[Iterator[pa.RecordBatch]], Itera
         ids, lengths, parts = [], [], []
         for batch in batches:
             ids += batch.column(0).to_pylist()
-            for at in range(0, len(batch), 512):
-                for raw in encoder.encode(batch.column(1)[at : at + 512].to_pylist()):
-                    lengths.append(len(raw) // 2)
-                    parts.append(raw)
+            for at in range(0, len(batch), 2048):
+                tokens, counts = encoder.encode(batch.column(1)[at : at + 2048])
+                parts.append(tokens)
+                lengths += counts.tolist()
         if ids:
-            tokens = np.frombuffer(b"".join(parts), np.uint16)
+            tokens = np.concatenate(parts)
             parts.clear()
             row = {"shard": TaskContext.get().partitionId(), "doc_ids": ids, "lengths": lengths} | WaveletMatrix.build(tokens).dump()
             yield pa.RecordBatch.from_pylist([row], _arrow_schema())

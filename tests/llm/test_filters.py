@@ -204,6 +204,7 @@ def test_viterbi_and_its_bound():
     net.b[0] = 2
     ids = rng.integers(0, 17, (6, 300)).astype(np.uint8)
     e = pii._emissions(net, pii._cell(net, ids, False)[0])
+    assert np.allclose(pii._score(net, ids), e, atol=1e-4)
     full = pii.viterbi(e, net.t)
     assert (pii.tag_windows(net, ids) == full).all()
     k = pii._TAGS

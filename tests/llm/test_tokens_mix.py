@@ -7,7 +7,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -15,10 +18,11 @@ from terrashift.llm import mixing, token_store
 from terrashift.llm.token_store import Encoder, TokenSpec, WaveletMatrix, token_digest
 
 DATA = "/root/testdata/sf0.001"
-SPEC = TokenSpec(public_tokenizers.path("byte_bpe_50k.json"))
+SPEC = TokenSpec(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+FULL, SHARED = Tokenizer.from_file(SPEC.tokenizer), Encoder(TokenSpec(SPEC.tokenizer, SPEC.pattern, memo_words=50))
 ODD = [
     "", " ", "  two  spaces ", "a\n b", "tab\t x", "end ", "<|endoftext|> inside", "x<|y", "null\0 byte", "déjà vu – ﷽ 漢字 🙂🙂",
-    "it's we'll 12 345", "\n\n\n", "a\u00a0b \u00a0c", "é" * 3000,
+    "it's we'll 12 345", "one, two,. three!?' four.\nfive é, x1, ß.", "\n\n\n", "a\u00a0b \u00a0c", "é" * 3000,
 ]
 
 
@@ -26,17 +30,30 @@ def ids_of(text: str) -> list[int]:
     return [*Tokenizer.from_file(SPEC.tokenizer).encode(text, add_special_tokens=False).ids, 0]
 
 
+def encoded(encoder: Encoder, texts: list[str]) -> list[list[int]]:
+    tokens, counts = encoder.encode(pa.array(texts))
+    return [x.tolist() for x in np.split(tokens, np.cumsum(counts)[:-1])]
+
+
 def test_encoder_equals_the_tokenizer_on_odd_texts():
-    got = [np.frombuffer(x, np.uint16).tolist() for x in Encoder(SPEC).encode(ODD)]
-    assert got == [ids_of(t) for t in ODD]
-    small = Encoder(TokenSpec(SPEC.tokenizer, memo_words=3))
-    for _ in range(2):
-        assert [np.frombuffer(x, np.uint16).tolist() for x in small.encode(ODD)] == got
+    want = [ids_of(t) for t in ODD]
+    assert encoded(Encoder(SPEC), ODD) == want
+    plain = [t for t in ODD if "<|" not in t and not t.endswith(" ")]
+    small = Encoder(TokenSpec(SPEC.tokenizer, SPEC.pattern, memo_words=3))
+    for _ in range(3):
+        assert encoded(small, ODD) == want
+        assert encoded(small, plain) == [ids_of(t) for t in plain]
+
+
+@given(st.lists(st.text(st.sampled_from("abZé ,.!?'\n\t\u00a0\u2003\x1c1漢<|>-"), max_size=40), min_size=1, max_size=5))
+@settings(max_examples=300, deadline=None)
+def test_encoder_equals_the_tokenizer(texts):
+    assert encoded(SHARED, texts) == [[*FULL.encode(t, add_special_tokens=False).ids, 0] for t in texts]
 
 
 def test_token_files_round_trip(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    spec = TokenSpec(SPEC.tokenizer, shard_chars=60_000)
+    spec = TokenSpec(SPEC.tokenizer, SPEC.pattern, shard_chars=60_000)
     got = sorted(token_digest(docs, spec).collect())
     at, want = 0, []
     for r in sorted(docs.select("doc_id", "text").collect()):
