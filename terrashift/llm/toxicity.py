@@ -168,9 +168,10 @@ def _count_stems(longest: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(frame["text"], frame["toxic"]):
                 seen[int(toxic)].update(_beginnings(text, longest))
-            # A stem without a toxic row cannot enter the lexicon, so its counts need not move.
-            stems = list(seen[1])
-            yield pd.DataFrame({"stem": stems, "n1": [seen[1][s] for s in stems], "n0": [seen[0][s] for s in stems]})
+            # Whether a stem has a toxic row is known only after the sum over all batches, so every count moves.
+            stems = list(seen[0].keys() | seen[1].keys())
+            if stems:  # Arrow can't type the columns of a batch without words
+                yield pd.DataFrame({"stem": stems, "n1": [seen[1][s] for s in stems], "n0": [seen[0][s] for s in stems]})
 
     return run
 
@@ -210,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, spec: ToxicSpec = ToxicSpec()) -> To
     pos, neg = size.get(True, 0), size.get(False, 0)
     if not pos or not neg:
         return ToxicModel({}, (-30.0, 0.0, 0.0, 0.0))
-    # Counts reach the reducers once for each Arrow batch of the bounded sample.
+    # Counts of all stems reach the reducers once for each Arrow batch; the sample is bounded, and so is the shuffle.
     counted = mined.select("text", "toxic").mapInPandas(_count_stems(spec.stem), "stem string, n1 bigint, n0 bigint")
     counted = counted.groupBy("stem").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(F.col("n1") >= spec.least)
     odds = F.log((F.col("n1") + 0.5) / (pos + 1.0)) - F.log((F.col("n0") + 0.5) / (neg + 1.0))

@@ -55,6 +55,25 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_lexicon_does_not_depend_on_partitions(spark):
+    """Words that stand in a few toxic rows and many clean ones keep their clean counts, however the rows are dealt."""
+    rng = np.random.default_rng(2)
+    words = [f"{c}{v}lm" for c in "bdfgkmnprst" for v in "aeiou"]
+    rows = [(i, " ".join(rng.choice(words, 30)) + (" idiotic" if i % 20 == 0 else "")) for i in range(2_000)]
+    rows += [(i, "?!") for i in range(2_000, 2_050)]
+    labels = spark.createDataFrame([(i, int(i % 20 == 0 and i < 2_000)) for i, _ in rows], "doc_id bigint, toxic int")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old, got = spark.conf.get(batch), []
+    try:
+        # Small files are read together again, so the batch's length is set as well.
+        for parts, length in ((1, "10000"), (200, "5")):
+            spark.conf.set(batch, length)
+            got.append(toxicity.fit(rows_of(spark, rows).repartition(parts), labels).stems)
+    finally:
+        spark.conf.set(batch, old)
+    assert got[0] == got[1] and "idiotic" in got[0] and not set(words) & set(got[0])
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = rows_of(spark, ODD)
     model = toxicity.ToxicModel({"idiot": 3.0}, (-3.0, 4.0, 0.0, 0.0))
