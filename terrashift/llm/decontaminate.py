@@ -1,15 +1,16 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Numbers, units and names become typed placeholders, so that a question with other figures has the same template. Windows
-of eight template words are joined by hash. A matched window fixes how a benchmark item lies on a document; along that
-alignment the placeholders' values must map one to one, value by value, or the match is taken for chance.
+of eight template words are joined by hash. A matched window fixes how a benchmark item lies on a document; in the matched
+windows of that alignment the placeholders' values should map one to one, and a match with a larger share of conflicts is
+taken for chance.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrashift.llm.common import cut
@@ -29,13 +30,20 @@ _MARK = "\u0001"
 
 @dataclass(frozen=True)
 class LeakSpec:
-    """An item leaks into a document with ``share`` of its windows, or with ``run`` windows (of ``window`` words)."""
+    """An item leaks into a document with ``share`` of its windows, or with ``run`` windows (of ``window`` words).
+
+    Of the slots, ``split`` may have another word than their value has elsewhere, and ``clash`` in all may conflict, be it so
+    or by sharing a word with another value; new values that happen to be equal are no sign of chance. Conflicts in up to
+    ``split`` of the matched windows are no reason to reject when the other windows suffice by themselves.
+    """
 
     window: int = 8
     shortest: int = 5
     share: float = 0.5
     run: int = 6
     literal: int = 3
+    split: float = 0.1
+    clash: float = 0.5
 
 
 def raw_words(text: Column) -> Column:
@@ -63,6 +71,11 @@ def _windows(df: DataFrame, width: int) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in ("t", "raw")], F.posexplode(hashes).alias("at", "h"))
 
 
+def _enough(n: Column, spec: LeakSpec) -> Column:
+    """Whether ``n`` windows of an item are a leak."""
+    return (n >= F.lit(spec.share) * F.col("item_windows")) | (n >= spec.run)
+
+
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -73,8 +86,8 @@ def leaks(
     """One row per contaminated document and item: doc_id, item_id, n_windows, item_windows, n_slots, changed_slots,
     contaminated (true).
 
-    n_windows counts distinct item windows found along the best alignment; slots are placeholders of the item there,
-    changed ones have another value in the document. Items of fewer than ``window`` template words match as a whole;
+    n_windows counts distinct item windows found along the best alignment; slots are placeholders of the item in those
+    windows, changed ones have another value in the document. Items of fewer than ``window`` template words match as a whole;
     items under ``shortest`` words, null and empty ones match nothing, nor do windows with fewer than ``literal`` words
     beside placeholders. Null and empty documents leak nothing. Repeated rows of one document or item count once. Rows
     without an id are left out. Empty tables give an empty result.
@@ -105,19 +118,20 @@ def leaks(
         hits = _windows(shaped, w).join(side, "h").select("doc_id", "item_id", "item_windows", "q", (F.col("at") - F.col("q")).alias("shift"))
         found = hits if found is None else found.union(hits)
     aligned = found.groupBy("doc_id", "item_id", "shift").agg(
-        F.count_distinct("q").alias("n_windows"), F.first("item_windows").alias("item_windows"), F.min("q").alias("_from"), F.max("q").alias("_to")
+        F.collect_set("q").alias("_qs"), F.first("item_windows").alias("item_windows")
     )
+    aligned = aligned.withColumn("n_windows", F.size("_qs").cast("bigint"))
     best = aligned.groupBy("doc_id", "item_id").agg(
-        F.max_by(F.struct("shift", "n_windows", "item_windows", "_from", "_to"), F.struct("n_windows", -F.col("shift"))).alias("b")
+        F.max_by(F.struct("shift", "n_windows", "item_windows", "_qs"), F.struct("n_windows", -F.col("shift"))).alias("b")
     )
     best = best.select("doc_id", "item_id", "b.*")
-    enough = (F.col("n_windows") >= F.lit(spec.share) * F.col("item_windows")) | (F.col("n_windows") >= spec.run)
-    best = cut(best.where(enough), "aligned")
+    best = cut(best.where(_enough(F.col("n_windows"), spec)), "aligned")
 
     slots = items.select("item_id", F.posexplode(F.arrays_zip("raw", "t")).alias("q", "w")).where("w.t in ('<num>', '<name>', '<unit>')")
-    need = best.join(slots, "item_id").where(F.expr(f"q between _from and _to + {spec.window - 1}"))
+    inside = F.expr(f"exists(_qs, x -> q between x and x + {spec.window - 1})")
+    need = best.join(slots, "item_id").where(inside)
     need = cut(
-        need.select("doc_id", "item_id", (F.col("q") + F.col("shift")).cast("int").alias("at"), F.lower("w.raw").alias("value"), F.col("w.t").alias("kind")), "slots"
+        need.select("doc_id", "item_id", "shift", "q", (F.col("q") + F.col("shift")).cast("int").alias("at"), F.lower("w.raw").alias("value"), F.col("w.t").alias("kind")), "slots"
     )
     if need.isEmpty():
         checked = best.select("*", F.lit(0).cast("bigint").alias("n_slots"), F.lit(0).cast("bigint").alias("changed_slots"))
@@ -125,18 +139,26 @@ def leaks(
         asked = need.select("doc_id").distinct()
         seen = base.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         seen = seen.select("doc_id", F.posexplode("raw").alias("at", "word"))
-        pairs = need.join(seen, ["doc_id", "at"]).select("doc_id", "item_id", "kind", "value", F.lower("word").alias("word"))
-        # One value of the item must have one value in the document, and the other way round.
-        there = pairs.groupBy("doc_id", "item_id", "kind", "value").agg(
-            F.count(F.lit(1)).alias("n"), F.count_distinct("word").alias("_d"), F.sum((F.col("word") != F.col("value")).cast("bigint")).alias("changed"), F.min("word").alias("word")
-        )
-        back = there.groupBy("doc_id", "item_id", "kind", "word").agg(
-            F.sum("n").alias("n"), F.sum("changed").alias("changed"), (F.max(F.col("_d") > 1) | (F.count(F.lit(1)) > 1)).alias("_bad")
-        )
-        tally = back.groupBy("doc_id", "item_id").agg(
-            F.sum("n").alias("n_slots"), F.sum("changed").alias("changed_slots"), F.max("_bad").alias("_bad")
+        along = ["doc_id", "item_id", "shift"]
+        pairs = need.join(seen, ["doc_id", "at"]).select(*along, "kind", "value", F.lower("word").alias("word"), "q").repartition(*along)
+        there = pairs.groupBy(*along, "kind", "value", "word").agg(F.count(F.lit(1)).alias("n"), F.collect_list("q").alias("_at"))
+        # Each value keeps its commonest word and each word its commonest value; slots beside these conflict.
+        same = (F.col("word") == F.col("value")).cast("int")
+        of_value = Window.partitionBy(*along, "kind", "value").orderBy(F.desc("n"), same.desc(), "word")
+        of_word = Window.partitionBy(*along, "kind", "word").orderBy("_split", F.desc("n"), same.desc(), "value")
+        there = there.withColumn("_split", F.row_number().over(of_value) > 1)
+        there = there.withColumn("_odd", F.col("_split") | (F.row_number().over(of_word) > 1))
+        tally = there.groupBy(*along).agg(
+            F.sum("n").alias("n_slots"),
+            F.sum(F.when(same == 0, F.col("n")).otherwise(0)).alias("changed_slots"),
+            F.sum(F.when(F.col("_split"), F.col("n")).otherwise(0)).alias("_n_split"),
+            F.sum(F.when(F.col("_odd"), F.col("n")).otherwise(0)).alias("_n_odd"),
+            F.flatten(F.collect_list(F.when(F.col("_odd"), F.col("_at")))).alias("_odd_at"),
         )
-        checked = best.join(tally, ["doc_id", "item_id"], "left").where("_bad is null or not _bad").select(
+        few = (F.col("_n_split") <= F.lit(spec.split) * F.col("n_slots")) & (F.col("_n_odd") <= F.lit(spec.clash) * F.col("n_slots"))
+        sound = F.expr(f"size(filter(_qs, x -> NOT exists(_odd_at, p -> p between x and x + {spec.window - 1})))")
+        spared = _enough(sound, spec) & (sound >= F.lit(1 - spec.split) * F.col("n_windows"))
+        checked = best.join(tally, along, "left").where(F.col("n_slots").isNull() | few | spared).select(
             *best.columns, F.coalesce("n_slots", F.lit(0)).cast("bigint").alias("n_slots"), F.coalesce("changed_slots", F.lit(0)).cast("bigint").alias("changed_slots")
         )
     return checked.select(

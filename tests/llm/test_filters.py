@@ -335,3 +335,26 @@ def test_slots_must_be_consistent(spark):
     assert decontaminate.drop_leaks(rows_of(spark, docs), items).count() == 5
     assert decontaminate.leaks(rows_of(spark, []), items).count() == 0
     assert decontaminate.leaks(rows_of(spark, docs), items.where("false")).count() == 0
+
+
+def test_a_few_conflicts_do_not_hide_a_leak(spark):
+    """One changed mention in a long copy, and new values that happen to be equal, are leaks; values at random are not."""
+    rng = np.random.default_rng(3)
+    words = [f"{c}{v}lm" for c in "bdfgkmnprst" for v in "aeiou"]
+    prose = lambda n: " ".join(rng.choice(words, n))
+    passage = f"{prose(60)} of Anna in 1999 {prose(70)} of Anna in 1999 {prose(60)}"
+    sums = f"{prose(5)} has 3 {prose(4)} and 5 {prose(6)}"
+    many = " ".join(f"{prose(3)} has 7" for _ in range(12))
+    draws = iter(range(100, 112))
+    docs = [
+        (1, passage.replace("Anna", "Boris", 1)),
+        (2, passage.replace("1999", "2001", 1)),
+        (3, sums.replace("3", "4").replace("5", "4")),
+        (4, re.sub("7", lambda m: str(next(draws)), many)),
+        (5, many.replace("7", "8")),
+        # What lies between two matched parts isn't compared, here 1999 against 2020 and Anna against Carla.
+        (6, passage.replace("of Anna in 1999", "by Carla on 2020", 1)),
+    ]
+    items = spark.createDataFrame([(1, passage), (2, sums), (3, many)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(rows_of(spark, docs), items).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2), (5, 3), (6, 1)}
