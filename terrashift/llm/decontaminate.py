@@ -86,8 +86,8 @@ def leaks(
     """One row per contaminated document and item: doc_id, item_id, n_windows, item_windows, n_slots, changed_slots,
     contaminated (true).
 
-    n_windows counts distinct item windows found along the best alignment; slots are placeholders of the item in those
-    windows, changed ones have another value in the document. Items of fewer than ``window`` template words match as a whole;
+    n_windows counts distinct item windows found along the best alignment whose slots hold; slots are placeholders of the
+    item in those windows, changed ones have another value in the document. Items of fewer than ``window`` template words match as a whole;
     items under ``shortest`` words, null and empty ones match nothing, nor do windows with fewer than ``literal`` words
     beside placeholders. Null and empty documents leak nothing. Repeated rows of one document or item count once. Rows
     without an id are left out. Empty tables give an empty result.
@@ -121,20 +121,17 @@ def leaks(
         F.collect_set("q").alias("_qs"), F.first("item_windows").alias("item_windows")
     )
     aligned = aligned.withColumn("n_windows", F.size("_qs").cast("bigint"))
-    best = aligned.groupBy("doc_id", "item_id").agg(
-        F.max_by(F.struct("shift", "n_windows", "item_windows", "_qs"), F.struct("n_windows", -F.col("shift"))).alias("b")
-    )
-    best = best.select("doc_id", "item_id", "b.*")
-    best = cut(best.where(_enough(F.col("n_windows"), spec)), "aligned")
+    # Every alignment that suffices is checked; an early look-alike must not hide the copy behind it.
+    aligned = cut(aligned.where(_enough(F.col("n_windows"), spec)), "aligned")
 
     slots = items.select("item_id", F.posexplode(F.arrays_zip("raw", "t")).alias("q", "w")).where("w.t in ('<num>', '<name>', '<unit>')")
     inside = F.expr(f"exists(_qs, x -> q between x and x + {spec.window - 1})")
-    need = best.join(slots, "item_id").where(inside)
+    need = aligned.join(slots, "item_id").where(inside)
     need = cut(
         need.select("doc_id", "item_id", "shift", "q", (F.col("q") + F.col("shift")).cast("int").alias("at"), F.lower("w.raw").alias("value"), F.col("w.t").alias("kind")), "slots"
     )
     if need.isEmpty():
-        checked = best.select("*", F.lit(0).cast("bigint").alias("n_slots"), F.lit(0).cast("bigint").alias("changed_slots"))
+        checked = aligned.select("*", F.lit(0).cast("bigint").alias("n_slots"), F.lit(0).cast("bigint").alias("changed_slots"))
     else:
         asked = need.select("doc_id").distinct()
         seen = base.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -158,10 +155,12 @@ def leaks(
         few = (F.col("_n_split") <= F.lit(spec.split) * F.col("n_slots")) & (F.col("_n_odd") <= F.lit(spec.clash) * F.col("n_slots"))
         sound = F.expr(f"size(filter(_qs, x -> NOT exists(_odd_at, p -> p between x and x + {spec.window - 1})))")
         spared = _enough(sound, spec) & (sound >= F.lit(1 - spec.split) * F.col("n_windows"))
-        checked = best.join(tally, along, "left").where(F.col("n_slots").isNull() | few | spared).select(
-            *best.columns, F.coalesce("n_slots", F.lit(0)).cast("bigint").alias("n_slots"), F.coalesce("changed_slots", F.lit(0)).cast("bigint").alias("changed_slots")
+        checked = aligned.join(tally, along, "left").where(F.col("n_slots").isNull() | few | spared).select(
+            *aligned.columns, F.coalesce("n_slots", F.lit(0)).cast("bigint").alias("n_slots"), F.coalesce("changed_slots", F.lit(0)).cast("bigint").alias("changed_slots")
         )
-    return checked.select(
+    kept = F.struct("n_windows", "item_windows", "n_slots", "changed_slots")
+    best = checked.groupBy("doc_id", "item_id").agg(F.max_by(kept, F.struct("n_windows", -F.col("shift"))).alias("b"))
+    return best.select("doc_id", "item_id", "b.*").select(
         "doc_id", "item_id", "n_windows", F.col("item_windows").cast("bigint").alias("item_windows"), "n_slots", "changed_slots", F.lit(True).alias("contaminated")
     )
 

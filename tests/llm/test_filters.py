@@ -358,3 +358,12 @@ def test_a_few_conflicts_do_not_hide_a_leak(spark):
     items = spark.createDataFrame([(1, passage), (2, sums), (3, many)], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(rows_of(spark, docs), items).collect()}
     assert got == {(1, 1), (2, 1), (3, 2), (5, 3), (6, 1)}
+
+
+def test_a_look_alike_does_not_hide_the_copy_behind_it(spark):
+    """The first alignment conflicts and has as many windows as the second, which is a copy."""
+    mixed = QUESTION.replace("Anna", "Boris", 1).replace("60", "61")
+    docs = [(1, f"{mixed} Then more. {QUESTION}"), (2, f"{mixed} Then more. {mixed}"), (3, f"{QUESTION} Then more. {mixed}")]
+    items = spark.createDataFrame([(7, QUESTION)], "item_id bigint, text string")
+    got = {r.doc_id: r for r in decontaminate.leaks(rows_of(spark, docs), items).collect()}
+    assert set(got) == {1, 3} and all(r.changed_slots == 0 and r.n_windows == r.item_windows for r in got.values())
