@@ -32,6 +32,8 @@ class NearSpec:
     rows: int = 4
 
 
+#: Items of the sets in one Arrow batch handed to Spark; a larger set is a batch of its own.
+MOST_ITEMS = 1 << 20
 _SIGNED = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>"
 _SETS = "doc_id bigint, items array<bigint>"
 
@@ -54,16 +56,22 @@ def _signer(spec: NearSpec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
+def _listed(ids: list, sets: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "items"])
+
+
 def _lister(spec: NearSpec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sets = [], []
+            ids, sets, held = [], [], 0
             for doc_id, items in text_sets(batch.column(0), batch.column(1), spec.shingle):
                 ids.append(doc_id)
                 sets.append(items.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "items"]
-            )
+                held += len(items)
+                if held > MOST_ITEMS:
+                    yield _listed(ids, sets)
+                    ids, sets, held = [], [], 0
+            yield _listed(ids, sets)
 
     return run
 

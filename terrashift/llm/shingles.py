@@ -10,7 +10,8 @@ import pyarrow as pa
 U = np.uint64
 _GOLD, _M1, _M2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _BASE = U(0xD1342543DE82EF95)
-_CHUNK = 1 << 22
+#: Bytes worked on at once; temporary arrays and the power tables are some 40 times that.
+CHUNK = 1 << 18
 _RANK_SHIFT = U(40)
 _FRACTION = U((1 << 40) - 1)
 
@@ -22,31 +23,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
+_ASIS = np.arange(256, dtype=np.uint8)
+_LOWER = _ASIS.copy()
 _LOWER[65:91] += 32
-_CODE = mix((_LOWER.astype(U) + U(1)) * _GOLD)
+_CODES = {lower: mix((codes.astype(U) + U(1)) * _GOLD) for lower, codes in ((True, _LOWER), (False, _ASIS))}
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        inverse = U(pow(int(_BASE), -1, 1 << 64))
-        for name, b in (("up", _BASE), ("down", inverse)):
-            p = np.full(size, b, U)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, as many as a chunk has bytes."""
+    if not _POWERS:
+        for name, b in (("up", _BASE), ("down", U(pow(int(_BASE), -1, 1 << 64)))):
+            p = np.full(CHUNK + 1, b, U)
             p[0] = 1
             _POWERS[name] = np.multiply.accumulate(p)
     return _POWERS["up"], _POWERS["down"]
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word (A-Z lower-cased, cut at ASCII white space) and the first word of each text.
+def _one_word(data: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hash of a single word of any length, block by block."""
+    up, _ = _powers()
+    total = U(0)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(data), CHUNK):
+            block = data[at : at + CHUNK]
+            total += U(pow(int(_BASE), at, 1 << 64)) * (codes[block] * up[: len(block)]).sum(dtype=U)
+    return mix(np.array([total], U) + np.array([len(data)], U) * _GOLD)
 
-    ``data`` holds the texts' bytes one after the other, ``bounds`` the n + 1 offsets. The second result has n + 1
-    entries: text i has the words from entry i up to entry i + 1.
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word (cut at ASCII white space, A-Z lower-cased if so asked) and the first word of each text.
+
+    ``data`` holds the texts' bytes one after the other, at most ``CHUNK`` of them, ``bounds`` the n + 1 offsets. The
+    second result has n + 1 entries: text i has the words from entry i up to entry i + 1.
     """
     n = len(data)
     if not n:
@@ -61,9 +72,9 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     inner = bounds[1:-1]
     after[inner[(inner > 0) & (inner <= n)] - 1] = False
     stop = np.flatnonzero(solid & ~after) + 1
-    up, down = _powers(n + 1)
+    up, down = _powers()
     run = np.zeros(n + 1, U)
-    np.cumsum(_CODE[data] * up[:n], out=run[1:])
+    np.cumsum(_CODES[lower][data] * up[:n], out=run[1:])
     words = mix((run[stop] - run[start]) * down[start] + (stop - start).astype(U) * _GOLD)
     return words, np.searchsorted(start, bounds)
 
@@ -79,23 +90,50 @@ def shingle_set(words: np.ndarray, k: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-def text_sets(batch_ids: pa.Array, texts: pa.Array, k: int = 5) -> Iterator[tuple[object, np.ndarray]]:
-    """(id, shingle set) of every row. Works through the Arrow buffer in chunks of a few MB; a longer text is one chunk."""
+def long_word_hashes(data: np.ndarray, lower: bool = True) -> np.ndarray:
+    """``word_hashes`` of one text of any length, in pieces that end at white space."""
+    parts, at = [], 0
+    while at < len(data):
+        end = min(at + CHUNK, len(data))
+        if end < len(data):
+            gaps = np.flatnonzero(_SPACE[data[at:end]])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            else:
+                # A word longer than the piece: on to the next white space.
+                while end < len(data) and not len(gaps := np.flatnonzero(_SPACE[data[end : end + CHUNK]])):
+                    end = min(end + CHUNK, len(data))
+                end = min(end + int(gaps[0]), len(data)) if end < len(data) else end
+        piece = data[at:end]
+        parts.append(_one_word(piece, _CODES[lower]) if len(piece) > CHUNK else word_hashes(piece, np.array([0, len(piece)]), lower)[0])
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, U)
+
+
+def text_words(texts: pa.Array, lower: bool = True) -> Iterator[np.ndarray]:
+    """Word hashes of every text, through the Arrow buffer: short texts ``CHUNK`` bytes at a time, long ones in pieces."""
     texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    ids = batch_ids.to_pylist()
     i = 0
-    while i < len(ids):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _CHUNK, "right")) - 1)
-        j = min(j, len(ids))
+    while i < len(texts):
+        j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1), len(texts))
         lo, hi = int(offsets[i]), int(offsets[j])
-        words, first = word_hashes(data[lo:hi], offsets[i : j + 1] - lo)
-        for t in range(i, j):
-            yield ids[t], shingle_set(words[first[t - i] : first[t - i + 1]], k)
+        if hi - lo > CHUNK:
+            yield long_word_hashes(data[lo:hi], lower)
+        else:
+            words, first = word_hashes(data[lo:hi], offsets[i : j + 1] - lo, lower)
+            for t in range(j - i):
+                yield words[first[t] : first[t + 1]]
         i = j
 
 
+def text_sets(batch_ids: pa.Array, texts: pa.Array, k: int = 5) -> Iterator[tuple[object, np.ndarray]]:
+    """(id, shingle set) of every row. A worker holds the batch and, at once, some 60 bytes for each word of one text."""
+    for doc_id, words in zip(batch_ids.to_pylist(), text_words(texts)):
+        yield doc_id, shingle_set(words, k)
+
+
 def superminhash(items: np.ndarray, m: int, block: int = 1 << 15) -> np.ndarray:
     """SuperMinHash signature of a set of 64-bit hashes.
 

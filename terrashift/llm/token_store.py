@@ -41,7 +41,7 @@ class TokenSpec:
     pattern: str
     end_id: int = 0
     shard_chars: int = 24_000_000
-    memo_words: int = 400_000
+    memo_words: int = 120_000
 
 
 class WaveletMatrix:

@@ -164,7 +164,7 @@ def _beginnings(text: str, longest: int) -> set[str]:
 
 def _count_stems(longest: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (f.iloc[i : i + 256] for f in frames for i in range(0, len(f), 256)):  # few texts' stems at once
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(frame["text"], frame["toxic"]):
                 seen[int(toxic)].update(_beginnings(text, longest))
@@ -211,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, spec: ToxicSpec = ToxicSpec()) -> To
     pos, neg = size.get(True, 0), size.get(False, 0)
     if not pos or not neg:
         return ToxicModel({}, (-30.0, 0.0, 0.0, 0.0))
-    # Counts of all stems reach the reducers once for each Arrow batch; the sample is bounded, and so is the shuffle.
+    # Counts of all stems reach the reducers once for each few hundred texts; the sample is bounded, and so is the shuffle.
     counted = mined.select("text", "toxic").mapInPandas(_count_stems(spec.stem), "stem string, n1 bigint, n0 bigint")
     counted = counted.groupBy("stem").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(F.col("n1") >= spec.least)
     odds = F.log((F.col("n1") + 0.5) / (pos + 1.0)) - F.log((F.col("n0") + 0.5) / (neg + 1.0))

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import subprocess
+import sys
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from terrashift.llm import shingles as shingles_module
 from terrashift.llm.components import components
 from terrashift.llm.exact_dedup import exact_groups
 from terrashift.llm.near_dedup import NearSpec, near_groups
@@ -103,6 +108,40 @@ def test_a_very_long_text(spark):
     assert near(df) == {1: (299_996, 1), 2: (299_997, 1), 3: (1, 3)}
 
 
+def _peak_mb(code: str) -> float:
+    """Growth of a fresh process's peak memory while ``code`` runs after the imports and the input."""
+    setup = """
+import resource, numpy as np, pyarrow as pa
+from terrashift.llm import shingles as S
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+text = " ".join(np.array([f"w{i}é" for i in range(60_000)])[np.arange(4_000_000) * 7919 % 59_999])
+batch = pa.array([text]); del text
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", setup + "before = peak()\n" + code + "\nprint(peak() - before)"], cwd=root, capture_output=True, text=True, check=True)
+    return float(out.stdout)
+
+
+def test_memory_of_a_text_of_30_mb():
+    """The 4 million words' hashes, the shingles and the sort take some 60 bytes a word; nothing else grows."""
+    assert _peak_mb("assert sum(len(s) for _, s in S.text_sets(pa.array([1]), batch)) > 50_000") < 330
+
+
+def test_words_hash_alike_at_every_piece_length(monkeypatch):
+    rng = np.random.default_rng(5)
+    vocab = ["".join(rng.choice(list("abXYé"), int(rng.integers(1, 9)))) for _ in range(400)]
+    texts = [" ".join(rng.choice(vocab, int(n))) for n in (0, 1, 7, 300, 9000)] + ["", " \t ", "Q" * 70_000 + " a b", "é" * 900 + "\n"]
+    whole = [w.tolist() for w in shingles_module.text_words(pa.array(texts))]
+    low = [w.tolist() for w in shingles_module.text_words(pa.array([t.lower() for t in texts]), lower=False)]
+    assert whole == low and [len(w) for w in whole] == [len(t.split()) for t in texts]
+    for size in (48, 1000, 1 << 14):
+        monkeypatch.setattr(shingles_module, "CHUNK", size)
+        shingles_module._POWERS.clear()
+        assert [w.tolist() for w in shingles_module.text_words(pa.array(texts))] == whole
+    monkeypatch.undo()
+    shingles_module._POWERS.clear()
+
+
 @pytest.mark.parametrize("n", [3, 40, 900])
 def test_signature_agreement_estimates_similarity(n):
     rng = np.random.default_rng(n)
