@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrashift.llm import sql_forms
 from terrashift.llm.common import table
 from terrashift.llm.decontaminate import leaks
 from terrashift.llm.exact_dedup import exact_groups
@@ -16,9 +17,12 @@ from terrashift.llm.mixing import mix_plan
 from terrashift.llm.near_dedup import near_groups
 from terrashift.llm.pii import personal_data
 from terrashift.llm.quality import judged
+from terrashift.llm.resample import resampled
+from terrashift.llm.substring_dedup import without_repeats
 from terrashift.llm.token_store import TokenSpec, token_digest
 from terrashift.llm.toxicity import scored
 from terrashift.llm.url_filter import judge
+from terrashift.llm.variants import spelling_variants
 from terrashift.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +134,18 @@ def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_near_dedup")
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
+
+
+@_query("op11_substrings", sql_forms.SUBSTRINGS)
+def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
+@_query("op12_resample", sql_forms.RESAMPLE)
+def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query("op13_variants", sql_forms.VARIANTS)
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))

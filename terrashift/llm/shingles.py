@@ -110,8 +110,11 @@ def long_word_hashes(data: np.ndarray, lower: bool = True) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, U)
 
 
-def text_words(texts: pa.Array, lower: bool = True) -> Iterator[np.ndarray]:
-    """Word hashes of every text, through the Arrow buffer: short texts ``CHUNK`` bytes at a time, long ones in pieces."""
+def word_chunks(texts: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, word hashes, first word of each text) of consecutive texts, through the Arrow buffer.
+
+    Short texts come ``CHUNK`` bytes at a time, a longer one by itself and hashed in pieces.
+    """
     texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
@@ -120,14 +123,20 @@ def text_words(texts: pa.Array, lower: bool = True) -> Iterator[np.ndarray]:
         j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1), len(texts))
         lo, hi = int(offsets[i]), int(offsets[j])
         if hi - lo > CHUNK:
-            yield long_word_hashes(data[lo:hi], lower)
+            words = long_word_hashes(data[lo:hi], lower)
+            yield i, words, np.array([0, len(words)])
         else:
-            words, first = word_hashes(data[lo:hi], offsets[i : j + 1] - lo, lower)
-            for t in range(j - i):
-                yield words[first[t] : first[t + 1]]
+            yield i, *word_hashes(data[lo:hi], offsets[i : j + 1] - lo, lower)
         i = j
 
 
+def text_words(texts: pa.Array, lower: bool = True) -> Iterator[np.ndarray]:
+    """Word hashes of every text in turn."""
+    for _, words, first in word_chunks(texts, lower):
+        for t in range(len(first) - 1):
+            yield words[first[t] : first[t + 1]]
+
+
 def text_sets(batch_ids: pa.Array, texts: pa.Array, k: int = 5) -> Iterator[tuple[object, np.ndarray]]:
     """(id, shingle set) of every row. A worker holds the batch and, at once, some 60 bytes for each word of one text."""
     for doc_id, words in zip(batch_ids.to_pylist(), text_words(texts)):
