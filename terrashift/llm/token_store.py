@@ -17,30 +17,28 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrashift.llm.common import id_and_text
+from terrashift.llm.common import cut, id_and_text
 from terrashift.session import scratch_path
 
 PLANES = 16
 _BLOCK = 512
-# Byte-level vocabularies show a byte by a printable character: itself, or one of those from 256 on in turn.
-_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: New words that the tokenizer gets in one call.
+_JOINED = 4096
 _MARKS = ".,;:!?"
-_VISIBLE = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
 
 
 @dataclass(frozen=True)
 class TokenSpec:
-    """``shard_chars`` bounds the text that one task holds; a longer document is a shard of its own size."""
+    """A shard has ``shard_chars`` characters and at most one document more."""
 
     tokenizer: str
     pattern: str
     end_id: int = 0
-    shard_chars: int = 24_000_000
+    shard_chars: int = 8_000_000
     memo_words: int = 120_000
 
 
@@ -55,16 +53,16 @@ class WaveletMatrix:
         zeros, planes, ranks = np.zeros(PLANES, np.int64), [], []
         now = ids.astype(np.uint16)
         for p in range(PLANES):
-            bit = (now >> np.uint16(PLANES - 1 - p)) & np.uint16(1) > 0
+            bit = (now & np.uint16(1 << (PLANES - 1 - p))) != 0
             packed = np.packbits(bit)
             planes.append(packed)
             counts = np.bitwise_count(packed)
             full = np.zeros(-(-len(packed) // (_BLOCK // 8)) * (_BLOCK // 8), np.uint8)
             full[: len(packed)] = counts
             ranks.append(np.concatenate([[0], np.cumsum(full.reshape(-1, _BLOCK // 8).sum(1, dtype=np.int64))]).astype(np.uint32))
-            left = now[~bit]
+            left = np.compress(~bit, now)
             zeros[p] = len(left)
-            now = np.concatenate([left, now[bit]])
+            now = np.concatenate([left, np.compress(bit, now)])
         return cls(len(ids), zeros, planes, ranks)
 
     def _ones(self, p: int, i: int) -> int:
@@ -130,7 +128,7 @@ class WaveletMatrix:
             now[z:] |= np.uint16(1 << (PLANES - 1 - p))
             bit = np.unpackbits(self.planes[p], count=self.n).view(bool)
             back = np.empty_like(now)
-            back[~bit], back[bit] = now[:z], now[z:]
+            back[np.flatnonzero(~bit)], back[np.flatnonzero(bit)] = now[:z], now[z:]
             now = back
         return now
 
@@ -157,13 +155,22 @@ _STORE = (
 )
 
 
+def _listed(words: pa.Array) -> list[str]:
+    """Words without spaces as a list, through one string: much faster than one by one."""
+    if not len(words) or words.nbytes > 1 << 30:
+        return words.to_pylist()
+    one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
+    return pc.binary_join(one, " ")[0].as_py().split(" ")
+
+
 class Encoder:
     """The public tokenizer with a memo of words.
 
     The pre-tokenizer of byte-level BPE always cuts before a space that a visible character follows, so a text is the
-    concatenation of its first word and of all others with their space, and each distinct word is encoded once: cut by the
-    vocabulary's public pattern and merged by the tokenizer's model. Words with letters beyond Latin, texts with other
-    white space after a space, and texts with special tokens are left to the whole tokenizer.
+    concatenation of its first word and of all others with their space, and each distinct word is encoded once. New words
+    go to the library many at a time, joined by spaces; as every token stands for a known number of bytes, their ids are
+    told apart by adding up bytes. Texts with other white space after a space and texts with special tokens are left to
+    the library as they are.
     """
 
     _odd = r" ([\s\p{Z}\x0b\x{85}\x1c-\x1f]|$)|<\|"
@@ -173,59 +180,70 @@ class Encoder:
 
         self.spec = spec
         self.tokenizer = Tokenizer.from_file(spec.tokenizer)
+        if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << PLANES:
+            raise ValueError(f"ids have {PLANES} bits; the vocabulary of {spec.tokenizer} is larger")
         #: Ids of a word with a space before it. Words that were not asked for lately drop out of the older half.
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
-        self.two = [i.to_bytes(2, "little") for i in range(1 << 16)]
-        self.cut = regex.compile(spec.pattern)
         self.end = np.array([spec.end_id], np.uint16)
+        # Byte-level tokens show a byte by one character.
+        self.bytes_of = np.zeros(1 << PLANES, np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.bytes_of[i] = len(token)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint16).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _merged(self, text: str) -> bytes:
-        """Ids of one piece that the pre-tokenizer would not cut further, by the tokenizer's own merges."""
-        two = self.two
-        if not text.isascii():
-            text = text.encode().decode("latin-1")
-        return b"".join([two[t.id] for t in self.tokenizer.model.tokenize(text.translate(_VISIBLE))])
-
-    def _new(self, word: str) -> bytes | None:
-        """Ids of a word with a space before it; None where only the whole tokenizer knows how to cut it."""
-        if not word.isascii() and max(word) > "\u024f":
-            return None
-        if word.isalpha():
-            return self._merged(" " + word)
-        core = word.rstrip(_MARKS)
-        if core.isalpha():
-            # The pre-tokenizer cuts between a letter and a mark.
-            tail = word[len(core) :]
-            ids = self.memo.get(core) or self.older.get(core)
-            if ids is None:
-                ids = self.memo[core] = self._merged(" " + core)
-            if tail not in self.tails:
-                self.tails[tail] = self._merged(tail)
-            return ids + self.tails[tail]
-        return b"".join(map(self._merged, self.cut.findall(" " + word)))
+    def _new(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, each with a space before it, by one call for some thousand words."""
+        out: list[bytes] = []
+        for at in range(0, len(words), _JOINED):
+            part = words[at : at + _JOINED]
+            text = " " + " ".join(part)
+            raw = self._whole([text])[0]
+            last = np.cumsum(self.bytes_of[np.frombuffer(raw, np.uint16)])
+            # No word has a space in it, so every space begins a word.
+            octets = np.frombuffer(text.encode(), np.uint8)
+            stops = np.append(np.flatnonzero(octets == 32)[1:], len(octets))
+            ends = np.searchsorted(last, stops) + 1
+            if len(last) and ends[-1] <= len(last) and (last[np.minimum(ends, len(last)) - 1] == stops).all() and last[-1] == stops[-1]:
+                cuts = (2 * ends).tolist()
+                out += [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+            else:
+                # A token spans two words, as a special one may: word by word then.
+                out += self._whole([" " + w for w in part])
+        return out
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words, each with a space before it."""
         memo, older = self.memo, self.older
         got = list(map(memo.get, words))
-        foreign = []
-        for i, x in enumerate(got):
-            if x is None:
-                w = words[i]
-                x = older.get(w)
-                if x is None:
-                    x = self._new(w)
-                if x is None:
-                    foreign.append(i)
-                else:
-                    memo[w] = got[i] = x
-        for i, x in zip(foreign, self._whole([" " + words[i] for i in foreign])):
-            memo[words[i]] = got[i] = x
+        missing = [i for i, x in enumerate(got) if x is None]
+        if missing and older:
+            for i in missing:
+                if (x := older.get(words[i])) is not None:
+                    memo[words[i]] = got[i] = x
+            missing = [i for i in missing if got[i] is None]
+        # The pre-tokenizer cuts between letters and the marks behind them, so such a word is a plain one and a tail.
+        ended: list[tuple[int, str, str]] = []
+        wanted: dict[str, None] = {}
+        for i in missing:
+            core = words[i].rstrip(_MARKS)
+            if len(core) < len(words[i]) and core.isalpha():
+                ended.append((i, core, words[i][len(core) :]))
+                if core not in memo:
+                    wanted[core] = None
+            else:
+                wanted[words[i]] = None
+        new = list(wanted)
+        memo.update(zip(new, self._new(new)))
+        for i in missing:
+            got[i] = memo.get(words[i])
+        for i, core, tail in ended:
+            if tail not in self.tails:
+                self.tails[tail] = self._whole([tail])[0]
+            memo[words[i]] = got[i] = memo[core] + self.tails[tail]
         if len(self.tails) > 10_000:
             self.tails.clear()
         if len(memo) > self.spec.memo_words:
@@ -244,7 +262,7 @@ class Encoder:
         code = flat.indices.to_numpy().astype(np.int64)
         bounds = words.offsets.to_numpy().astype(np.int64)
         bounds = bounds - bounds[0]
-        known = self._ids(flat.dictionary.to_pylist())
+        known = self._ids(_listed(flat.dictionary))
         # The first word of a text has no space before it; an entry of its own stands for it.
         heads = flat.dictionary.take(pa.array(code[bounds[:-1]])).to_pylist()
         table = [*known, *self._whole(heads), self.end.tobytes()]
@@ -279,24 +297,31 @@ def _encoder(spec: TokenSpec) -> Encoder:
 
 
 def _shard_writer(spec: TokenSpec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Encode the sorted rows of one partition and give its wavelet matrix as one row."""
+    """Encode the sorted rows of one partition and give the wavelet matrix of each of its shards as one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         encoder = _encoder(spec)
-        ids, lengths, parts = [], [], []
+        now, ids, lengths, parts = -1, [], [], []
+
+        def row() -> pa.RecordBatch:
+            entry = {"shard": now, "doc_ids": ids, "lengths": lengths} | WaveletMatrix.build(np.concatenate(parts)).dump()
+            return pa.RecordBatch.from_pylist([entry], _arrow_schema())
+
         for batch in batches:
-            ids += batch.column(0).to_pylist()
-            for at in range(0, len(batch), 2048):
-                tokens, counts = encoder.encode(batch.column(1)[at : at + 2048])
-                parts.append(tokens)
-                lengths += counts.tolist()
+            shards = batch.column(2).to_numpy()
+            cuts = np.flatnonzero(np.diff(shards)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]):
+                if a < b and shards[a] != now:
+                    if ids:
+                        yield row()
+                    now, ids, lengths, parts = int(shards[a]), [], [], []
+                for at in range(a, b, 2048):
+                    tokens, counts = encoder.encode(batch.column(1)[at : min(at + 2048, b)])
+                    ids += batch.column(0)[at : min(at + 2048, b)].to_pylist()
+                    parts.append(tokens)
+                    lengths += counts.tolist()
         if ids:
-            tokens = np.concatenate(parts)
-            parts.clear()
-            row = {"shard": TaskContext.get().partitionId(), "doc_ids": ids, "lengths": lengths} | WaveletMatrix.build(tokens).dump()
-            yield pa.RecordBatch.from_pylist([row], _arrow_schema())
+            yield row()
 
     return run
 
@@ -308,18 +333,62 @@ def _arrow_schema() -> pa.Schema:
     )
 
 
+_NO_ID = -(1 << 63)
+#: Rows whose lengths one task adds up, and partitions of the files at most.
+_RUN_ROWS, _PARTS = 1_000_000, 20_000
+
+
+def _shard_starts(keys: DataFrame, spec: TokenSpec) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (id, hash of the text) of the first row of every shard, by running sums of characters in the order of keys.
+
+    Only ids, hashes and lengths move. The driver gets one sum for each range of a million rows and one key for each shard.
+    """
+    rows = keys.count()
+    ranged = keys.repartitionByRange(max(1, -(-rows // _RUN_ROWS)), "key", "hash")
+    light = cut(ranged.select("key", "hash", "chars", F.spark_partition_id().alias("g")), "lengths")
+    sums = sorted((r["g"], r["n"]) for r in light.groupBy("g").agg(F.sum("chars").alias("n")).collect())
+    before = np.cumsum([0, *(n for _, n in sums)])[:-1].tolist()
+    base = light.sparkSession.createDataFrame([(g, b) for (g, _), b in zip(sums, before)], "g int, base bigint")
+    along = Window.partitionBy("g").orderBy("key", "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = light.join(F.broadcast(base), "g").withColumn("at", F.col("base") + F.sum("chars").over(along) - F.col("chars"))
+    shard = F.floor(F.col("at") / F.lit(spec.shard_chars))
+    firsts = placed.groupBy(shard.alias("s")).agg(F.min(F.struct("key", "hash")).alias("f")).select("f.key", "f.hash").collect()
+    firsts = sorted((r["key"], r["hash"]) for r in firsts)
+    return np.array([k for k, _ in firsts], np.int64), np.array([h for _, h in firsts], np.int64)
+
+
+def _shard_of(keys: np.ndarray, hashes: np.ndarray, first_key: np.ndarray, first_hash: np.ndarray) -> np.ndarray:
+    """Number of the last shard whose first key is not above the row's."""
+    at = np.searchsorted(first_key, keys, "left")
+    end = np.searchsorted(first_key, keys, "right")
+    shard = at.copy()
+    for i in np.flatnonzero(end > at):  # rows whose id begins a shard
+        shard[i] += np.searchsorted(first_hash[at[i] : end[i]], hashes[i], "right")
+    return np.maximum(shard - 1, 0)
+
+
 def write_tokens(docs: DataFrame, path: str, spec: TokenSpec, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the token files of a document table to the folder ``path``, in ascending doc_id order.
 
-    Null and empty texts are documents of the end id alone. Rows that repeat an id follow each other, ordered by text. Rows
-    without an id come first. A long text stays whole; it only makes its shard longer. An empty table writes no shard.
+    Shards are cut where the running number of characters passes a multiple of ``shard_chars``, so their sizes do not hang
+    on how lengths are spread over ids. Null and empty texts are documents of the end id alone. Rows that repeat an id
+    follow each other, ordered by a hash of the text; rows equal in both stay in one shard. Rows without an id come
+    first, as those with the smallest bigint. A text stays whole. An empty table writes no shard.
     """
     base = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    chars = base.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0]
-    shards = max(1, -(-chars // spec.shard_chars))
-    # The partition number is the shard number: ranges of doc_id rise with it.
-    ranged = base.repartitionByRange(int(shards), "doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(_shard_writer(spec), _STORE).write.option("compression", "none").parquet(path)
+    base = base.withColumn("key", F.coalesce("doc_id", F.lit(_NO_ID))).withColumn("hash", F.xxhash64("text"))
+    first_key, first_hash = _shard_starts(base.select("key", "hash", (F.length("text") + 1).cast("bigint").alias("chars")), spec)
+    shards = max(1, len(first_key))
+
+    @F.pandas_udf("int")
+    def shard(key: pd.Series, text_hash: pd.Series) -> pd.Series:
+        return pd.Series(_shard_of(key.to_numpy(), text_hash.to_numpy(), first_key, first_hash).astype(np.int32))
+
+    parts = min(shards, _PARTS)
+    placed = base.select("doc_id", "text", "key", "hash", shard("key", "hash").alias("shard"))
+    dealt = placed.repartitionById(parts, F.floor(F.col("shard").cast("bigint") * parts / shards).cast("int"))
+    rows = dealt.sortWithinPartitions("shard", "key", "hash", "text").select("doc_id", "text", "shard")
+    rows.mapInArrow(_shard_writer(spec), _STORE).write.option("compression", "none").parquet(path)
 
 
 def _shard_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
