@@ -28,7 +28,7 @@ _Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 _KEY = "doc_id bigint, tag bigint"
 _DIGESTS = f"{_KEY}, tag2 bigint, n_words bigint, whole string"
 _SYMBOLS = f"{_KEY}, names array<bigint>, first array<int>, last array<int>, free_lo array<int>, free_hi array<int>"
-_WINDOWS = f"{_KEY}, h1 array<bigint>, h2 array<bigint>, p array<int>"
+_WINDOWS = f"{_KEY}, h1 array<bigint>, h2 array<bigint>, starts array<array<int>>"
 #: Elements of the lists in one Arrow batch handed to Spark; a longer list is a batch of its own.
 _MOST = 1 << 19
 #: Bytes of a text that are split into words at once.
@@ -91,7 +91,6 @@ def _arrow(*lists: tuple[str, pa.DataType]) -> pa.Schema:
 
 
 _ARROW_SYMBOLS = _arrow(("names", pa.int64()), *((n, pa.int32()) for n in ("first", "last", "free_lo", "free_hi")))
-_ARROW_WINDOWS = _arrow(("h1", pa.int64()), ("h2", pa.int64()), ("p", pa.int32()))
 
 
 def _parser(spec: ParseSpec) -> _Batches:
@@ -122,21 +121,49 @@ def _parser(spec: ParseSpec) -> _Batches:
     return run
 
 
+def _distinct(h1: np.ndarray, h2: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows of one text, how often each occurs, and all starts in that order."""
+    order = np.argsort(h1, kind="stable")
+    h1, h2, p = h1[order], h2[order], p[order]
+    new = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])[: len(p)])
+    return h1[new], h2[new], np.diff(np.append(new, len(p))), p
+
+
+def _window_batch(ids: list, tags: list, parts: list) -> pa.RecordBatch:
+    def offsets(sizes: np.ndarray) -> pa.Array:
+        return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+
+    h1, h2, counts, starts = (np.concatenate(x) for x in zip(*parts))
+    outer = offsets(np.array([len(x[0]) for x in parts]))
+    inner = pa.ListArray.from_arrays(offsets(counts), pa.array(starts, pa.int32()))
+    lists = [pa.ListArray.from_arrays(outer, x) for x in (pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), inner)]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), *lists], ["doc_id", "tag", "h1", "h2", "starts"])
+
+
 def _windower(spec: ParseSpec) -> _Batches:
-    """Hashes of the candidate windows of each text: columns doc_id, tag, text, and lists lo and hi of their starts."""
+    """Candidate windows of each text: columns doc_id, tag, text, and lists lo and hi of their starts.
+
+    A window that a text repeats is listed once with all its starts, so a text can't make a hash frequent by itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _Rows(_ARROW_WINDOWS)
+        ids, tags, parts, held = [], [], [], 0
         for batch in batches:
-            ids, tags, lows, highs = (batch.column(i) for i in (0, 1, 3, 4))
+            lows, highs = batch.column(3), batch.column(4)
             for i, words in enumerate(text_words(batch.column(2), lower=False)):
                 edge = np.zeros(len(words) + 2, np.int64)
                 np.add.at(edge, lows[i].values.to_numpy(), 1)
                 np.add.at(edge, highs[i].values.to_numpy() + 1, -1)
                 p = np.flatnonzero(np.cumsum(edge)[: len(words)] > 0)
-                h1, h2 = window_hashes(words, p, spec.window)
-                yield from rows.add(len(p), ids[i].as_py(), tags[i].as_py(), h1.view(np.int64), h2.view(np.int64), p)
-        yield from rows.rest()
+                ids.append(batch.column(0)[i].as_py())
+                tags.append(batch.column(1)[i].as_py())
+                parts.append(_distinct(*window_hashes(words, p, spec.window), p))
+                held += len(p)
+                if held > _MOST:
+                    yield _window_batch(ids, tags, parts)
+                    ids, tags, parts, held = [], [], [], 0
+        if ids:
+            yield _window_batch(ids, tags, parts)
 
     return run
 
@@ -196,10 +223,10 @@ def _repeats(base: DataFrame, spec: ParseSpec) -> tuple[DataFrame, DataFrame, Da
     ranges = cut(_candidates(symbols), "candidates")
     texts = _of_keys(base.where("doc_id is not null").select("doc_id", "tag", "text"), ranges, "inner")
     windows = cut(texts.select("doc_id", "tag", "text", "lo", "hi").mapInArrow(_windower(spec), _WINDOWS), "windows")
-    rows = windows.select("doc_id", "tag", F.explode(F.arrays_zip("h1", "h2", "p")).alias("w")).select("doc_id", "tag", "w.h1", "w.h2", "w.p")
+    rows = windows.select("doc_id", "tag", F.explode(F.arrays_zip("h1", "h2", "starts")).alias("w")).select("doc_id", "tag", "w.h1", "w.h2", "w.starts")
     owners = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("_owner"), F.max("doc_id").alias("_last")).where("_owner < _last")
     hits = rows.join(owners.select("h1", "h2", "_owner"), ["h1", "h2"]).where("doc_id > _owner")
-    return heads, copies, cut(hits.groupBy("doc_id", "tag").agg(F.collect_set("p").alias("starts")), "hits")
+    return heads, copies, cut(hits.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("starts")).alias("starts")), "hits")
 
 
 def repeated_spans(docs: DataFrame, spec: ParseSpec = ParseSpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
