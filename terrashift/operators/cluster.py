@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrashift.config import ClusterSpec
 from terrashift.functions import expressions as E
+from terrashift.operators import lloyd
 from terrashift.operators import summaries as S
 from terrashift.operators.ordered import quantile_columns
 from terrashift.operators.pool import subsample_runs
@@ -47,42 +46,28 @@ def variance_shares(profiles: DataFrame) -> DataFrame:
     return out.select("total", *[E.ratio(F.col(c), F.col("total")).alias(f"{c}_share") for c in ("level", "shape", "cross")])
 
 
-def fit_best(vectors: DataFrame, k: int, seed: int, n_init: int) -> KMeansModel:
-    """K-means from several seeds; the model with the smallest training cost."""
-    best = None
-    for i in range(n_init):
-        model = KMeans(k=k, seed=seed + i, featuresCol="features", maxIter=100, tol=1e-6).fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+def _rows(x: DataFrame, key: str = "block_id") -> DataFrame:
+    """Rows as the batched fit takes them; all are in subsample 0."""
+    return x.select(key, "x", F.array(F.lit(0)).alias("runs"), F.xxhash64(key).alias("h"))
 
 
-def _vectors(profiles: DataFrame) -> DataFrame:
-    return profiles.withColumn("features", array_to_vector("x"))
-
-
-def _center_table(spark, centers: np.ndarray, order: np.ndarray) -> DataFrame:
-    rows = [(int(old), int(new), [float(v) for v in centers[old]]) for new, old in enumerate(order)]
-    return spark.createDataFrame(rows, "_raw int, cluster int, _center array<double>")
+def nearest(x: str, centers: np.ndarray) -> Column:
+    """(distance, position) of the nearest of a few centres; of equally near ones the first."""
+    table = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centers])
+    far = F.transform(table, lambda c, i: F.struct(E.array_distance(F.col(x), c).alias("distance"), i.alias("cluster")))
+    return F.array_min(far)
 
 
 def cluster_blocks(profiles: DataFrame, spec: ClusterSpec = ClusterSpec(), shape_only: bool = False) -> DataFrame:
     """Fit on large blocks, assign every block, number clusters by the median of their centroid."""
-    x = _vectors(log_profiles(profiles, shape_only)).withColumn("is_small", F.col("n") < spec.min_pixels)
-    fit = materialise(x.where(~F.col("is_small")).select("block_id", "x"), "fit").select("block_id", array_to_vector("x").alias("features"))
-    model = fit_best(fit, spec.k, spec.seed, spec.n_init)
-    centers = np.array(model.clusterCenters())
-    order = np.argsort(np.median(centers, axis=1), kind="stable")
-    table = F.broadcast(_center_table(profiles.sparkSession, centers, order))
+    x = log_profiles(profiles, shape_only).withColumn("is_small", F.col("n") < spec.min_pixels)
+    fit = materialise(_rows(x.where(~F.col("is_small"))), "fit")
+    centers = lloyd.fit(fit, lloyd.Plan((spec.k,), starts=spec.n_init, seed=spec.seed)).best(spec.k)
+    centers = centers[np.argsort(np.median(centers, axis=1), kind="stable")]
     level_x = F.transform("q", lambda v: F.log10(v))
-    return (
-        model.transform(x).withColumnRenamed("prediction", "_raw").join(table, "_raw")
-        .select(
-            "block_id", F.col("cluster").cast("tinyint").alias("cluster"), "is_small",
-            E.array_distance(F.col("x"), F.col("_center")).alias("dist_to_centroid"),
-            E.array_median(level_x).alias("level"),
-            spread("q").alias("spread"),
-        )
+    return x.withColumn("_at", nearest("x", centers)).select(
+        "block_id", F.col("_at.cluster").cast("tinyint").alias("cluster"), "is_small", F.col("_at.distance").alias("dist_to_centroid"),
+        E.array_median(level_x).alias("level"), spread("q").alias("spread"),
     )
 
 
@@ -93,8 +78,12 @@ def spread(q: str) -> Column:
 
 def adjusted_rand(df: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
     """Adjusted Rand index of two labelings from their contingency counts."""
+    return adjusted_rand_of_cells(df.groupBy(*(keys or []), a, b).agg(F.count(F.lit(1)).alias("n")), a, b, keys)
+
+
+def adjusted_rand_of_cells(cells: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
+    """The same from a table with a count ``n`` for each pair of labels."""
     keys = keys or []
-    cells = df.groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("n"))
 
     def pairs(c: Column) -> Column:
         return F.sum(c.cast("double") * (c - 1) / 2)
@@ -204,8 +193,9 @@ def squared_silhouette(df: DataFrame, key: str, label: str, vec: str, d: int) ->
     stats = own.groupBy("_l").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("_sq").alias("_s"), *[F.sum(F.element_at("_v", i + 1)).alias(f"_y{i}") for i in range(d)]
     ).select(F.col("_l").alias("_o"), "_n", "_s", F.array(*[f"_y{i}" for i in range(d)]).alias("_y"))
-    # k rows, k being the number of clusters that the caller asked for.
-    each = own.join(F.broadcast(stats))
+    # One array with an element for each cluster goes to every row.
+    table = stats.agg(F.collect_list(F.struct("_o", "_n", "_s", "_y")).alias("t")).scalar()
+    each = own.withColumn("_c", F.explode(table)).select(key, "_l", "_v", "_sq", "_c.*")
     total = F.greatest(F.lit(0.0), F.col("_sq") * F.col("_n") + F.col("_s") - 2 * dot(F.col("_v"), F.col("_y")))
     mine = F.col("_l") == F.col("_o")
     per = each.withColumn("_t", total).groupBy(key).agg(
@@ -216,28 +206,23 @@ def squared_silhouette(df: DataFrame, key: str, label: str, vec: str, d: int) ->
 
 
 def sweep(profiles: DataFrame, spec: ClusterSpec = ClusterSpec(), shape_only: bool = False) -> DataFrame:
-    """Quality of every k: inertia, silhouette, Calinski-Harabasz, and stability under resampling."""
-    spark = profiles.sparkSession
-    x = _vectors(
-        materialise(log_profiles(profiles.where(F.col("n") >= spec.min_pixels), shape_only).select("block_id", "x"), "profiles")
-    )
-    d = len(x.select("x").first()[0])
-    runs = materialise(subsample_runs(x.select("block_id"), "block_id", spec.runs, spec.frac, spec.seed), "runs")
-    out = []
-    for k in spec.k_range:
-        full = fit_best(x, k, spec.seed, spec.n_init).transform(x).withColumnRenamed("prediction", "full")
-        full = _vectors(materialise(full.select("block_id", "x", "full"), "labelled"))
-        aris = []
-        for r in range(spec.runs):
-            sub = full.join(runs.where(F.col("run") == r).select("block_id"), "block_id")
-            refit = fit_best(sub, k, spec.seed + 1 + r, spec.n_init).transform(sub)
-            aris.append(adjusted_rand(refit, "full", "prediction").first()[0])
-        ch = calinski_harabasz(full, "full", "x", d).first()
-        out.append((k, float(ch[0]), float(squared_silhouette(full, "block_id", "full", "x", d).first()[0] or 0.0),
-                    float(ch[1] or 0.0), float(np.mean(aris)), float(np.std(aris))))
-    return spark.createDataFrame(
-        out, "k int, inertia double, silhouette double, calinski_harabasz double, ari_mean double, ari_std double"
-    )
+    """Quality of every k: inertia, silhouette, Calinski-Harabasz, and stability under resampling.
+
+    All models, from each k over the subsamples to their starts, are fitted at once, one job an iteration.
+    """
+    large = log_profiles(profiles.where(F.col("n") >= spec.min_pixels), shape_only).select("block_id", "x")
+    drawn = subsample_runs(large.select("block_id"), "block_id", spec.runs, spec.frac, spec.seed)
+    runs = drawn.groupBy("block_id").agg(F.collect_list(F.col("run") + 1).alias("_in"))
+    member = F.concat(F.array(F.lit(0)), F.coalesce("_in", F.array().cast("array<int>"))).alias("runs")
+    rows = materialise(large.join(runs, "block_id", "left").select("x", member, F.xxhash64("block_id").alias("h")), "profiles")
+    plan = lloyd.Plan(spec.k_range, subsamples=spec.runs + 1, starts=spec.n_init, seed=spec.seed)
+    fitted = lloyd.fit(rows, plan)
+    quality = profiles.sparkSession.createDataFrame(
+        lloyd.quality(rows, fitted, plan), "k int, inertia double, silhouette double, calinski_harabasz double"
+    )
+    ari = adjusted_rand_of_cells(lloyd.contingency(rows, fitted, plan), "a", "b", ["k", "run"])
+    stability = ari.groupBy("k").agg(F.avg("ari").alias("ari_mean"), F.stddev_pop("ari").alias("ari_std"))
+    return quality.join(stability, "k", "left")
 
 
 def cluster_report(profiles: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from terrashift.session import materialise
 _DRAWS = 4
 _NEXT = 16
 _BUCKET = 256
+#: Swaps of a round that are considered for each pair of folds.
+_PER_PAIR = 64
 
 
 def size_class(blocks: DataFrame, spec: FoldSpec) -> Column:
@@ -62,29 +64,33 @@ def balanced_folds(blocks: DataFrame, spec: FoldSpec = FoldSpec(), method: str =
     """Snake draft followed by swaps between folds, which keep the quotas.
 
     Each round rates every block with 64 partners on the executors (through shuffled buckets of fixed size) against the k
-    fold totals and brings the best swaps to the driver, a share of the blocks. The search ends after ``spec.patience``
-    rounds in a row without a gain, each with other partners, or after ``spec.max_rounds``. The block table stays
-    distributed; what the driver holds is k totals and the list of swapped blocks.
+    fold totals. The best swaps of each pair of folds reach the driver, which applies those that still lower the
+    imbalance. So a round moves at most ``_PER_PAIR`` swaps for each
+    pair of folds and the list of moved blocks is bounded by rounds and folds, whatever the number of blocks. The search
+    ends once every total is within ``spec.enough_pct`` of its target, after ``spec.patience`` rounds in a row without a
+    gain, each with other partners, or after ``spec.max_rounds``.
     """
     cols = [c for c, _ in spec.weights]
     base = materialise(snake_folds(blocks, spec, method), "draft")
     spark = base.sparkSession
     rows = base.groupBy("fold").agg(F.count(F.lit(1)).alias("_b"), *[F.sum(c).alias(c) for c in cols]).collect()
-    totals = {r["fold"]: {c: float(r[c]) for c in cols} for r in rows}
+    totals = {r["fold"]: {c: float(r[c] or 0) for c in cols} for r in rows}
     n_blocks = sum(r["_b"] for r in rows)
     targets = {c: sum(t[c] for t in totals.values()) / spec.k for c in cols}
     used = [(c, w) for c, w in spec.weights if targets[c] > 0]
     moved: dict[str, int] = {}
-    kept = max(64, n_blocks // 50)
     fruitless = 0
 
     def patched() -> DataFrame:
         if not moved:
             return base
+        # At most two blocks for each swap: the bound is in the docstring.
         patch = spark.createDataFrame(list(moved.items()), "block_id string, _new int")
         return base.join(F.broadcast(patch), "block_id", "left").withColumn("fold", F.coalesce("_new", "fold")).drop("_new")
 
     for r in range(spec.max_rounds):
+        if all(abs(t[c] / targets[c] - 1) * 100 <= spec.enough_pct for t in totals.values() for c, _ in used):
+            break
         lookup = {
             c: F.create_map(*[x for f, t in totals.items() for x in (F.lit(f), F.lit(t[c]))]) for c, _ in used
         }
@@ -106,10 +112,12 @@ def balanced_folds(blocks: DataFrame, spec: FoldSpec = FoldSpec(), method: str =
             gain = gain + F.lit(wt) * (
                 _term(ta - d, targets[c]) + _term(tb + d, targets[c]) - _term(ta, targets[c]) - _term(tb, targets[c])
             )
-        best = (
-            pairs.withColumn("gain", gain).where("gain < -1e-12")
-            .orderBy("gain", "a.block_id", "b.block_id").limit(kept).collect()
-        )
+        rated = pairs.withColumn("gain", gain).where("gain < -1e-12")
+        # Ranks are cut off before the shuffle, so a task hands on a few swaps for each pair of folds.
+        sides = F.array_sort(F.array("a.fold", "b.fold"))
+        place = F.row_number().over(Window.partitionBy("sides").orderBy("gain", "a.block_id", "b.block_id"))
+        best = rated.withColumn("sides", sides).withColumn("_at", place).where(F.col("_at") <= _PER_PAIR).select("gain", "a", "b").collect()
+        best.sort(key=lambda p: (p["gain"], p["a"]["block_id"], p["b"]["block_id"]))
         touched: set[str] = set()
         for p in best:
             a, b = p["a"], p["b"]

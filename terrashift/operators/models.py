@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from itertools import product
 
@@ -10,7 +11,6 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +19,9 @@ from terrashift.config import Experiment
 from terrashift.functions import expressions as E
 from terrashift.operators import evaluate as V
 from terrashift.operators import summaries as S
+from terrashift.operators.isotonic import apply_isotonic_blocks, fit_isotonic_blocks
 from terrashift.operators.pool import fold_sample
+from terrashift.operators.runs import METRICS, RunStore, ranked, run_all, side_by_side
 from terrashift.session import materialise
 
 
@@ -84,39 +86,36 @@ def mean_weighted(train: DataFrame) -> DataFrame:
     return train.withColumn("weight_norm", F.col("sample_weight") / mean)
 
 
-def fit_isotonic(scored: DataFrame, mult: float) -> IsotonicRegressionModel:
-    """Monotone calibration with the positive boost taken out of the weights.
-
-    Rows with equal scores are merged first, so the regression sees distinct scores only.
-    """
+def fit_isotonic(scored: DataFrame, mult: float) -> DataFrame:
+    """Steps of the monotone calibration, with the positive boost taken out of the weights."""
     w = E.natural_weight(F.col("sample_weight"), F.col("label"), F.lit(float(mult)))
-    tied = scored.groupBy(F.col("y_score").alias("feature")).agg(
-        E.ratio(F.sum(w * F.col("label_bin")), F.sum(w)).alias("target"), F.sum(w).alias("w")
-    )
-    return IsotonicRegression(featuresCol="feature", labelCol="target", weightCol="w").fit(tied)
+    return fit_isotonic_blocks(scored, "y_score", F.col("label_bin"), w)
 
 
-def apply_isotonic(model: IsotonicRegressionModel, df: DataFrame) -> DataFrame:
-    out = model.transform(df.withColumn("feature", F.col("y_score")))
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction")))
-    return out.withColumn("p_isotonic", p).drop("feature", "prediction")
+def apply_isotonic(steps: DataFrame, df: DataFrame) -> DataFrame:
+    return apply_isotonic_blocks(steps, df, "y_score", "p_isotonic")
 
 
 def out_of_fold(
-    samples: DataFrame, pool: DataFrame, experiment: Experiment, mult: float, dist: str, k: int, calibrate: bool = True, **overrides
+    samples: DataFrame, pool: DataFrame, experiment: Experiment, mult: float, dist: str, k: int, calibrate: bool = True,
+    store: RunStore | None = None, at_once: int = 4, **overrides,
 ) -> DataFrame:
     """Out-of-fold predictions of every sample.
 
     For each fold: the normaliser comes from the other folds (one scan serves all), the model from the other folds'
-    pool, the calibrator from an inner model that leaves out one more fold and is fitted on that fold.
+    pool, the calibrator from an inner model that leaves out one more fold and is fitted on that fold. Folds are worked
+    on side by side. With a ``store`` each fold's model is saved, and its metrics on its own fold are entered as a run.
     """
     norm = {r["held_out"]: (r["log_mean"], r["log_std"]) for r in S.leave_out_normaliser(S.fold_moments(samples, dist), k).collect()}
-    out = None
-    for f in range(k):
+
+    def one(f: int) -> DataFrame:
         mean, std = norm[f]
         train = normalise_distance(pool.where(F.col("fold") != f), dist, mean, std)
         test = normalise_distance(samples.where(F.col("fold") == f), dist, mean, std)
-        scored = score(fit(train, experiment, **overrides), test, experiment)
+        model = fit(train, experiment, **overrides)
+        scored = score(model, test, experiment)
+        if store is not None:
+            _store_fold(store, experiment, f, model, scored, mult, {"log_mean": mean, "log_std": std} | overrides)
         if calibrate:
             c = (f + 1) % k
             inner = fit(train.where(F.col("fold") != c), experiment, **overrides)
@@ -124,16 +123,48 @@ def out_of_fold(
             scored = apply_isotonic(iso, scored)
         else:
             scored = scored.withColumn("p_isotonic", F.lit(None).cast("double"))
-        part = scored.select(
+        return scored.select(
             F.col("fold").cast("tinyint").alias("fold"), (F.col("label") == 1).cast("tinyint").alias("label"),
             F.col(dist).cast("float").alias(dist), F.col("y_score").cast("float").alias("y_score"),
             E.unboost(F.col("y_score"), mult).cast("float").alias("p_calibrated"),
             F.col("p_isotonic").cast("float").alias("p_isotonic"),
         )
+
+    out = None
+    for part in side_by_side(one, list(range(k)), at_once):
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _metrics(scored: DataFrame, mult: float) -> dict:
+    """Rank and best-F1 metrics of scored rows with a column ``label``."""
+    one = scored.withColumn("y", (F.col("label") == 1).cast("int")).withColumn("g", F.lit(0))
+    m = V.fold_metrics(one, ["g"], "y_score", "y", mult).first()
+    return {n: m[n] for n in METRICS}
+
+
+def _trees(model: PipelineModel) -> int | None:
+    return getattr(model.stages[0], "getNumTrees", None)
+
+
+def _store_fold(store: RunStore, experiment: Experiment, fold: int, model: PipelineModel, scored: DataFrame, mult: float, params: dict) -> None:
+    path = f"{store.path.rstrip('/')}-models/{experiment.name}/fold={fold}"
+    model.write().overwrite().save(path)
+    store.put(experiment.name, "fold_model", fold, params, {"state": "done", "trees": _trees(model), "model": path} | _metrics(scored, mult))
+
+
+def best_fold_importances(store: RunStore, experiment: Experiment, samples: DataFrame, dist: str, top: int = 20) -> tuple[int, DataFrame]:
+    """The fold with the best average precision and the largest feature importances of its stored model."""
+    row = ranked(store, experiment.name, "fold_model").where("state = 'done'").first()
+    if row is None:
+        raise ValueError(f"no stored fold model of {experiment.name}")
+    path = f"{store.path.rstrip('/')}-models/{experiment.name}/fold={row['run_id']}"
+    params = json.loads(row["params"])
+    # An empty frame is enough for the names of the assembled inputs.
+    named = with_features(normalise_distance(samples.limit(0), dist, params["log_mean"], params["log_std"]), experiment)
+    return row["run_id"], importances(PipelineModel.load(path), named, top)
+
+
 def grid(experiment: Experiment) -> list[dict]:
     if not experiment.grid:
         raise ValueError(f"experiment {experiment.name} has no grid")
@@ -166,38 +197,30 @@ def fit_with_validation(train: DataFrame, check: DataFrame, experiment: Experime
 
 
 def grid_search(
-    samples: DataFrame, pool: DataFrame, experiment: Experiment, mult: float, dist: str, k: int,
-    done: dict[int, dict] | None = None, combos: list[dict] | None = None, val_rows: int = 1_000_000,
+    samples: DataFrame, pool: DataFrame, experiment: Experiment, mult: float, dist: str, k: int, store: RunStore,
+    runs: dict[int, dict] | None = None, val_rows: int = 1_000_000, at_once: int = 4, force: bool = False, retry_failed: bool = False,
 ) -> DataFrame:
-    """Screen every combination on fold 0; finished runs are taken over, a failing run is reported and skipped.
+    """Screen every combination on fold 0; runs that the store has are taken over, a failing one is stored with its error.
 
-    The three sets are written once, with the columns that are needed, and read by every run.
+    ``runs`` (numbers and parameters) stands for a part of the grid; by default it is the whole grid. The three sets are
+    written once, with the columns that are needed, and read by every run; ``at_once`` runs are fitted side by side.
     """
-    spark = samples.sparkSession
+    runs = runs if runs is not None else dict(enumerate(grid(experiment)))
+    if not force and set(runs) <= store.finished(experiment.name, "grid_run", retry_failed):
+        return ranked(store, experiment.name)
     train, check, test, _ = screening_split(samples, pool, dist, k, val_rows)
     cols = list(dict.fromkeys([*experiment.features, "label"]))
     train = materialise(train.select(*cols, "label_bin", "sample_weight"), "screen_train")
     check = materialise(check.select(*cols, "label_bin"), "screen_check")
     test = materialise(test.select(*cols), "screen_test")
-    rows = []
-    names = ("avg_precision", "pr_auc", "roc_auc", "precision", "recall", "f1", "accuracy", "best_threshold")
-    for run, params in enumerate(combos if combos is not None else grid(experiment)):
-        if done and run in done:
-            rows.append((run, str(params), "done", None, *[float(done[run][n]) for n in names]))
-            continue
-        try:
-            if experiment.learner == "boosted_trees":
-                model = fit_with_validation(train, check, experiment, **params)
-                trees = model.stages[0].getNumTrees
-            else:
-                model, trees = fit(train, experiment, **params), None
-            scored = score(model, test, experiment).withColumn("y", (F.col("label") == 1).cast("int")).withColumn("g", F.lit(0))
-            m = V.fold_metrics(scored, ["g"], "y_score", "y", mult).first()
-            rows.append((run, str(params), "new", trees, *[float(m[n]) for n in names]))
-        except Exception as e:  # noqa: BLE001 - a failed combination must not end the search
-            rows.append((run, str(params), f"failed: {e}", None, *[None for _ in names]))
-    schema = "run_id int, params string, status string, trees int, " + ", ".join(f"{n} double" for n in names)
-    return spark.createDataFrame(rows, schema).orderBy(F.desc_nulls_last("avg_precision"), "run_id")
+
+    def work(_: int, params: dict) -> dict:
+        trees = experiment.learner == "boosted_trees"
+        model = fit_with_validation(train, check, experiment, **params) if trees else fit(train, experiment, **params)
+        return {"trees": _trees(model)} | _metrics(score(model, test, experiment), mult)
+
+    run_all(store, experiment.name, "grid_run", runs, work, force, retry_failed, at_once)
+    return ranked(store, experiment.name)
 
 
 def refit_report(samples: DataFrame, pool: DataFrame, experiment: Experiment, params: dict, dist: str, k: int, val_rows: int = 1_000_000) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrashift import config as C
@@ -66,6 +66,67 @@ def extract(samples: DataFrame, tiles: DataFrame, size: int, carry: tuple[str, .
     )
 
 
+def chunk_of(tile_row: Column, chunk_rows: int) -> Column:
+    """First tile row of the chunk that a tile row lies in."""
+    return (tile_row - tile_row % chunk_rows).cast("int")
+
+
+def chunks_with_years(chunks: DataFrame, years) -> DataFrame:
+    """One row per tile chunk with ``values_<year>``: the chunk's pixels, row by row, each an array of band codes.
+
+    ``chunks`` has one row per tile, year and ``row0``, as tile files are read. What moves is whole chunks.
+    """
+    return chunks.where(F.col("year").isin(*years)).groupBy("tile_id", "row0").agg(
+        *[F.first(F.when(F.col("year") == y, F.col("values")), ignorenulls=True).alias(f"values_{y}") for y in years]
+    )
+
+
+def _wanted(samples: DataFrame, size: int, chunk_rows: int, carry: tuple[str, ...]) -> DataFrame:
+    """Per tile chunk the places of the samples in it, 1-based, with what they carry.
+
+    Keys and carried columns move, never bands. A chunk that very many samples name is met in slices of bounded length.
+    """
+    row0 = chunk_of(F.col("tile_row"), chunk_rows)
+    place = ((F.col("tile_row") - row0) * size + F.col("tile_col") + 1).cast("int")
+    slim = samples.where(in_tile(size, size)).select("tile_id", row0.alias("row0"), F.struct(place.alias("at"), "row", "col", *carry).alias("w"))
+    # A pixel is asked for once as a rule; the hash keeps repeated ones apart.
+    part = F.pmod(F.xxhash64("w"), F.lit(4))
+    return slim.groupBy("tile_id", "row0", part.alias("_part")).agg(F.collect_list("w").alias("wanted")).drop("_part")
+
+
+def _covered(values: Column) -> Column:
+    return F.coalesce(F.array_max(values) != C.BAND_NODATA, F.lit(False))
+
+
+def gather(samples: DataFrame, chunks: DataFrame, size: int, chunk_rows: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``extract`` for chunk rows: decoded bands of every sample per year, picked out of the chunk by offset.
+
+    Samples meet chunks by (tile, first row of the chunk); a pixel that the chunk does not have, or that is not covered,
+    drops out.
+    """
+    met = _wanted(samples, size, chunk_rows, carry).join(chunks.select("tile_id", "year", "row0", "values"), ["tile_id", "row0"])
+    picked = F.transform("wanted", lambda w: F.struct(w.alias("w"), F.get(F.col("values"), w["at"] - 1).alias("v")))
+    rows = met.select("tile_id", "year", F.explode(picked).alias("p")).where(_covered(F.col("p.v")))
+    return rows.select(
+        "p.w.row", "p.w.col", "tile_id", "year", *[F.col(f"p.w.{c}") for c in carry], E.decode_bands(F.col("p.v")).alias("bands")
+    )
+
+
+def gather_years(samples: DataFrame, chunks: DataFrame, years, size: int, chunk_rows: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``assemble`` for chunk rows: one row per sample with ``bands_<year>``; a pixel that misses a year drops out.
+
+    All years of a chunk meet in one row before pixels are picked, so no pixel is shuffled with its bands.
+    """
+    met = _wanted(samples, size, chunk_rows, carry).join(chunks_with_years(chunks, years), ["tile_id", "row0"])
+    pick = lambda w: F.struct(w.alias("w"), *[F.get(F.col(f"values_{y}"), w["at"] - 1).alias(f"v{y}") for y in years])
+    rows = met.select("tile_id", F.explode(F.transform("wanted", pick)).alias("p"))
+    for y in years:
+        rows = rows.where(_covered(F.col(f"p.v{y}")))
+    return rows.select(
+        "p.w.row", "p.w.col", "tile_id", *[F.col(f"p.w.{c}") for c in carry], *[E.decode_bands(F.col(f"p.v{y}")).alias(f"bands_{y}") for y in years]
+    )
+
+
 def ready_tiles(extracted: DataFrame, years) -> DataFrame:
     """Tiles that have every required year."""
     seen = extracted.groupBy("tile_id").agg(F.sort_array(F.collect_set("year")).alias("years"))
@@ -135,10 +196,12 @@ def explode_chunks(chunks: DataFrame, value: str = "values") -> DataFrame:
     )
 
 
-def tile_years_from_names(files: DataFrame, path: str = "file_name") -> DataFrame:
-    """(tile_id, year) out of file names like ``<tile>_<year>.parquet``; other names are ignored."""
-    pattern = r"(r\d{3,}_c\d{3,})_(\d{4})\.parquet$"
-    name = F.element_at(F.split(path, "/"), -1)
+def tile_years_from_names(files: DataFrame, path: str = "file_name", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(tile_id, year) out of file paths with a part like ``<tile>_<year>.parquet``; others are ignored.
+
+    A writer may have made a folder of that name or a partition value of it, so the part is looked for in the whole path.
+    """
+    pattern = r"(?:^|[/=])(r\d{3,}_c\d{3,})_(\d{4})\.parquet(?:/|$)"
     return files.select(
-        F.regexp_extract(name, pattern, 1).alias("tile_id"), F.regexp_extract(name, pattern, 2).alias("_y")
-    ).where("tile_id <> ''").select("tile_id", F.col("_y").cast("int").alias("year"))
+        F.regexp_extract(path, pattern, 1).alias("tile_id"), F.regexp_extract(path, pattern, 2).alias("_y"), *keep
+    ).where("tile_id <> ''").select("tile_id", F.col("_y").cast("int").alias("year"), *keep)

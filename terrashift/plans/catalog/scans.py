@@ -71,6 +71,23 @@ def tile_years_from_file_names(fx: Fixtures):
     )
 
 
+@register("tile_years_from_scan", "S3 X12", """
+    SELECT tile_id, COUNT(DISTINCT year) AS n, CAST(MIN(year) AS INTEGER) AS first_year, CAST(MAX(year) AS INTEGER) AS last_year, COUNT(*) AS pixels
+    FROM (SELECT printf('r%03d_c%03d', row // 32, col // 32) AS tile_id, y.year FROM px, (SELECT unnest([2017, 2018, 2019]) AS year) y) GROUP BY 1""")
+def tile_years_from_scan(fx: Fixtures):
+    """Files named by tile and year beside a foreign one; tile and year come from the scan's file paths, nothing else."""
+    path = scratch_path(fx.spark, "by_name")
+    name = F.concat("tile_id", F.lit("_"), F.col("year").cast("string"), F.lit(".parquet"))
+    src.write_named(fx.chunks.select("row0", "values", name.alias("file")), path, "file")
+    src.write_named(fx.chunks.limit(1).select("row0", "values", F.lit("notes_2017.parquet").alias("file")), path, "file", append=True)
+    files = src.read_with_paths(fx.spark, path)
+    pixels = files.select("file_name", F.size("values").alias("px"))
+    known = ti.tile_years_from_names(pixels, keep=("px",))
+    return known.groupBy("tile_id").agg(
+        F.count_distinct("year").alias("n"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.sum("px").alias("pixels")
+    )
+
+
 @register("raster_chunks_to_pixels", "S4", """
     SELECT row, col, CAST(lc_2019 AS INTEGER) AS lc FROM px""")
 def raster_chunks_to_pixels(fx: Fixtures):
@@ -182,11 +199,11 @@ def tile_completeness(fx: Fixtures):
     return ti.tile_status(m, m.where("status <> 'FAILED'"), done)
 
 
-@register("run_status", "S19", """
-    SELECT CASE WHEN year = 2019 THEN 'grid_run' ELSE 'fold_model' END AS kind, COUNT(*) FILTER (status = 'COMPLETED') AS done, COUNT(*) AS expected FROM expd LEFT JOIN man USING (tile_id, year) GROUP BY 1""")
-def run_status(fx: Fixtures):
-    """Finished of expected artefacts for fold models and for the runs of a grid."""
-    kind = F.when(F.col("year") == 2019, "grid_run").otherwise("fold_model")
+@register("manifest_status", "S19", """
+    SELECT CASE WHEN year = 2019 THEN 'last_year' ELSE 'earlier_year' END AS kind, COUNT(*) FILTER (status = 'COMPLETED') AS done, COUNT(*) AS expected FROM expd LEFT JOIN man USING (tile_id, year) GROUP BY 1""")
+def manifest_status(fx: Fixtures):
+    """Finished of expected exports, by kind of year. ``run_status`` counts stored model runs."""
+    kind = F.when(F.col("year") == 2019, "last_year").otherwise("earlier_year")
     art = fx.manifest.where("status = 'COMPLETED'").withColumn("kind", kind)
     return A.run_status(fx.expected.withColumn("kind", kind), art, ["tile_id", "year"])
 
@@ -273,7 +290,7 @@ def small_group_flag(fx: Fixtures):
     FROM smp s JOIN til t ON s.row = t.row AND s.col = t.col WHERE list_max(bands) > 0 GROUP BY t.year""")
 def tile_gather(fx: Fixtures):
     """Sample lookup in tiles by integer offset, uncovered pixels dropped, bytes decoded."""
-    got = ti.extract(fx.stored, fx.tiles, 32, carry=("label",))
+    got = ti.gather(fx.stored, fx.chunks, 32, 16, carry=("label",))
     codes = F.aggregate(F.transform("bands", lambda v, i: E.encode_band(v.cast("double")).cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda s, v: s + v)
     return got.groupBy("year").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum(F.element_at("bands", 7).cast("double")), 3).alias("b6"), F.sum("label").alias("label_sum"),
@@ -286,8 +303,7 @@ def tile_gather(fx: Fixtures):
     SELECT s.block_id, c.tile_id, COUNT(*) AS n, CAST(SUM(c.s) AS BIGINT) AS code_sum FROM c JOIN smp s ON s.row = c.row AND s.col = c.col GROUP BY 1, 2""")
 def multi_year_assembly(fx: Fixtures):
     """Pixels with every year, tiles with every year, block id stamped, outcome columns left behind."""
-    ex = ti.extract(fx.stored, fx.tiles, 32)
-    table = ti.feature_table(fx.stored, ti.assemble(ex, C.YEARS))
+    table = ti.gather_years(fx.stored, fx.chunks, C.YEARS, 32, 16, carry=("block_id",))
     code = lambda y: E.encode_band(F.element_at(f"bands_{y}", 1).cast("double")) * (y - 2016)
     return table.groupBy("block_id", "tile_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(code(2017) + code(2018) + code(2019)).alias("code_sum")
@@ -301,8 +317,9 @@ def multi_year_assembly(fx: Fixtures):
 def wide_feature_table(fx: Fixtures):
     """Extract, assemble, widen to 192 named columns, write one partition per tile, and read every column back."""
     path = scratch_path(fx.spark, "wide")
-    table = ti.feature_table(fx.stored, ti.assemble(ti.extract(fx.stored, fx.tiles, 32), C.YEARS))
-    src.write_by_tile(ti.widen(table, C.YEARS), path)
+    table = ti.gather_years(fx.stored, fx.chunks, C.YEARS, 32, 16, carry=("x", "y", "dist_m", "label", "label_name", "tile_row", "tile_col", "block_id"))
+    # Pixels of a tile lie in the tasks of its chunks already.
+    src.write_by_tile(ti.widen(table, C.YEARS), path, spread=False)
     names = C.band_names()
     back = src.read_columns(fx.spark, path, names)
     sums = back.agg(*[F.struct(F.count(n).alias("n"), F.sum(E.encode_band(F.col(n).cast("double"))).alias("s")).alias(n) for n in names])

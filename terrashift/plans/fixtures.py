@@ -124,6 +124,32 @@ class Fixtures:
             "row", "col", "tile_id", "tile_row", "tile_col", "year", F.when(dark, none).otherwise(F.col("_code")).alias("bands")
         )
 
+    @cached_property
+    def chunks(self) -> DataFrame:
+        """The same bands as a raster source gives them: rows of whole chunks of 16 tile rows, every cell of the grid.
+
+        Only the chunks' keys are grouped; codes are joined in place and gathered where they are.
+        """
+        e = self.table("embeddings")
+        n = e.agg(F.count(F.lit(1))).scalar()
+        coded = e.select("vec_id", E.encode_bands(F.transform("embedding", lambda v: v.cast("double"))).alias("_code"))
+        grid = self.pixels.groupBy(F.floor(F.col("row") / F.lit(16.0)).cast("int").alias("_r"), F.floor(F.col("col") / F.lit(32.0)).cast("int").alias("_c"))
+        keys = grid.agg(F.max("row").alias("_last")).withColumn("year", F.explode(F.array(*[F.lit(y) for y in C.YEARS])))
+        keys = keys.repartition("_r", "_c", "year")
+        cells = keys.select("_r", "_c", "year", F.explode(F.sequence(F.lit(0), (F.col("_last") - F.col("_r") * 16 + 1) * 32 - 1)).alias("_i"))
+        row, col = F.col("_r") * 16 + F.floor(F.col("_i") / F.lit(32.0)).cast("int"), F.col("_c") * 32 + F.col("_i") % 32
+        cells = cells.withColumn("vec_id", ((row * self.width + col) * 3 + (F.col("year") - 2017)) % n)
+        none = F.array(*[F.lit(C.BAND_NODATA).cast("smallint")] * C.N_BANDS)
+        bands = F.when((row + col + F.col("year")) % 37 == 0, none).otherwise(F.col("_code"))
+        packed = cells.join(coded, "vec_id").groupBy("_r", "_c", "year").agg(F.array_sort(F.collect_list(F.struct("_i", bands.alias("b")))).alias("a"))
+        return materialise(
+            packed.select(
+                L.tile_id(F.floor(F.col("_r") / F.lit(2.0)).cast("int"), F.col("_c")).alias("tile_id"), "year",
+                (F.col("_r") % 2 * 16).cast("int").alias("row0"), F.col("a.b").alias("values"),
+            ),
+            "chunks",
+        )
+
     @cached_property
     def budget(self) -> Column:
         """Rows every fold should contribute: a share of the average fold."""

@@ -30,15 +30,16 @@ def write_once(df: DataFrame, path: str, force: bool = False) -> None:
     df.write.mode("overwrite" if force else "ignore").parquet(path)
 
 
-def write_by_tile(df: DataFrame, path: str, cells_per_file: int = 2_000_000) -> None:
+def write_by_tile(df: DataFrame, path: str, cells_per_file: int = 2_000_000, spread: bool = True) -> None:
     """One directory per tile; rerunning replaces only the tiles in ``df``.
 
     Rows are spread within a tile before writing, so a tile that holds a third of all rows is still written by many
-    tasks and in files of bounded size.
+    tasks and in files of bounded size. ``spread=False`` leaves them where they are, for rows that few tasks hold for
+    each tile anyway.
     """
-    spread = F.pmod(F.xxhash64("row", "col"), F.lit(16))
+    parts = F.pmod(F.xxhash64("row", "col"), F.lit(16))
     (
-        df.repartition("tile_id", spread)
+        (df.repartition("tile_id", parts) if spread else df)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", cells_per_file)
@@ -47,6 +48,17 @@ def write_by_tile(df: DataFrame, path: str, cells_per_file: int = 2_000_000) ->
     )
 
 
+def write_named(df: DataFrame, path: str, name: str, append: bool = False) -> None:
+    """One folder of files for each value of ``name``, which ends up in the files' paths and not in the files."""
+    df.repartition(name).write.mode("append" if append else "errorifexists").partitionBy(name).parquet(path)
+
+
+def read_with_paths(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all files below ``path`` with the file that each comes from, as the scan itself reports it."""
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    return rows.select("*", F.col("_metadata.file_path").alias("file_name"))
+
+
 def write_missing_tiles(df: DataFrame, path: str) -> None:
     """Write only tiles the sink does not have yet."""
     spark = df.sparkSession

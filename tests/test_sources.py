@@ -63,6 +63,38 @@ def test_stream_processes_each_file_once(spark, tmp_path):
     assert seen == [12, 6] and spark.read.parquet(sink).count() == 18
 
 
+def test_cost_of_a_delivery_does_not_grow_with_the_history(spark, tmp_path):
+    """Ten deliveries of new tiles, then one that adds to an old tile: what is read are the files of the tiles named."""
+    src, sink, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    schema, files, rows = tile_rows(spark, ["a"], 1).schema, [], []
+
+    def note(whole):
+        files.append(len(whole.inputFiles()))
+        rows.append(whole.count())
+        return whole
+
+    for i, tiles in enumerate([*([f"t{i}", f"u{i}"] for i in range(10)), ["t3", "new"]]):
+        tile_rows(spark, tiles, 1).coalesce(1).write.mode("append").parquet(src)
+        pick_up_new_tiles(spark, src, schema, note, sink, ck).awaitTermination()
+    assert files == [1] * 10 + [2] and rows == [12] * 10 + [18]
+    got = {r["tile_id"]: r["count"] for r in spark.read.parquet(sink).groupBy("tile_id").count().collect()}
+    assert got == {f"{x}{i}": 6 for x in "tu" for i in range(10)} | {"t3": 12, "new": 6}
+
+
+def test_a_repeated_batch_gives_the_same_tiles(spark, tmp_path):
+    """The progress of the second delivery is lost after its tiles were written; it is processed again."""
+    src, sink, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    schema = tile_rows(spark, ["a"], 1).schema
+    for tiles in (["a", "b"], ["b", "c"]):
+        tile_rows(spark, tiles, 1).coalesce(1).write.mode("append").parquet(src)
+        pick_up_new_tiles(spark, src, schema, lambda d: d, sink, ck).awaitTermination()
+    once = sorted(tuple(r) for r in spark.read.parquet(sink).collect())
+    for name in ("commits/1", "commits/.1.crc"):
+        (tmp_path / "ck" / name).unlink(missing_ok=True)
+    pick_up_new_tiles(spark, src, schema, lambda d: d, sink, ck).awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(sink).collect()) == once and len(once) == 24
+
+
 def test_assembly_drops_uncovered_and_incomplete_pixels(spark):
     s = spark.createDataFrame([(0, 0, "r000_c000", 0, 0), (0, 1, "r000_c000", 0, 1), (0, 9, "r000_c000", 0, 9)], "row int, col int, tile_id string, tile_row int, tile_col int")
     t = spark.createDataFrame(
