@@ -27,7 +27,7 @@ ODD = [
 
 
 def ids_of(text: str) -> list[int]:
-    return [*Tokenizer.from_file(SPEC.tokenizer).encode(text, add_special_tokens=False).ids, 0]
+    return [*FULL.encode(text, add_special_tokens=False).ids, 0]
 
 
 def encoded(encoder: Encoder, texts: list[str]) -> list[list[int]]:
