@@ -125,14 +125,20 @@ def calinski_harabasz(df: DataFrame, label: str, vec: str, d: int) -> DataFrame:
     )
 
 
+#: Rows that the exact silhouette accepts: beyond them its quadratic work is days.
+MOST_EXACT = 400_000
+
+
 def silhouette(df: DataFrame, key: str, label: str, vec: str, chunk: int = 1024) -> DataFrame:
     """Exact Euclidean silhouette, mean over rows.
 
-    Rows are packed into fixed-size chunks; a task compares two chunks and returns distance sums per row and
-    cluster: the work is quadratic by definition and every chunk is copied to all others, so this is for block tables of
-    some ten thousand rows. ``squared_silhouette`` needs one pass.
+    Rows are packed into chunks of fixed size. Every unordered pair of chunks is compared once, by a task that returns
+    distance sums per row and cluster for both sides, so a chunk is copied to half of the others. The work is quadratic by
+    definition: more than ``MOST_EXACT`` rows are refused. ``squared_silhouette`` needs one pass.
     """
     n = df.count()
+    if n > MOST_EXACT:
+        raise ValueError(f"the exact silhouette compares all pairs; {n} rows are more than {MOST_EXACT}: use squared_silhouette")
     parts = max(1, -(-n // chunk))
     packed = df.select(key, F.col(label).cast("int").alias("_l"), F.col(vec).alias("_v")).withColumn(
         "_c", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
@@ -141,29 +147,32 @@ def silhouette(df: DataFrame, key: str, label: str, vec: str, chunk: int = 1024)
     path = scratch_path(df.sparkSession, "chunks")
     packed.write.parquet(path)
     packed, again = (df.sparkSession.read.schema(packed.schema).parquet(path) for _ in range(2))
-    left = packed.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(
+    left = packed.withColumn("_d", F.explode(F.sequence(F.col("_c"), F.lit(parts - 1)))).select(
         F.col("_c").alias("i"), F.col("_d").alias("j"), key, "_l", "_v"
     )
-    right = again.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(
-        F.col("_d").alias("i"), F.col("_c").alias("j"), "_l", "_v"
+    right = again.withColumn("_d", F.explode(F.sequence(F.lit(0), F.col("_c")))).select(
+        F.col("_d").alias("i"), F.col("_c").alias("j"), key, "_l", "_v"
     )
+    columns = {"key": "str", "own": "int", "other": "int", "s": "float"}
 
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"key": [], "own": [], "other": [], "s": []})
-        va, vb = np.stack(a["_v"].to_numpy()).astype(float), np.stack(b["_v"].to_numpy()).astype(float)
-        labels, pos = np.unique(b["_l"].to_numpy(), return_inverse=True)
-        sums = np.zeros((len(a), len(labels)))
-        for s in range(0, len(a), 128):
-            dist = np.sqrt(((va[s : s + 128, None, :] - vb[None, :, :]) ** 2).sum(axis=2))
-            for c in range(len(labels)):
-                sums[s : s + 128, c] = dist[:, pos == c].sum(axis=1)
-        rep = len(labels)
+    def sums_of(a: pd.DataFrame, dist: np.ndarray, labels: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
+        hot = np.zeros((dist.shape[1], len(labels)))
+        hot[np.arange(len(pos)), pos] = 1.0
         return pd.DataFrame(
-            {"key": np.repeat(a[key].astype(str).to_numpy(), rep), "own": np.repeat(a["_l"].to_numpy(), rep),
-             "other": np.tile(labels, len(a)), "s": sums.ravel()}
+            {"key": np.repeat(a[key].astype(str).to_numpy(), len(labels)), "own": np.repeat(a["_l"].to_numpy(), len(labels)),
+             "other": np.tile(labels, len(a)), "s": (dist @ hot).ravel()}
         )
 
+    def compare(pair: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in columns.items()})
+        va, vb = np.stack(a["_v"].to_numpy()).astype(float), np.stack(b["_v"].to_numpy()).astype(float)
+        dist = np.concatenate([np.sqrt(((va[s : s + 64, None, :] - vb[None, :, :]) ** 2).sum(axis=2)) for s in range(0, len(a), 64)])
+        out = [sums_of(a, dist, *np.unique(b["_l"].to_numpy(), return_inverse=True))]
+        if pair[0] != pair[1]:
+            out.append(sums_of(b, dist.T, *np.unique(a["_l"].to_numpy(), return_inverse=True)))
+        return pd.concat(out)
+
     sums = (
         left.groupBy("i", "j").cogroup(right.groupBy("i", "j"))
         .applyInPandas(compare, "key string, own int, other int, s double")

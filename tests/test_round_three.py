@@ -93,6 +93,16 @@ def test_sweep_equals_quality_by_hand(spark):
     assert got[3].ari_mean == 1.0 and got[3].ari_std == 0.0 and got[4].inertia < got[3].inertia < got[2].inertia
 
 
+def test_exact_silhouette_refuses_what_it_cannot_do(spark, monkeypatch):
+    rows = [(f"k{i}", i % 2, [float(i % 2 * 9 + i / 10), 1.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "id string, l int, v array<double>")
+    whole = cl.silhouette(df, "id", "l", "v", 1000).first()[0]
+    assert whole > 0.5 and cl.silhouette(df, "id", "l", "v", 4).first()[0] == pytest.approx(whole)
+    monkeypatch.setattr(cl, "MOST_EXACT", 29)
+    with pytest.raises(ValueError, match="squared_silhouette"):
+        cl.silhouette(df, "id", "l", "v")
+
+
 def pava(x, y, w):
     """Values of the monotone fit at the sorted distinct scores."""
     t = pd.DataFrame({"x": x, "y": y, "w": w}).assign(s=lambda d: d.y * d.w).groupby("x")[["s", "w"]].sum()
