@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
 columns of documents; the last returns a row for each document of the token files.
+
+Rows with nulls in any column pass through: a null text counts as empty, is not toxic, has no near copies and no benchmark
+passage. A row without an id is never dropped. Rows that repeat an id and a text share every decision. Columns beyond those of
+documents are kept, whatever their names. An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, neither literally nor with its numbers, names and units replaced."""
     ship(spark)
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in ascending doc_id order, reported from what was read back; a document that the mix repeats is written again."""
     ship(spark)
     return token_store.token_digest(docs, token_store.TokenSpec(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
 
