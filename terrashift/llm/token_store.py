@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrashift.llm.common import cut, id_and_text
+from terrashift.llm.common import id_and_text
 from terrashift.session import scratch_path
 
 PLANES = 16
@@ -33,7 +33,8 @@ _MARKS = ".,;:!?"
 
 @dataclass(frozen=True)
 class TokenSpec:
-    """A shard has ``shard_chars`` characters and at most one document more."""
+    """A shard is a range of ids with ``shard_chars`` characters on average; ranges are cut by rows, so those of long
+    documents are larger, and all rows of one id are one shard."""
 
     tokenizer: str
     pattern: str
@@ -297,31 +298,24 @@ def _encoder(spec: TokenSpec) -> Encoder:
 
 
 def _shard_writer(spec: TokenSpec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Encode the sorted rows of one partition and give the wavelet matrix of each of its shards as one row."""
+    """Encode the sorted rows of one partition and give its wavelet matrix as one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(spec)
-        now, ids, lengths, parts = -1, [], [], []
-
-        def row() -> pa.RecordBatch:
-            entry = {"shard": now, "doc_ids": ids, "lengths": lengths} | WaveletMatrix.build(np.concatenate(parts)).dump()
-            return pa.RecordBatch.from_pylist([entry], _arrow_schema())
+        from pyspark import TaskContext
 
+        encoder = _encoder(spec)
+        ids, lengths, parts = [], [], []
         for batch in batches:
-            shards = batch.column(2).to_numpy()
-            cuts = np.flatnonzero(np.diff(shards)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]):
-                if a < b and shards[a] != now:
-                    if ids:
-                        yield row()
-                    now, ids, lengths, parts = int(shards[a]), [], [], []
-                for at in range(a, b, 2048):
-                    tokens, counts = encoder.encode(batch.column(1)[at : min(at + 2048, b)])
-                    ids += batch.column(0)[at : min(at + 2048, b)].to_pylist()
-                    parts.append(tokens)
-                    lengths += counts.tolist()
+            ids += batch.column(0).to_pylist()
+            for at in range(0, len(batch), 2048):
+                tokens, counts = encoder.encode(batch.column(1)[at : at + 2048])
+                parts.append(tokens)
+                lengths += counts.tolist()
         if ids:
-            yield row()
+            tokens = np.concatenate(parts)
+            parts.clear()
+            row = {"shard": TaskContext.get().partitionId(), "doc_ids": ids, "lengths": lengths} | WaveletMatrix.build(tokens).dump()
+            yield pa.RecordBatch.from_pylist([row], _arrow_schema())
 
     return run
 
@@ -333,62 +327,18 @@ def _arrow_schema() -> pa.Schema:
     )
 
 
-_NO_ID = -(1 << 63)
-#: Rows whose lengths one task adds up, and partitions of the files at most.
-_RUN_ROWS, _PARTS = 1_000_000, 20_000
-
-
-def _shard_starts(keys: DataFrame, spec: TokenSpec) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (id, hash of the text) of the first row of every shard, by running sums of characters in the order of keys.
-
-    Only ids, hashes and lengths move. The driver gets one sum for each range of a million rows and one key for each shard.
-    """
-    rows = keys.count()
-    ranged = keys.repartitionByRange(max(1, -(-rows // _RUN_ROWS)), "key", "hash")
-    light = cut(ranged.select("key", "hash", "chars", F.spark_partition_id().alias("g")), "lengths")
-    sums = sorted((r["g"], r["n"]) for r in light.groupBy("g").agg(F.sum("chars").alias("n")).collect())
-    before = np.cumsum([0, *(n for _, n in sums)])[:-1].tolist()
-    base = light.sparkSession.createDataFrame([(g, b) for (g, _), b in zip(sums, before)], "g int, base bigint")
-    along = Window.partitionBy("g").orderBy("key", "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = light.join(F.broadcast(base), "g").withColumn("at", F.col("base") + F.sum("chars").over(along) - F.col("chars"))
-    shard = F.floor(F.col("at") / F.lit(spec.shard_chars))
-    firsts = placed.groupBy(shard.alias("s")).agg(F.min(F.struct("key", "hash")).alias("f")).select("f.key", "f.hash").collect()
-    firsts = sorted((r["key"], r["hash"]) for r in firsts)
-    return np.array([k for k, _ in firsts], np.int64), np.array([h for _, h in firsts], np.int64)
-
-
-def _shard_of(keys: np.ndarray, hashes: np.ndarray, first_key: np.ndarray, first_hash: np.ndarray) -> np.ndarray:
-    """Number of the last shard whose first key is not above the row's."""
-    at = np.searchsorted(first_key, keys, "left")
-    end = np.searchsorted(first_key, keys, "right")
-    shard = at.copy()
-    for i in np.flatnonzero(end > at):  # rows whose id begins a shard
-        shard[i] += np.searchsorted(first_hash[at[i] : end[i]], hashes[i], "right")
-    return np.maximum(shard - 1, 0)
-
-
 def write_tokens(docs: DataFrame, path: str, spec: TokenSpec, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the token files of a document table to the folder ``path``, in ascending doc_id order.
 
-    Shards are cut where the running number of characters passes a multiple of ``shard_chars``, so their sizes do not hang
-    on how lengths are spread over ids. Null and empty texts are documents of the end id alone. Rows that repeat an id
-    follow each other, ordered by a hash of the text; rows equal in both stay in one shard. Rows without an id come
-    first, as those with the smallest bigint. A text stays whole. An empty table writes no shard.
+    Null and empty texts are documents of the end id alone. Rows that repeat an id follow each other, ordered by text. Rows
+    without an id come first. A long text stays whole; it only makes its shard longer. An empty table writes no shard.
     """
     base = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    base = base.withColumn("key", F.coalesce("doc_id", F.lit(_NO_ID))).withColumn("hash", F.xxhash64("text"))
-    first_key, first_hash = _shard_starts(base.select("key", "hash", (F.length("text") + 1).cast("bigint").alias("chars")), spec)
-    shards = max(1, len(first_key))
-
-    @F.pandas_udf("int")
-    def shard(key: pd.Series, text_hash: pd.Series) -> pd.Series:
-        return pd.Series(_shard_of(key.to_numpy(), text_hash.to_numpy(), first_key, first_hash).astype(np.int32))
-
-    parts = min(shards, _PARTS)
-    placed = base.select("doc_id", "text", "key", "hash", shard("key", "hash").alias("shard"))
-    dealt = placed.repartitionById(parts, F.floor(F.col("shard").cast("bigint") * parts / shards).cast("int"))
-    rows = dealt.sortWithinPartitions("shard", "key", "hash", "text").select("doc_id", "text", "shard")
-    rows.mapInArrow(_shard_writer(spec), _STORE).write.option("compression", "none").parquet(path)
+    chars = base.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0]
+    shards = max(1, -(-chars // spec.shard_chars))
+    # The partition number is the shard number: ranges of doc_id rise with it.
+    ranged = base.repartitionByRange(int(shards), "doc_id").sortWithinPartitions("doc_id", "text")
+    ranged.mapInArrow(_shard_writer(spec), _STORE).write.option("compression", "none").parquet(path)
 
 
 def _shard_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

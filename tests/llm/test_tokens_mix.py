@@ -63,34 +63,6 @@ def test_token_files_round_trip(spark):
     assert [tuple(r) for r in got] == want
 
 
-def test_shards_are_cut_by_characters_and_not_by_rows(spark):
-    """Long documents at one end of the ids, repeated ids, rows without an id: no shard exceeds the bound by more than a text."""
-    rng = np.random.default_rng(1)
-    rows = [(i, "ab " * int(rng.integers(0, 20))) for i in range(600)] + [(600 + i, "wort " * int(rng.integers(200, 900))) for i in range(40)]
-    rows += [(7, f"again {i} " * 30) for i in range(60)] + [(None, f"none {i}" * 9) for i in range(50)] + [(-(1 << 63), "least"), (5, None), (6, "")]
-    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, shard int").repartition(5)
-    spec = TokenSpec(SPEC.tokenizer, SPEC.pattern, shard_chars=3_000)
-    path = token_store.scratch_path(spark, "cut")
-    token_store.write_tokens(docs, path, spec)
-    ids_in = {t: [*FULL.encode(t or "", add_special_tokens=False).ids, 0] for _, t in rows}
-    tokens = {len(x) for x in ids_in.values()}
-    stored = sorted(spark.read.parquet(path).select("shard", "doc_ids", "lengths").collect())
-    assert len(stored) > 30 and max(len(r.doc_ids) for r in stored) < 300
-    length = {}
-    for i, t in rows:
-        length.setdefault(i, []).append((len(ids_in[t]), len(t or "") + 1))
-    for r in stored:
-        assert set(r.lengths) <= tokens
-        # Texts of one id may have equally many tokens: the shortest of them is a lower bound of what is stored.
-        chars = [min(c for n, c in length[i] if n == k) for i, k in zip(r.doc_ids, r.lengths)]
-        assert sum(chars[:-1]) <= spec.shard_chars
-    ids = [-(1 << 63) if i is None else i for r in stored for i in r.doc_ids]
-    assert ids == sorted(ids) and len(ids) == len(rows)
-    got = token_store.read_tokens(spark.read.parquet(path)).collect()
-    crc = lambda t: zlib.crc32(np.array(ids_in[t], "<u4").tobytes())
-    assert sorted((str(r.doc_id), r.ids_crc32) for r in got) == sorted((str(i), crc(t)) for i, t in rows)
-
-
 def test_a_vocabulary_that_needs_more_bits_is_refused(monkeypatch):
     monkeypatch.setattr(token_store, "PLANES", 8)
     with pytest.raises(ValueError, match="larger"):
