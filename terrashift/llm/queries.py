@@ -71,7 +71,20 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), TokenSpec(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
 
 
-_SAME = """CASE WHEN k > 0 AND tk > k AND abs(b / k - (tb - b) / (tk - k)) <= 1.96::DOUBLE * sqrt((tb / tk) * (1 - tb / tk) * (1 / k + 1 / (tk - k))) THEN '*' ELSE v END"""
+def _sql_level(i: int, source: str, parent: str) -> str:
+    """CTEs of one level of the tree: wildcards, then groups of similar siblings; gives ``t{i + 1}`` with column ``m{i}``."""
+    same = "abs(b / k - pb / pk) <= 1.96::DOUBLE * sqrt(((b + pb) / (k + pk)) * (1 - (b + pb) / (k + pk)) * (1 / k + 1 / pk))"
+    return f"""
+    o{i} AS (SELECT {parent}, s{i}, SUM(n) AS n, SUM(k) AS k FROM {source} GROUP BY ALL),
+    x{i} AS (SELECT * EXCLUDE (n, k), CASE WHEN k = 0 AND n * 50 < SUM(n) OVER (PARTITION BY {parent}) THEN '{{*}}' ELSE s{i} END AS v{i} FROM o{i}),
+    y{i} AS (SELECT z.*, v{i} FROM {source} z JOIN x{i} USING ({parent}, s{i})),
+    b{i} AS (SELECT {parent}, v{i} AS v, SUM(k) AS k, SUM(b) AS b FROM y{i} GROUP BY ALL),
+    p{i} AS (SELECT {parent}, k AS k0, b AS b0, COUNT(*) AS c, SUM(k)::DOUBLE AS k, SUM(b)::DOUBLE AS b, min(v) AS f FROM b{i} WHERE k > 0 GROUP BY ALL),
+    l{i} AS (SELECT *, lag(k) OVER w AS pk, lag(b) OVER w AS pb FROM p{i} WINDOW w AS (PARTITION BY {parent} ORDER BY b0 / k0, k0, b0)),
+    g{i} AS (SELECT *, SUM(CASE WHEN pk IS NOT NULL AND {same} THEN 0 ELSE 1 END) OVER (PARTITION BY {parent} ORDER BY b0 / k0, k0, b0 ROWS UNBOUNDED PRECEDING) AS grp FROM l{i}),
+    h{i} AS (SELECT {parent}, k0, b0, CASE WHEN SUM(c) OVER (PARTITION BY {parent}, grp) > 1 THEN '*' || min(f) OVER (PARTITION BY {parent}, grp) END AS m FROM g{i}),
+    m{i} AS (SELECT b{i}.* EXCLUDE (k, b), coalesce(m, v) AS m{i} FROM b{i} LEFT JOIN h{i} ON {" AND ".join(f"b{i}.{c} = h{i}.{c}" for c in parent.split(", "))} AND b{i}.k = h{i}.k0 AND b{i}.b = h{i}.b0),
+    t{i + 1} AS (SELECT y{i}.*, m{i}.m{i} FROM y{i} JOIN m{i} ON {" AND ".join(f"y{i}.{c} = m{i}.{c}" for c in parent.split(", "))} AND y{i}.v{i} = m{i}.v)"""
 
 
 @_query(
@@ -90,21 +103,12 @@ _SAME = """CASE WHEN k > 0 AND tk > k AND abs(b / k - (tb - b) / (tk - k)) <= 1.
     g AS (
       SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS given,
         coalesce(seg[1], '') AS s0, coalesce(seg[2], '') AS s1, CASE WHEN len(seg) > 2 THEN '/..' ELSE '' END AS deep FROM r),
-    t AS (SELECT host, s0, s1, deep, COUNT(given) AS k, COUNT(*) FILTER (given = 'block') AS b FROM g GROUP BY ALL),
-    t0 AS (SELECT *, CASE WHEN (SELECT COUNT(DISTINCT z.s0) FROM t z WHERE z.host = t.host) > 32 THEN '{{*}}' ELSE s0 END AS v0 FROM t),
-    b0 AS (SELECT host, v0 AS v, SUM(k) AS k, SUM(b) AS b FROM t0 GROUP BY ALL),
-    m0 AS (SELECT host, v, {_SAME} AS m FROM b0 JOIN (SELECT host, SUM(k) AS tk, SUM(b) AS tb FROM b0 GROUP BY 1) USING (host)),
-    t1 AS (SELECT t0.*, m0.m AS m0 FROM t0 JOIN m0 ON t0.host = m0.host AND t0.v0 = m0.v),
-    w1 AS (SELECT host, m0, COUNT(DISTINCT s1) AS c FROM t1 GROUP BY ALL),
-    t2 AS (SELECT t1.*, CASE WHEN c > 32 THEN '{{*}}' ELSE s1 END AS v1 FROM t1 JOIN w1 USING (host, m0)),
-    b1 AS (SELECT host, m0, v1 AS v, SUM(k) AS k, SUM(b) AS b FROM t2 GROUP BY ALL),
-    m1 AS (SELECT host, m0, v, {_SAME} AS m FROM b1 JOIN (SELECT host, m0, SUM(k) AS tk, SUM(b) AS tb FROM b1 GROUP BY ALL) USING (host, m0)),
-    t3 AS (SELECT t2.*, m1.m AS m1 FROM t2 JOIN m1 ON t2.host = m1.host AND t2.m0 = m1.m0 AND t2.v1 = m1.v),
+    t AS (SELECT host, s0, s1, deep, COUNT(*) AS n, COUNT(given) AS k, COUNT(*) FILTER (given = 'block') AS b FROM g GROUP BY ALL),{_sql_level(0, "t", "host")},{_sql_level(1, "t1", "host, m0")},
     p AS (
-      SELECT host, m0, m1, deep, SUM(k) AS k, coalesce((SUM(b) + 2 * (SELECT SUM(b) / SUM(k) FROM t)) / (SUM(k) + 2), 0) AS purity FROM t3 GROUP BY ALL)
+      SELECT host, m0, m1, deep, SUM(k) AS k, coalesce((SUM(b) + 2 * (SELECT SUM(b) / SUM(k) FROM t)) / (SUM(k) + 2), 0) AS purity FROM t2 GROUP BY ALL)
     SELECT g.page_id, g.host, g.path, g.rule, coalesce(g.given, CASE WHEN p.k > 0 AND p.purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict,
       g.host || '/' || p.m0 || '/' || p.m1 || p.deep AS template, round(p.purity, 9) AS purity
-    FROM g JOIN t3 USING (host, s0, s1, deep) JOIN p ON p.host = t3.host AND p.m0 = t3.m0 AND p.m1 = t3.m1 AND p.deep = t3.deep
+    FROM g JOIN t2 USING (host, s0, s1, deep) JOIN p ON p.host = t2.host AND p.m0 = t2.m0 AND p.m1 = t2.m1 AND p.deep = t2.deep
     """,
 )
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,6 +286,32 @@ def test_templates_spread_a_verdict(spark):
     assert {got[i] for i in range(60)} == {"block"} and {got[i] for i in range(60, 120)} == {"allow"}
 
 
+def verdicts(spark, urls, rules):
+    out = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), rules=rules).collect()
+    return {urls[r.page_id]: (r.verdict, r.template) for r in out}
+
+
+@pytest.mark.parametrize("siblings", [3, 32, 33, 3_300])
+def test_verdicts_do_not_hang_on_the_number_of_siblings(spark, siblings):
+    """Labelled sections are told apart from unlabelled ones however many of these there are."""
+    urls = [f"http://h.net/{s}/x/{i}" for s in ("es", "fr") for i in range(max(6, siblings))]
+    urls += [f"http://h.net/en/x/{i}" for i in range(max(2, siblings // 2))] + [f"http://h.net/q{chr(97 + k % 26)}{'x' * (k // 26)}/x" for k in range(siblings - 3)]
+    got = verdicts(spark, urls, url_filter.RULES)
+    assert {v for u, (v, _) in got.items() if "/es/" in u or "/fr/" in u} == {"block"}
+    assert {v for u, (v, _) in got.items() if "/es/" not in u and "/fr/" not in u} == {"allow"}
+
+
+def test_similar_siblings_merge_with_each_other(spark):
+    """Branches of one block rate become one template beside an allowed one; a mixed branch joins neither."""
+    urls = [f"http://h.org/{b}/p{chr(97 + i)}" for b in "abcd" for i in range(26)] + ["http://h.org/a/new", "http://h.org/c/new", "http://h.org/e/new"]
+    rules = [("h.org", f"/{b}/", v) for b, v in (("a", "block"), ("b", "block"), ("c", "allow"))]
+    rules += [("h.org", f"/d/p{chr(97 + i)}", "block" if i % 2 else "allow") for i in range(26)]
+    got = verdicts(spark, urls, rules)
+    top = {b: got[f"http://h.org/{b}/pa"][1].split("/")[1] for b in "abcd"}
+    assert top["a"] == top["b"] == "*a" and top["c"] == "c" and top["d"] == "d"
+    assert got["http://h.org/e/new"] == ("allow", "h.org/e/new")
+
+
 # --- benchmark leaks
 
 
