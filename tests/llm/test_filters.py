@@ -312,6 +312,20 @@ def test_similar_siblings_merge_with_each_other(spark):
     assert got["http://h.org/e/new"] == ("allow", "h.org/e/new")
 
 
+def test_stages_of_the_tree_are_planned_once(spark, monkeypatch):
+    """No stage plans what lies before the last one again: its plan has few exchanges, whatever the depth."""
+    plans, cut = [], url_filter.cut
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return cut(df, name)
+
+    monkeypatch.setattr(url_filter, "cut", noted)
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.org/a{'bcd'[i % 3]}/x{'yz'[i % 2]}") for i in range(60)], "page_id long, url string")
+    assert url_filter.judge(pages, url_filter.UrlSpec(depth=3)).count() == 60
+    assert max(plans) <= 12
+
+
 # --- benchmark leaks
 
 
