@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Side of the square of cells that one task writes for a tile.
+SQUARE = 512
+
 MANIFEST_SCHEMA = "tile_id string, year int, task_id string, description string, status string"
 
 
@@ -33,13 +36,13 @@ def write_once(df: DataFrame, path: str, force: bool = False) -> None:
 def write_by_tile(df: DataFrame, path: str, cells_per_file: int = 2_000_000, spread: bool = True) -> None:
     """One directory per tile; rerunning replaces only the tiles in ``df``.
 
-    Rows are spread within a tile before writing, so a tile that holds a third of all rows is still written by many
-    tasks and in files of bounded size. ``spread=False`` leaves them where they are, for rows that few tasks hold for
-    each tile anyway.
+    Rows are spread within a tile by squares of ``SQUARE`` cells before writing: a tile that holds a third of all rows is
+    still written by many tasks and in files of bounded size, and a small tile is one file or a few. ``spread=False``
+    leaves rows where they are, for those that few tasks hold for each tile anyway.
     """
-    parts = F.pmod(F.xxhash64("row", "col"), F.lit(16))
+    square = [F.floor(F.col(c) / F.lit(float(SQUARE))) for c in ("row", "col")]
     (
-        (df.repartition("tile_id", parts) if spread else df)
+        (df.repartition("tile_id", *square) if spread else df)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", cells_per_file)
