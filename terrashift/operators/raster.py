@@ -412,14 +412,18 @@ def transitions(pixels: DataFrame, base: str, target: str) -> DataFrame:
 
 
 def mean_reduce(pixels: DataFrame, keys: list[str], bands: str, n_bands: int, factor: int = 3) -> DataFrame:
-    """Mean over factor x factor cells per band, nodata bytes ignored; a band without data gives null."""
+    """Mean over factor x factor cells per band, nodata bytes ignored; a band without data gives null.
+
+    The bytes of a cell are moved, not the sums and counts of its bands, which are many times as large.
+    """
     vals = [F.element_at(bands, i + 1) for i in range(n_bands)]
-    coarse = pixels.groupBy(
+    coarse = pixels.select(
         *keys,
         F.floor(F.col("row") / F.lit(float(factor))).cast("int").alias("row"),
         F.floor(F.col("col") / F.lit(float(factor))).cast("int").alias("col"),
-    )
-    agg = coarse.agg(*[F.avg(F.when(v != C.BAND_NODATA, v)).alias(f"b{i}") for i, v in enumerate(vals)])
+        bands,
+    ).repartition(*keys, "row", "col")
+    agg = coarse.groupBy(*keys, "row", "col").agg(*[F.avg(F.when(v != C.BAND_NODATA, v)).alias(f"b{i}") for i, v in enumerate(vals)])
     return agg.select(*keys, "row", "col", F.array(*[f"b{i}" for i in range(n_bands)]).alias(bands))
 
 
