@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -129,17 +131,43 @@ def calinski_harabasz(df: DataFrame, label: str, vec: str, d: int) -> DataFrame:
 MOST_EXACT = 400_000
 
 
+#: Rows of a chunk at most: two chunks of vectors and a slice of their distances are what a task holds.
+LARGEST_CHUNK = 4096
+
+
+def _chunks(n: int, least: int) -> int:
+    return max(1, -(-n // max(least, min(LARGEST_CHUNK, n // 16))))
+
+
+def _pair_distances(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+    """Euclidean distances of rows from rows, some rows of ``a`` at a time.
+
+    By a matrix product; where that cancels, rows being near to each other for their size, by differences.
+    """
+    middle = b.mean(0)
+    a, b = a - middle, b - middle
+    sa, sb = (a * a).sum(1), (b * b).sum(1)
+    for s in range(0, len(a), 64):
+        own = a[s : s + 64]
+        size = sa[s : s + 64, None] + sb
+        d = size - 2 * (own @ b.T)
+        i, j = np.nonzero(d < 1e-5 * size)
+        d[i, j] = ((own[i] - b[j]) ** 2).sum(1)
+        yield np.sqrt(np.maximum(d, 0, out=d), out=d)
+
+
 def silhouette(df: DataFrame, key: str, label: str, vec: str, chunk: int = 1024) -> DataFrame:
     """Exact Euclidean silhouette, mean over rows.
 
-    Rows are packed into chunks of fixed size. Every unordered pair of chunks is compared once, by a task that returns
+    Rows are packed into chunks of ``chunk`` rows or more, a sixteenth of all as long as these are few enough for a task:
+    rows are copied as often as there are chunks, so these grow with the table. Every unordered pair of chunks is compared once, by a task that returns
     distance sums per row and cluster for both sides, so a chunk is copied to half of the others. The work is quadratic by
     definition: more than ``MOST_EXACT`` rows are refused. ``squared_silhouette`` needs one pass.
     """
     n = df.count()
     if n > MOST_EXACT:
         raise ValueError(f"the exact silhouette compares all pairs; {n} rows are more than {MOST_EXACT}: use squared_silhouette")
-    parts = max(1, -(-n // chunk))
+    parts = _chunks(n, chunk)
     packed = df.select(key, F.col(label).cast("int").alias("_l"), F.col(vec).alias("_v")).withColumn(
         "_c", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
     )
@@ -167,7 +195,7 @@ def silhouette(df: DataFrame, key: str, label: str, vec: str, chunk: int = 1024)
         if a.empty or b.empty:
             return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in columns.items()})
         va, vb = np.stack(a["_v"].to_numpy()).astype(float), np.stack(b["_v"].to_numpy()).astype(float)
-        dist = np.concatenate([np.sqrt(((va[s : s + 64, None, :] - vb[None, :, :]) ** 2).sum(axis=2)) for s in range(0, len(a), 64)])
+        dist = np.concatenate(list(_pair_distances(va, vb)))
         out = [sums_of(a, dist, *np.unique(b["_l"].to_numpy(), return_inverse=True))]
         if pair[0] != pair[1]:
             out.append(sums_of(b, dist.T, *np.unique(a["_l"].to_numpy(), return_inverse=True)))
