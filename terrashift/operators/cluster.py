@@ -63,7 +63,7 @@ def nearest(x: str, centers: np.ndarray) -> Column:
 def cluster_blocks(profiles: DataFrame, spec: ClusterSpec = ClusterSpec(), shape_only: bool = False) -> DataFrame:
     """Fit on large blocks, assign every block, number clusters by the median of their centroid."""
     x = log_profiles(profiles, shape_only).withColumn("is_small", F.col("n") < spec.min_pixels)
-    fit = materialise(_rows(x.where(~F.col("is_small"))), "fit")
+    fit = lloyd.spread(materialise(_rows(x.where(~F.col("is_small"))), "fit"))
     centers = lloyd.fit(fit, lloyd.Plan((spec.k,), starts=spec.n_init, seed=spec.seed)).best(spec.k)
     centers = centers[np.argsort(np.median(centers, axis=1), kind="stable")]
     level_x = F.transform("q", lambda v: F.log10(v))
@@ -251,7 +251,7 @@ def sweep(profiles: DataFrame, spec: ClusterSpec = ClusterSpec(), shape_only: bo
     drawn = subsample_runs(large.select("block_id"), "block_id", spec.runs, spec.frac, spec.seed)
     runs = drawn.groupBy("block_id").agg(F.collect_list(F.col("run") + 1).alias("_in"))
     member = F.concat(F.array(F.lit(0)), F.coalesce("_in", F.array().cast("array<int>"))).alias("runs")
-    rows = materialise(large.join(runs, "block_id", "left").select("x", member, F.xxhash64("block_id").alias("h")), "profiles")
+    rows = lloyd.spread(materialise(large.join(runs, "block_id", "left").select("x", member, F.xxhash64("block_id").alias("h")), "profiles"))
     plan = lloyd.Plan(spec.k_range, subsamples=spec.runs + 1, starts=spec.n_init, seed=spec.seed)
     fitted = lloyd.fit(rows, plan)
     quality = profiles.sparkSession.createDataFrame(

@@ -1,7 +1,7 @@
 """Batched k-means: all numbers of clusters, subsamples and starts advance together, one Spark job an iteration.
 
-Rows stay where they are. A task multiplies its rows with the centres of all models that still move and returns, per model
-and cluster, the number and the sum of its rows; Spark adds these up in one shuffle. The centres are a small table whose
+Rows are spread over all cores once and stay there. A task multiplies its rows with the centres of all models that still
+move and returns, per model and cluster, the number and the sum of its rows; Spark adds these up in one shuffle. The centres are a small table whose
 size follows from the parameters (models x clusters x knots), not from the rows; the driver moves it on. Starts are drawn by
 squared distance (k-means++): a draw in proportion to weights is the row with the largest log weight plus a Gumbel deviate,
 and deviates hang on hashes of row, model and step, so a start is one maximum over all rows and the same on any cluster.
@@ -17,8 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrashift.session import materialise
+
 #: Elements of a matrix of distances that a task holds at once.
 _CELLS = 1 << 22
+#: The same in a step, where the matrix is walked through several times: 2 MB stay in a core's cache.
+_BLOCK = 1 << 18
+#: Rows that are worth a task.
+_LEAST_ROWS = 128
 _U = np.uint64
 
 
@@ -70,8 +76,8 @@ def _members(runs: list, subsamples: int) -> np.ndarray:
     return out
 
 
-def _slices(frames: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
-    step = max(1, _CELLS // max(1, width))
+def _slices(frames: Iterator[pd.DataFrame], width: int, cells: int = _CELLS) -> Iterator[pd.DataFrame]:
+    step = max(1, cells // max(1, width))
     for frame in frames:
         for at in range(0, len(frame), step):
             yield frame.iloc[at : at + step]
@@ -109,40 +115,61 @@ def _seeded(rows: DataFrame, plan: Plan, chosen: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sums(wide: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Per model and cluster what the rows of ``wide`` (1, square, values) that are nearest to it add up to."""
+    m, k, d = centers.shape
+    c = centers.transpose(1, 0, 2).reshape(k * m, d)
+    # The square of the row is the same for all centres and is left out; ones and squares sit in ``wide`` already.
+    far = (np.column_stack([(c * c).sum(1), np.zeros(k * m), -2 * c]) @ wide.T).reshape(k, m, len(wide))
+    hot = far == far.min(0)
+    sums = (hot.reshape(k * m, -1).astype(float) @ wide).reshape(k, m, -1)
+    if (sums[:, :, 0].sum(0) != len(wide)).any():  # equally near centres: the first one takes the row
+        hot = far.argmin(0) == np.arange(k)[:, None, None]
+        sums = (hot.reshape(k * m, -1).astype(float) @ wide).reshape(k, m, -1)
+    return sums.transpose(1, 0, 2)
+
+
 def _step(rows: DataFrame, moving: dict[int, tuple[np.ndarray, np.ndarray]], subsamples: int, d: int) -> pd.DataFrame:
-    """Per model and cluster: rows, sum, sum of squares, cost. ``moving[k]``: centres (models, k, knots), subsample of each."""
-    width = max(c.shape[0] * c.shape[1] for c, _ in moving.values())
-    knots = [f"s{i}" for i in range(d)]
+    """Per model and cluster: rows, sum of squares, sum. ``moving[k]``: centres (models, k, knots), subsample of each."""
+    models = [(k, r, np.flatnonzero(of == r)) for r in range(subsamples) for k, (_, of) in moving.items()]
+    models = [m for m in models if len(m[2])]
+    width = max(k * len(which) for k, _, which in models)
+    names = ["n", "ss", *[f"s{i}" for i in range(d)]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
-        for frame in _slices(frames, width):
+        total = {k: np.zeros((len(of), k, d + 2)) for k, (_, of) in moving.items()}
+        for frame in _slices(frames, width, _BLOCK):
             x, runs, _ = _matrix(frame)
             inside = _members(runs, subsamples)
             wide = np.column_stack([np.ones(len(x)), (x * x).sum(1), x])
-            for k, (centers, of) in moving.items():
-                m = len(of)
-                dist = _distances(x, centers.reshape(-1, d)).reshape(len(x), m, k)
-                label = dist.argmin(2)
-                mask = inside[:, of].astype(float)
-                hot = np.zeros((len(x), m, k))
-                np.put_along_axis(hot, label[:, :, None], mask[:, :, None], 2)
-                sums = hot.reshape(len(x), -1).T @ wide
-                cost = (hot * dist).sum(0).reshape(-1)
-                part = np.column_stack([cost, sums])
-                total[k] = total[k] + part if k in total else part
+            own = [wide[inside[:, r]] for r in range(subsamples)]
+            for k, r, which in models:
+                if len(own[r]):
+                    total[k][which] += _sums(own[r], moving[k][0][which])
         for k, t in total.items():
-            at = np.flatnonzero(t[:, 1] > 0)
-            out = pd.DataFrame(t[at], columns=["cost", "n", "ss", *knots])
-            out.insert(0, "k", k)
-            out.insert(1, "at", at)
-            yield out
+            t = t.reshape(-1, d + 2)
+            at = np.flatnonzero(t[:, 0] > 0)
+            if len(at):
+                out = pd.DataFrame(t[at], columns=names)
+                out.insert(0, "k", k)
+                out.insert(1, "at", at)
+                yield out
 
-    names = ["cost", "n", "ss", *knots]
     schema = "k int, at int, " + ", ".join(f"{c} double" for c in names)
     return rows.mapInPandas(run, schema).groupBy("k", "at").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows of a fit as a table with a file, hence a task, for each core, or fewer where they are few.
+
+    The table is small for its work: by size alone a few tasks would do all of it. What a task returns follows from the
+    number of models, so there are no more tasks than cores.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(cores, -(-rows.count() // _LEAST_ROWS)))
+    return materialise(rows.repartition(tasks, "h"), "spread")
+
+
 def fit(rows: DataFrame, plan: Plan, start: dict[int, np.ndarray] | None = None) -> Fitted:
     """Fit all models of ``plan`` to ``rows`` (x array<double>, runs array<int>, h bigint: a hash of the row's key).
 
@@ -175,7 +202,9 @@ def fit(rows: DataFrame, plan: Plan, start: dict[int, np.ndarray] | None = None)
     last = _step(rows, {k: (c, of) for k, c in flat.items()}, plan.subsamples, d)
     for k in plan.ks:
         mine = last[last["k"] == k]
-        cost = np.bincount(mine["at"].to_numpy() // k, mine["cost"].to_numpy(), len(of))
+        at, n = mine["at"].to_numpy(), mine["n"].to_numpy()
+        c, s = flat[k].reshape(-1, d)[at], mine[[f"s{i}" for i in range(d)]].to_numpy()
+        cost = np.bincount(at // k, mine["ss"].to_numpy() - 2 * (c * s).sum(1) + n * (c * c).sum(1), len(of))
         fitted.cost[k] = cost.reshape(plan.subsamples, plan.starts)
     return fitted
 
