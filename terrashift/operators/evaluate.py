@@ -10,15 +10,24 @@ from terrashift.functions import expressions as E
 from terrashift.operators.ordered import equal_count_bin, global_rank, magnitude_bucket, running_totals
 
 
+def score_counts(scored: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
+    """Positives and negatives of every group and distinct score: all that a curve needs of the rows."""
+    return scored.groupBy(*keys, F.col(score).alias("threshold")).agg(
+        F.sum(F.col(label).cast("bigint")).alias("pos"),
+        F.sum((1 - F.col(label)).cast("bigint")).alias("neg"),
+    )
+
+
 def score_curve(scored: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """One row per group and distinct score with cumulative hits from the highest score down.
 
     Ties share a row, as a threshold cannot separate them. Precision, recall and the false-positive rate follow.
     """
-    tied = scored.groupBy(*keys, F.col(score).alias("threshold")).agg(
-        F.sum(F.col(label).cast("bigint")).alias("pos"),
-        F.sum((1 - F.col(label)).cast("bigint")).alias("neg"),
-    )
+    return curve_of_counts(score_counts(scored, keys, score, label), keys)
+
+
+def curve_of_counts(tied: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from ``score_counts``."""
     run = running_totals(
         tied, keys, magnitude_bucket(F.col("threshold")), [F.desc("threshold")],
         {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True,

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from terrashift.config import ClusterSpec
 from terrashift.operators import cluster as cl
+from terrashift.operators import evaluate as V
 from terrashift.operators import lloyd
+from terrashift.operators import models as M
+from terrashift.session import spread
 
 
 def profiles(spark, n):
@@ -42,3 +45,29 @@ def test_sums_are_those_of_the_nearest_centre(same):
     for c, sums in zip(centers, got):
         label = ((x[:, None] - c) ** 2).sum(2).argmin(1)
         assert np.allclose(sums, [wide[label == j].sum(0) for j in range(3)])
+
+
+def test_rows_are_scored_once_for_all_metrics(spark):
+    """A model is applied to each row once, and the metrics are those of the whole report of a fold."""
+    scored = spark.range(3000, numPartitions=3).select(
+        F.when(F.col("id") % 7 == 0, 1).otherwise(F.col("id") % 2 * 2).cast("int").alias("label"), (F.col("id") % 101 / 101).alias("y_score")
+    )
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            calls.add(len(f))
+            yield f
+
+    got = M._metrics(scored.mapInPandas(count, scored.schema), 10.0)
+    assert calls.value == 3000
+    one = scored.select(F.lit(0).alias("g"), "y_score", (F.col("label") == 1).cast("int").alias("y"))
+    want = V.fold_metrics(one, ["g"], "y_score", "y", 10.0).first()
+    assert got == pytest.approx({n: want[n] for n in got})
+
+
+def test_a_table_for_much_work_has_a_task_for_each_core(spark):
+    """Rows that a search fits on again and again are not left to as few tasks as their size gives."""
+    df = spark.range(1000).coalesce(1)
+    assert [spread(df, "t", n).rdd.getNumPartitions() for n in (50, 400, 1000)] == [8, 3, 1]
+    assert sorted(r[0] for r in spread(df, "t", 50).collect()) == list(range(1000))
