@@ -28,6 +28,12 @@ PLANES = 16
 _BLOCK = 512
 #: New words that the tokenizer gets in one call.
 _JOINED = 4096
+#: Characters that the tokenizer gets in one call, if they are of several texts.
+_AT_ONCE = 1 << 18
+#: Bytes of text that are split into words at once, if they are of several texts.
+_PIECE = 2 << 20
+#: Words whose ids are copied at once.
+_GATHERED = 1 << 15
 _MARKS = ".,;:!?"
 
 
@@ -156,25 +162,50 @@ _STORE = (
 )
 
 
-def _listed(words: pa.Array) -> list[str]:
-    """Words without spaces as a list, through one string: much faster than one by one."""
-    if not len(words) or words.nbytes > 1 << 30:
-        return words.to_pylist()
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of entries that have ``most`` in all, or of one larger entry."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), "right")))
+        yield at, stop
+        at = stop
+
+
+def _gather(ids: np.ndarray, start: np.ndarray, size: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The ids of the entries ``code`` one after another; positions are held for some ten thousand entries at a time."""
+    out, at = np.empty(int(size[code].sum()), ids.dtype), 0
+    for lo in range(0, len(code), _GATHERED):
+        part = code[lo : lo + _GATHERED]
+        n = size[part]
+        ends = np.cumsum(n)
+        out[at : at + ends[-1]] = ids[np.arange(ends[-1]) + np.repeat(start[part] - (ends - n), n)]
+        at += int(ends[-1])
+    return out
+
+
+def _joined(words: pa.Array) -> str:
+    """Words with a space before each."""
+    if words.nbytes > 1 << 30:
+        return " " + " ".join(words.to_pylist())
     one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
-    return pc.binary_join(one, " ")[0].as_py().split(" ")
+    return " " + pc.binary_join(one, " ")[0].as_py()
 
 
 class Encoder:
     """The public tokenizer with a memo of words.
 
     The pre-tokenizer of byte-level BPE always cuts before a space that a visible character follows, so a text is the
-    concatenation of its first word and of all others with their space, and each distinct word is encoded once. New words
-    go to the library many at a time, joined by spaces; as every token stands for a known number of bytes, their ids are
-    told apart by adding up bytes. Texts with other white space after a space and texts with special tokens are left to
-    the library as they are.
+    concatenation of its first word and of all others with their space, and each distinct word is encoded once. It also
+    cuts between letters and the marks behind them, so such a word is a plain one and a tail. New words go to the library
+    many at a time, joined by spaces; as every token stands for a known number of bytes, their ids are told apart by adding
+    up bytes. Texts with other white space after a space and texts with special tokens are left to the library as they are.
+
+    Words and ids stay in Arrow and numpy arrays throughout: a word of the memo takes some 25 bytes, as an entry of a
+    dictionary it took about 200.
     """
 
     _odd = r" ([\s\p{Z}\x0b\x{85}\x1c-\x1f]|$)|<\|"
+    _ended = rf"^\p{{L}}+[{_MARKS}]+$"
 
     def __init__(self, spec: TokenSpec):
         from tokenizers import Tokenizer
@@ -183,76 +214,76 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(spec.tokenizer)
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << PLANES:
             raise ValueError(f"ids have {PLANES} bits; the vocabulary of {spec.tokenizer} is larger")
-        #: Ids of a word with a space before it. Words that were not asked for lately drop out of the older half.
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        #: At most ``memo_words`` words, the lately used first, and the ids of each with a space before it.
+        self.memo = pa.array([], pa.large_string())
+        self.memo_ids, self.memo_size = np.zeros(0, np.uint16), np.zeros(0, np.int64)
         self.end = np.array([spec.end_id], np.uint16)
         # Byte-level tokens show a byte by one character.
         self.bytes_of = np.zeros(1 << PLANES, np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.bytes_of[i] = len(token)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint16).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids by the library, which takes far more memory for a text than its ids do: a limited number of characters at once."""
+        out: list[np.ndarray] = []
+        for a, b in _runs(np.fromiter(map(len, texts), np.int64, len(texts)), _AT_ONCE):
+            out += [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)]
+        return out
 
-    def _new(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words, each with a space before it, by one call for some thousand words."""
-        out: list[bytes] = []
+    def _new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, each with a space before it, and their numbers, by one call for some thousand words."""
+        ids, sizes = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), _JOINED):
             part = words[at : at + _JOINED]
-            text = " " + " ".join(part)
-            raw = self._whole([text])[0]
-            last = np.cumsum(self.bytes_of[np.frombuffer(raw, np.uint16)])
-            # No word has a space in it, so every space begins a word.
-            octets = np.frombuffer(text.encode(), np.uint8)
-            stops = np.append(np.flatnonzero(octets == 32)[1:], len(octets))
+            raw = self._whole([_joined(part)])[0]
+            last = np.cumsum(self.bytes_of[raw])
+            stops = np.cumsum(pc.binary_length(part).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
             ends = np.searchsorted(last, stops) + 1
-            if len(last) and ends[-1] <= len(last) and (last[np.minimum(ends, len(last)) - 1] == stops).all() and last[-1] == stops[-1]:
-                cuts = (2 * ends).tolist()
-                out += [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+            if ends[-1] == len(last) and (last[ends - 1] == stops).all():
+                ids.append(raw)
+                sizes.append(np.diff(ends, prepend=0))
             else:
                 # A token spans two words, as a special one may: word by word then.
-                out += self._whole([" " + w for w in part])
-        return out
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words, each with a space before it."""
-        memo, older = self.memo, self.older
-        got = list(map(memo.get, words))
-        missing = [i for i, x in enumerate(got) if x is None]
-        if missing and older:
-            for i in missing:
-                if (x := older.get(words[i])) is not None:
-                    memo[words[i]] = got[i] = x
-            missing = [i for i in missing if got[i] is None]
-        # The pre-tokenizer cuts between letters and the marks behind them, so such a word is a plain one and a tail.
-        ended: list[tuple[int, str, str]] = []
-        wanted: dict[str, None] = {}
-        for i in missing:
-            core = words[i].rstrip(_MARKS)
-            if len(core) < len(words[i]) and core.isalpha():
-                ended.append((i, core, words[i][len(core) :]))
-                if core not in memo:
-                    wanted[core] = None
-            else:
-                wanted[words[i]] = None
-        new = list(wanted)
-        memo.update(zip(new, self._new(new)))
-        for i in missing:
-            got[i] = memo.get(words[i])
-        for i, core, tail in ended:
-            if tail not in self.tails:
-                self.tails[tail] = self._whole([tail])[0]
-            memo[words[i]] = got[i] = memo[core] + self.tails[tail]
-        if len(self.tails) > 10_000:
-            self.tails.clear()
-        if len(memo) > self.spec.memo_words:
-            self.memo, self.older = {}, memo
-        return got  # type: ignore[return-value]
+                each = self._whole([" " + w for w in part.to_pylist()])
+                ids += each
+                sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, each with a space before it, and their numbers, from the memo or by the library."""
+        found = pc.index_in(words, self.memo)
+        missing = pc.is_null(found)
+        new = words.filter(missing)
+        new_ids, new_size = self._new(new)
+        ids, size = np.concatenate([self.memo_ids, new_ids]), np.concatenate([self.memo_size, new_size])
+        start, old = np.cumsum(size) - size, len(self.memo)
+        code = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        code[missing.to_numpy(zero_copy_only=False)] = old + np.arange(len(new))
+        rest = np.ones(old, bool)
+        rest[code[code < old]] = False
+        keep = np.concatenate([code, np.flatnonzero(rest)])[: self.spec.memo_words]
+        self.memo = pa.concat_arrays([self.memo, new]).take(pa.array(keep))
+        self.memo_ids, self.memo_size = _gather(ids, start, size, keep), size[keep]
+        return _gather(ids, start, size, code), size[code]
+
+    def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, each with a space before it, and their numbers."""
+        ended = pc.match_substring_regex(words, self._ended)
+        plain = pc.if_else(ended, pc.utf8_rtrim(words, _MARKS), words).dictionary_encode()
+        tail = pc.replace_substring_regex(words.filter(ended), r"^\p{L}+", "").dictionary_encode()
+        ids, size = self._plain(plain.dictionary)
+        tails = self._whole(tail.dictionary.to_pylist())
+        # Two entries for each word, its plain part and its tail; the last entry is the tail of the others.
+        size = np.concatenate([size, np.fromiter(map(len, tails), np.int64, len(tails)), [0]])
+        code = np.full((len(words), 2), len(size) - 1, np.int64)
+        code[:, 0] = plain.indices.to_numpy()
+        code[ended.to_numpy(zero_copy_only=False), 1] = len(plain.dictionary) + tail.indices.to_numpy().astype(np.int64)
+        return _gather(np.concatenate([ids, *tails]), np.cumsum(size) - size, size, code.ravel()), size[code].sum(1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, each text followed by the end id, and the number of ids of each text."""
+        if not len(texts):
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
         texts = texts.cast(pa.large_string())
         odd = np.flatnonzero(pc.match_substring_regex(texts, self._odd).to_numpy(zero_copy_only=False))
         if len(odd):
@@ -260,26 +291,21 @@ class Encoder:
             texts = pc.if_else(pc.match_substring_regex(texts, self._odd), pa.scalar("", pa.large_string()), texts)
         words = pc.split_pattern(texts, " ")
         flat = words.flatten().dictionary_encode()
-        code = flat.indices.to_numpy().astype(np.int64)
+        code = flat.indices.to_numpy().copy()
         bounds = words.offsets.to_numpy().astype(np.int64)
         bounds = bounds - bounds[0]
-        known = self._ids(_listed(flat.dictionary))
+        ids, size = self._ids(flat.dictionary)
         # The first word of a text has no space before it; an entry of its own stands for it.
-        heads = flat.dictionary.take(pa.array(code[bounds[:-1]])).to_pylist()
-        table = [*known, *self._whole(heads), self.end.tobytes()]
-        code[bounds[:-1]] = len(known) + np.arange(len(heads))
-        code = np.insert(code, bounds[1:], len(table) - 1)
-        size = np.fromiter(map(len, table), np.int64, len(table)) // 2
-        start = np.cumsum(size) - size
-        ids, length = np.frombuffer(b"".join(table), np.uint16), size[code]
-        ends = np.cumsum(length)
-        tokens = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[code] - (ends - length), length)]
-        stops = ends[bounds[1:] + np.arange(len(heads))]
-        counts = np.diff(stops, prepend=0)
+        heads = self._whole(flat.dictionary.take(pa.array(code[bounds[:-1]])).to_pylist())
+        code[bounds[:-1]] = len(size) + np.arange(len(heads))
+        size = np.concatenate([size, np.fromiter(map(len, heads), np.int64, len(heads)), [1]])
+        code = np.insert(code, bounds[1:], len(size) - 1)
+        tokens = _gather(np.concatenate([ids, *heads, self.end]), np.cumsum(size) - size, size, code)
+        counts = np.add.reduceat(size[code], bounds[:-1] + np.arange(len(heads)))
         if len(odd):
-            pieces = np.split(tokens, stops[:-1])
+            pieces = np.split(tokens, np.cumsum(counts)[:-1])
             for i, raw in whole.items():
-                pieces[i] = np.concatenate([np.frombuffer(raw, np.uint16), self.end])
+                pieces[i] = np.concatenate([raw, self.end])
             tokens, counts = np.concatenate(pieces), np.array([len(x) for x in pieces], np.int64)
         return tokens, counts
 
@@ -307,13 +333,15 @@ def _shard_writer(spec: TokenSpec) -> Callable[[Iterator[pa.RecordBatch]], Itera
         ids, lengths, parts = [], [], []
         for batch in batches:
             ids += batch.column(0).to_pylist()
-            for at in range(0, len(batch), 2048):
-                tokens, counts = encoder.encode(batch.column(1)[at : at + 2048])
+            octets = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for a, b in _runs(octets, _PIECE):
+                tokens, counts = encoder.encode(batch.column(1)[a:b])
                 parts.append(tokens)
                 lengths += counts.tolist()
         if ids:
             tokens = np.concatenate(parts)
             parts.clear()
+            pa.default_memory_pool().release_unused()
             row = {"shard": TaskContext.get().partitionId(), "doc_ids": ids, "lengths": lengths} | WaveletMatrix.build(tokens).dump()
             yield pa.RecordBatch.from_pylist([row], _arrow_schema())
 
@@ -344,7 +372,9 @@ def write_tokens(docs: DataFrame, path: str, spec: TokenSpec, id_col: str = "doc
 def _shard_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Decode shards: one row per document."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(len(batch)):
+            # Shard by shard: a batch holds all shards of a split.
+            row = batch.slice(i, 1).to_pylist()[0]
             tokens = WaveletMatrix.load(row).decode().astype("<u4")
             lengths = np.array(row["lengths"], np.int64)
             starts = np.cumsum(lengths) - lengths

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -78,6 +80,25 @@ def test_token_files_of_odd_rows(spark):
     assert token_digest(spark.createDataFrame([], "doc_id bigint, text string"), SPEC).count() == 0
 
 
+def test_a_shard_of_rare_words_takes_little_memory(monkeypatch):
+    """Rows of many bytes are encoded in pieces, and the memo holds no more words than it may."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x:x}" for x in rng.integers(0, 1 << 40, 2000).tolist()) for _ in range(150)]
+    spec = TokenSpec(SPEC.tokenizer, SPEC.pattern, memo_words=1000)
+    encoder = token_store._encoder(spec)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(150)), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        (row,) = next(token_store._shard_writer(spec)(iter([batch]))).to_pylist()
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert WaveletMatrix.load(row).decode().tolist() == [x for t in texts for x in ids_of(t)]
+    assert len(encoder.memo) + len(getattr(encoder, "older", ())) <= 1000
+    assert most < 80e6
+
+
 @pytest.mark.parametrize("n", [1, 511, 512, 5000])
 def test_wavelet_matrix_answers(n):
     rng = np.random.default_rng(n)
