@@ -9,9 +9,12 @@ writes the files by its commit protocol, so a lost executor leaves no half-writt
 
 from __future__ import annotations
 
+import codecs
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -34,7 +37,8 @@ _AT_ONCE = 1 << 18
 _PIECE = 2 << 20
 #: Words whose ids are copied at once.
 _GATHERED = 1 << 15
-_MARKS = ".,;:!?"
+#: Marks that may end a word; behind letters they are one piece of the pre-tokenizer.
+_MARKS = '.,;:!?"#$%&()*+/=@_~-'
 
 
 @dataclass(frozen=True)
@@ -183,12 +187,17 @@ def _gather(ids: np.ndarray, start: np.ndarray, size: np.ndarray, code: np.ndarr
     return out
 
 
-def _joined(words: pa.Array) -> str:
-    """Words with a space before each."""
+def _joined(words: pa.Array, before: str = " ") -> str:
+    """Words with a space, or what is given, before each."""
     if words.nbytes > 1 << 30:
-        return " " + " ".join(words.to_pylist())
+        return before + before.join(words.to_pylist())
     one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
-    return " " + pc.binary_join(one, " ")[0].as_py()
+    return before + pc.binary_join(one, before)[0].as_py()
+
+
+def _within(likely: pa.Array, words: pa.Array, pattern: str) -> pa.Array:
+    """Which words match the pattern, where only the likely ones can."""
+    return pc.replace_with_mask(likely, likely, pc.match_substring_regex(words.filter(likely), pattern))
 
 
 class Encoder:
@@ -196,29 +205,40 @@ class Encoder:
 
     The pre-tokenizer of byte-level BPE always cuts before a space that a visible character follows, so a text is the
     concatenation of its first word and of all others with their space, and each distinct word is encoded once. It also
-    cuts between letters and the marks behind them, so such a word is a plain one and a tail. New words go to the library
-    many at a time, joined by spaces; as every token stands for a known number of bytes, their ids are told apart by adding
-    up bytes. Texts with other white space after a space and texts with special tokens are left to the library as they are.
+    cuts between letters and the marks behind them and around a line break between visible characters, so such a word is a
+    plain one and a tail, or two of them, the second with the break before it. A new word of letters is one piece of the
+    pre-tokenizer and goes straight to the library's byte-pair encoding, its bytes shown by characters. Other new words go
+    to the library many at a time, joined by spaces. As every token stands for a known number of bytes, the ids of words are
+    told apart by adding up bytes. Texts with other white space after a space and texts with special tokens are left to the
+    library as they are.
 
     Words and ids stay in Arrow and numpy arrays throughout: a word of the memo takes some 25 bytes, as an entry of a
     dictionary it took about 200.
     """
 
     _odd = r" ([\s\p{Z}\x0b\x{85}\x1c-\x1f]|$)|<\|"
-    _ended = rf"^\p{{L}}+[{_MARKS}]+$"
+    _letters = r"^\n?\p{L}+$"
+    _broken = rf"^\p{{L}}+[{_MARKS}]*\n\p{{L}}+[{_MARKS}]*$"
 
     def __init__(self, spec: TokenSpec):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.spec = spec
         self.tokenizer = Tokenizer.from_file(spec.tokenizer)
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << PLANES:
             raise ValueError(f"ids have {PLANES} bits; the vocabulary of {spec.tokenizer} is larger")
-        #: At most ``memo_words`` words, the lately used first, and the ids of each with a space before it.
-        self.memo = pa.array([], pa.large_string())
+        #: At most ``memo_words`` words and the ids of each with a space or its line break before it: first ``again`` words that were met again
+        #: after they came here, then the others, the lately used first in both. Most words are met once, and would
+        #: otherwise drive out those that are met now and then.
+        self.memo, self.again = pa.array([], pa.large_string()), 0
         self.memo_ids, self.memo_size = np.zeros(0, np.uint16), np.zeros(0, np.int64)
         self.end = np.array([spec.end_id], np.uint16)
-        # Byte-level tokens show a byte by one character.
+        # Byte-level tokens show a byte by one character: itself if it is visible, else the next one from 256 on.
+        shown = sorted(ByteLevel.alphabet())
+        hidden = iter([c for c in shown if ord(c) > 255])
+        self.shown = "".join(chr(b) if chr(b) in shown else next(hidden) for b in range(256))
+        self.line = self.tokenizer.token_to_id(self.shown[10])
         self.bytes_of = np.zeros(1 << PLANES, np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.bytes_of[i] = len(token)
@@ -230,6 +250,21 @@ class Encoder:
             out += [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)]
         return out
 
+    def _spelled(self, words: pa.Array, line: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, each with a space or, if ``line``, its own line break before it, and their numbers."""
+        ids, sizes = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
+        spell, number = self.tokenizer.model.tokenize, attrgetter("id")
+        for at in range(0, len(words), _JOINED):
+            text = _joined(words[at : at + _JOINED], "" if line else "\n ")
+            shown = codecs.charmap_decode(text.encode(), "strict", self.shown)[0].split(self.shown[10])[1:]
+            # Tokens are read and dropped at once: thousands of them held together take twice the time.
+            raw = np.fromiter(map(number, chain.from_iterable(map(spell, shown))), np.uint16)
+            stops = np.cumsum(np.fromiter(map(len, shown), np.int64, len(shown)))
+            size = np.diff(np.searchsorted(np.cumsum(self.bytes_of[raw]), stops) + 1, prepend=0)
+            ids.append(np.insert(raw, np.cumsum(size) - size, self.line) if line else raw)
+            sizes.append(size + line)
+        return np.concatenate(ids), np.concatenate(sizes)
+
     def _new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, each with a space before it, and their numbers, by one call for some thousand words."""
         ids, sizes = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
@@ -250,35 +285,54 @@ class Encoder:
         return np.concatenate(ids), np.concatenate(sizes)
 
     def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct words, each with a space before it, and their numbers, from the memo or by the library."""
+        """Ids of distinct words, each with a space or its line break before it, and their numbers, from the memo or by the library."""
         found = pc.index_in(words, self.memo)
-        missing = pc.is_null(found)
-        new = words.filter(missing)
-        new_ids, new_size = self._new(new)
-        ids, size = np.concatenate([self.memo_ids, new_ids]), np.concatenate([self.memo_size, new_size])
+        at = np.flatnonzero(pc.is_null(found).to_numpy(zero_copy_only=False))
+        new = words.take(pa.array(at))
+        letters = pc.match_substring_regex(new, self._letters).to_numpy(zero_copy_only=False)
+        line = pc.starts_with(new, "\n").to_numpy(zero_copy_only=False)
+        # Words of letters with a space before them, those with a line break, and the others.
+        groups = [np.flatnonzero(x) for x in (letters & ~line, letters & line, ~letters)]
+        order = np.concatenate(groups)
+        new = new.take(pa.array(order))
+        a, b = np.cumsum([len(x) for x in groups[:2]])
+        (ids_a, size_a), (ids_b, size_b), (ids_c, size_c) = self._spelled(new[:a], False), self._spelled(new[a:b], True), self._new(new[b:])
+        ids, size = np.concatenate([self.memo_ids, ids_a, ids_b, ids_c]), np.concatenate([self.memo_size, size_a, size_b, size_c])
         start, old = np.cumsum(size) - size, len(self.memo)
         code = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        code[missing.to_numpy(zero_copy_only=False)] = old + np.arange(len(new))
+        code[at[order]] = old + np.arange(len(new))
         rest = np.ones(old, bool)
         rest[code[code < old]] = False
-        keep = np.concatenate([code, np.flatnonzero(rest)])[: self.spec.memo_words]
+        rest = np.flatnonzero(rest)
+        again, most = np.concatenate([code[code < old], rest[rest < self.again]]), self.spec.memo_words * 3 // 4
+        keep = np.concatenate([again[:most], old + np.arange(len(new)), again[most:], rest[rest >= self.again]])[: self.spec.memo_words]
+        self.again = min(len(again), most)
         self.memo = pa.concat_arrays([self.memo, new]).take(pa.array(keep))
         self.memo_ids, self.memo_size = _gather(ids, start, size, keep), size[keep]
         return _gather(ids, start, size, code), size[code]
 
     def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, each with a space before it, and their numbers."""
-        ended = pc.match_substring_regex(words, self._ended)
-        plain = pc.if_else(ended, pc.utf8_rtrim(words, _MARKS), words).dictionary_encode()
-        tail = pc.replace_substring_regex(words.filter(ended), r"^\p{L}+", "").dictionary_encode()
+        broken = _within(pc.match_substring(words, "\n"), words, self._broken)
+        lines = words.filter(broken)
+        firsts, seconds = pc.replace_substring_regex(lines, r"\n.*", ""), pc.replace_substring_regex(lines, r"^[^\n]*", "")
+        parts = pa.concat_arrays([pc.replace_with_mask(words, broken, firsts), seconds])
+        short = pc.utf8_rtrim(parts, _MARKS)
+        ended = _within(pc.less(pc.binary_length(short), pc.binary_length(parts)), short, self._letters)
+        plain = pc.if_else(ended, short, parts).dictionary_encode()
+        tail = pc.replace_substring_regex(parts.filter(ended), r"^\n?\p{L}+", "").dictionary_encode()
         ids, size = self._plain(plain.dictionary)
         tails = self._whole(tail.dictionary.to_pylist())
-        # Two entries for each word, its plain part and its tail; the last entry is the tail of the others.
+        # Two entries for each part, its plain one and its tail; the last entry is the tail of the others.
         size = np.concatenate([size, np.fromiter(map(len, tails), np.int64, len(tails)), [0]])
-        code = np.full((len(words), 2), len(size) - 1, np.int64)
-        code[:, 0] = plain.indices.to_numpy()
-        code[ended.to_numpy(zero_copy_only=False), 1] = len(plain.dictionary) + tail.indices.to_numpy().astype(np.int64)
-        return _gather(np.concatenate([ids, *tails]), np.cumsum(size) - size, size, code.ravel()), size[code].sum(1)
+        pairs = np.full((len(parts), 2), len(size) - 1, np.int32)
+        pairs[:, 0] = plain.indices.to_numpy()
+        pairs[ended.to_numpy(zero_copy_only=False), 1] = len(plain.dictionary) + tail.indices.to_numpy()
+        # Four entries for each word: those of its first part and, if it has a line break, those of its second.
+        code = np.full((len(words), 4), len(size) - 1, np.int32)
+        code[:, :2] = pairs[: len(words)]
+        code[broken.to_numpy(zero_copy_only=False), 2:] = pairs[len(words) :]
+        return _gather(np.concatenate([ids, *tails]), np.cumsum(size) - size, size, code.ravel()), sum(size[x] for x in code.T)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, each text followed by the end id, and the number of ids of each text."""

@@ -99,6 +99,41 @@ def test_a_shard_of_rare_words_takes_little_memory(monkeypatch):
     assert most < 80e6
 
 
+def test_new_words_of_letters_skip_the_pre_tokenizer():
+    """Words of letters, also with marks behind them or a line break between them, go straight to the library's encoding."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdeéßñ漢"), 9)) for _ in range(600)]
+    text = " ".join(f"{a}{m}\n{b}{n} {c}{m}" for a, b, c, m, n in zip(words[::3], words[1::3], words[2::3], ["", ".", ",%%%", "###"] * 50, ["&", "", "!"] * 67))
+    encoder = Encoder(SPEC)
+    whole, given = encoder._whole, []
+    encoder._whole = lambda texts: given.extend(texts) or whole(texts)
+    assert encoded(encoder, [text, text]) == [ids_of(text)] * 2
+    assert sum(map(len, given)) < 100
+
+
+def test_words_met_again_stay_in_the_memo():
+    """Many words that are met once do not drive out those that are met now and then."""
+    common = [f"{c}ommon" for c in "abcdefgh"]
+    encoder = Encoder(TokenSpec(SPEC.tokenizer, SPEC.pattern, memo_words=64))
+    for i in range(40):
+        text = " ".join(["x", *(common if i < 2 or i % 8 == 0 else []), *(f"{a}{b}{'q' * i}" for a in "uvwxyz" for b in "klmnoprstu")])
+        if i > 2 and i % 8 == 0:
+            assert set(common) <= set(encoder.memo.to_pylist())
+        assert encoded(encoder, [text]) == [ids_of(text)]
+        assert len(encoder.memo) <= 64
+    # Those that were met again keep to three quarters: other words that come back find room.
+    for _ in range(3):
+        text = " ".join(["x", *(f"later{a}{b}" for a in "uvwxyz" for b in "klmnoprstu")])
+        assert encoded(encoder, [text]) == [ids_of(text)]
+    assert sum(w.startswith("later") for w in encoder.memo.to_pylist()) > 40
+
+
+@given(st.lists(st.text(st.sampled_from("aBé ,.&#(=-_'\n\t\u00a0\u0301\u20281漢"), max_size=40), min_size=1, max_size=5))
+@settings(max_examples=300, deadline=None)
+def test_encoder_equals_the_tokenizer_on_lines_and_marks(texts):
+    assert encoded(SHARED, texts) == [ids_of(t) for t in texts]
+
+
 @pytest.mark.parametrize("n", [1, 511, 512, 5000])
 def test_wavelet_matrix_answers(n):
     rng = np.random.default_rng(n)
