@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,20 @@ def test_mean_reduce_moves_bytes_not_sums(spark):
     exchange = plan(out).split("Exchange hashpartitioning")
     assert "HashAggregate" not in exchange[-1]
     assert sorted(map(tuple, out.collect())) == [(1, 0, 0, [2.0, None]), (1, 1, 0, [7.0, 8.0])]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="test tables are not here")
+def test_a_scan_of_chunks_holds_few_of_them(spark):
+    """A batch of a scan is at most a row group, which is a part of a file of many chunks."""
+    files = fixtures.Fixtures(spark, "/root/testdata/sf0.1").chunks.inputFiles()
+    metas = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in files]
+    assert sum(m.num_rows for m in metas) == 21 * 14 * 3 and max(m.num_rows for m in metas) > 200
+    assert max(m.row_group(i).num_rows for m in metas for i in range(m.num_row_groups)) <= 128
+
+
+def test_lists_of_samples_are_not_hashed(spark):
+    """A hash table of lists can't be spilled; a sort can."""
+    samples = spark.createDataFrame([(0, 0, "r000_c000", 0, 0)], "row int, col int, tile_id string, tile_row int, tile_col int")
+    chunks = spark.createDataFrame([("r000_c000", 2019, 0, [[1, 2]])], "tile_id string, year int, row0 int, values array<array<smallint>>")
+    for df in (ti.gather(samples, chunks, 32, 16), ti.gather_years(samples, chunks, [2019], 32, 16)):
+        assert "SortMergeJoin" in plan(df) and "ShuffledHashJoin" not in plan(df)
