@@ -168,6 +168,21 @@ def test_perplexity_equals_the_definition(spark, frequent):
         assert np.isclose(got[i].perplexity, brute_perplexity(trusted, t, 10_000), rtol=1e-6)
 
 
+def test_no_trusted_word_is_left_out(spark):
+    """Words beyond those scored in place keep their own counts, however few are scored in place."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(200)]
+    weight = 1 / np.arange(1, 201)
+    draw = lambda n: " ".join(rng.choice(words, n, p=weight / weight.sum()))
+    trusted = [draw(40) for _ in range(40)]
+    texts = [draw(25) for _ in range(20)] + ["new words only", "W1 w2 unknown w3 w199 w198 unknown", trusted[0], "w150"]
+    docs = spark.createDataFrame([(i, "en", 0, t) for i, t in enumerate(texts)], "doc_id bigint, lang string, part int, text string")
+    for common in (0, 7, 60):
+        model = quality.train(spark.createDataFrame([(t,) for t in trusted], "text string"), quality.QualitySpec(words=common, frequent=20, shard_pairs=50))
+        got = {r.doc_id: r.perplexity for r in quality.perplexities(docs, model).collect()}
+        assert all(np.isclose(got[i], brute_perplexity(trusted, t, 10_000), rtol=1e-6) for i, t in enumerate(texts))
+
+
 def test_quality_keeps_trusted_and_rejects_junk(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
